@@ -16,18 +16,25 @@ def latest_per_key(df: DataFrame, keys, order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def as_of_latest(left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str,
-                 right_order: list[Column], value_cols: list[str]) -> DataFrame:
-    """As-of variant of Q1: for each left row the newest right row dated on or before it.
-
-    Expressed as an equi-join on the key plus a date bound, then a row_number per
-    left row.  Catalyst plans a sort-merge join on ``key``; the window is
-    partitioned by the left row id.
+def asof_last(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_date: str, right_date: str,
+              right_id: str, value: str, left_id: str, out: str) -> DataFrame:
+    """As-of join: for each left row, ``value`` of the newest right row of the same key
+    dated on or before the left row (same date: lowest ``right_id``).
+
+    Both sides are unioned and scanned by one window per key ordered by
+    (date, side, id desc) with ``last(ignorenulls)``; no left x right pairs are
+    formed, so a key with many snapshots costs a sort, not a product.
     """
-    r = right.select(F.col(key).alias("_k"), F.col(right_date).alias("_rd"), *value_cols, *[o for o in []])
-    j = left.join(r, (left[key] == r["_k"]) & (r["_rd"] <= left[left_date]), "left")
-    w = Window.partitionBy(*[left[c] for c in left.columns]).orderBy(F.col("_rd").desc_nulls_last())
-    return (j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_k"))
+    le = left.select(F.col(left_id).alias("_lid"), F.col(left_key).alias("_key"), F.col(left_date).alias("_d"),
+                     F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_rid"),
+                     F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    ri = right.select(F.lit(None).cast(left.schema[left_id].dataType).alias("_lid"), F.col(right_key).alias("_key"),
+                      F.col(right_date).alias("_d"), F.lit(0).alias("_side"), F.col(right_id).cast("string").alias("_rid"),
+                      F.col(value).alias("_v"))
+    w = (Window.partitionBy("_key").orderBy("_d", "_side", F.col("_rid").desc())
+         .rowsBetween(Window.unboundedPreceding, 0))
+    u = le.unionByName(ri).withColumn("_last", F.last("_v", ignorenulls=True).over(w))
+    return u.filter(F.col("_side") == 1).select(F.col("_lid").alias(left_id), F.col("_last").alias(out))
 
 
 def newest_page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 100) -> DataFrame:

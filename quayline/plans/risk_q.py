@@ -259,19 +259,9 @@ def risk_optimizer_contract(spark, sf_dir):
 
 
 def asof_inventory(ev, inv):
-    """Newest inventory snapshot of the event's part dated on or before the event
-    (ties on a date: lowest snapshot id).  Union + ordered window per part, so no
-    event x snapshot pairs are formed."""
-    e = ev.select("event_id", F.col("part_key").alias("_part"), F.col("date").alias("_d"), F.lit(1).alias("_kind"),
-                  F.lit(None).cast("string").alias("_sid"), F.lit(None).cast("long").alias("_avail"))
-    s = inv.select(F.lit(None).cast("string").alias("event_id"), F.col("product_id").alias("_part"),
-                   F.col("inventory_date").alias("_d"), F.lit(0).alias("_kind"), F.col("inventory_id").alias("_sid"),
-                   F.col("available_units").alias("_avail"))
-    from pyspark.sql import Window
-    w = (Window.partitionBy("_part").orderBy("_d", "_kind", F.col("_sid").desc())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    u = e.unionByName(s).withColumn("_latest_avail", F.last("_avail", ignorenulls=True).over(w))
-    return u.filter(F.col("_kind") == 1).select("event_id", F.col("_latest_avail").alias("latest_available_units"))
+    """Newest stock snapshot of the event's part dated on or before the event."""
+    return relational.asof_last(ev, inv, "part_key", "product_id", "date", "inventory_date", "inventory_id",
+                                "available_units", "event_id", "latest_available_units")
 
 
 @register("risk_service_path", S.risk_with() + f"""
