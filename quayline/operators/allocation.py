@@ -244,8 +244,11 @@ def solve(inp: DataFrame, objective: str = "MIN_COST", p: AllocationParams = DEF
             qp.alias("qp"), qs.alias("qs"), qa.alias("qa"), qu.alias("qu"),
             F.lit(ya).alias("ya"), F.lit(ys).alias("ys"), F.lit(yd).alias("yd")))
     x = x.withColumn("_best", F.least(*structs) if len(structs) > 1 else structs[0])
-    x = x.drop(*[c for c in x.columns if c.startswith(("_src", "_rst", "_m", "_r", "_q", "_nreq", "_a_", "_f_"))
-                 or c in ("_N", "_M", "_U")])
+    keep = [c for c in x.columns if not (c.startswith(("_src", "_rst", "_m", "_r", "_q", "_nreq", "_a_", "_f_"))
+                                         or c in ("_N", "_M", "_U", "_best"))]
+    # Optimizer barrier: a one-element explode (Generate) keeps filters on solver outputs above
+    # this point, so Catalyst never inlines the staged greedy fill into a predicate.
+    x = x.select(*keep, F.explode(F.array(F.col("_best"))).alias("_best"))
     return _finish(x, p, optimal=F.col("is_feasible") & (F.col("_best.infeasible") == 0))
 
 

@@ -35,34 +35,38 @@ def grouped_cumsum(df: DataFrame, group_cols: list[str], order_cols: list[str],
     return j.select(*df.columns, *[(F.col(f"_o_{v}") + F.sum(v).over(wi)).alias(f"{prefix}{v}") for v in value_cols])
 
 
-def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column_name, value) long form of the non-null values of ``cols`` (as double)."""
+def long_values(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """(column_name, [by...], value) long form of the non-null values of ``cols`` (as double)."""
+    by = list(by or [])
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
                                 for c in cols]))
-    return df.select(stack.alias("_kv")).select("_kv.column_name", "_kv.value").filter(F.col("value").isNotNull())
+    return (df.select(*by, stack.alias("_kv")).select("_kv.column_name", *by, "_kv.value")
+            .filter(F.col("value").isNotNull()))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy/pandas default) of several columns.
 
     Returns (column_name, prob, quantile).  Work: one aggregation to distinct
     values with counts, one distributed prefix sum, one aggregate; nothing is
     held per column in a single buffer.
     """
-    vc = long_values(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    cum = grouped_cumsum(vc, ["column_name"], ["value"], ["n"])
-    totals = vc.groupBy("column_name").agg(F.sum("n").alias("_N"))
+    by = list(by or [])
+    g = ["column_name", *by]
+    vc = long_values(df, cols, by).groupBy(*g, "value").agg(F.count(F.lit(1)).alias("n"))
+    cum = grouped_cumsum(vc, g, ["value"], ["n"])
+    totals = vc.groupBy(*g).agg(F.sum("n").alias("_N"))
     ps = df.sparkSession.createDataFrame([(float(p),) for p in probs], "prob double")
     targets = (totals.crossJoin(F.broadcast(ps))
-               .select("column_name", "prob", ((F.col("_N") - 1) * F.col("prob")).alias("_h")))
-    t = targets.select("column_name", "prob", "_h", F.floor("_h").alias("_k"))
+               .select(*g, "prob", ((F.col("_N") - 1) * F.col("prob")).alias("_h")))
+    t = targets.select(*g, "prob", "_h", F.floor("_h").alias("_k"))
     # value at 0-based rank k is the smallest value whose inclusive count exceeds k
-    j = cum.join(F.broadcast(t) if len(probs) * len(cols) <= 10000 else t, "column_name")
-    agg = j.groupBy("column_name", "prob", "_h", "_k").agg(
+    j = cum.join(F.broadcast(t) if (len(probs) * len(cols) <= 10000 and not by) else t, g)
+    agg = j.groupBy(*g, "prob", "_h", "_k").agg(
         F.min(F.when(F.col("cum_n") >= F.col("_k") + 1, F.col("value"))).alias("_lo"),
         F.min(F.when(F.col("cum_n") >= F.col("_k") + 2, F.col("value"))).alias("_hi"))
     hi = F.coalesce(F.col("_hi"), F.col("_lo"))
-    return agg.select("column_name", "prob",
+    return agg.select(*g, "prob",
                       (F.col("_lo") + (hi - F.col("_lo")) * (F.col("_h") - F.col("_k"))).alias("quantile"))
 
 
