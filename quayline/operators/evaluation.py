@@ -40,7 +40,7 @@ def metrics_from_counts(x: DataFrame, ep: EvalParams = DEFAULT_EVAL) -> DataFram
     prec = _div(tp, tp + fp)
     rec = _div(tp, tp + fn)
     f1 = _div(prec * rec * 2, prec + rec)
-    cost = fn * ep.fn_cost + fp * ep.fp_cost
+    cost = (fn * ep.fn_cost + fp * ep.fp_cost).cast("double")
     return x.select(
         "*", rnd(_div(tp + tn, n), 6).alias("accuracy"), rnd(prec, 6).alias("precision"), rnd(rec, 6).alias("recall"),
         rnd(f1, 6).alias("f1"), rnd(_div(tn, tn + fp), 6).alias("specificity"), rnd(_div(tp + fn, n), 6).alias("prevalence"),
@@ -77,24 +77,23 @@ def class_report(ev: DataFrame, threshold: float = 0.5) -> DataFrame:
 def score_curve(ev: DataFrame) -> DataFrame:
     """Per distinct score (descending): cumulative TP/FP, TPR, FPR, precision, recall."""
     g = ev.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    tot = g.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     # descending score order == ascending on -p; distributed prefix sum over the <= 10,001 scores
     c = grouped_cumsum(g.withColumn("_g", F.lit(0)).withColumn("_np", -F.col("p")), ["_g"], ["_np"], ["pos", "neg"])
     c = c.crossJoin(F.broadcast(tot))
     return c.select("p", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-                    _div(F.col("cum_pos"), F.col("P")).alias("tpr"), _div(F.col("cum_neg"), F.col("N")).alias("fpr"),
-                    _div(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("prec"), "P", "N")
+                    _div(F.col("cum_pos"), F.col("_P")).alias("tpr"), _div(F.col("cum_neg"), F.col("_N")).alias("fpr"),
+                    _div(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("prec"), "_P", "_N")
 
 
 def auc_ap(ev: DataFrame) -> DataFrame:
     """Tie-aware ROC-AUC (null with one class), AP = sum (R_n - R_{n-1}) P_n, Brier."""
     c = score_curve(ev)
-    prev_tpr = c["tpr"] - c["pos"] / F.col("P")
-    prev_fpr = c["fpr"] - c["neg"] / F.col("N")
-    x = c.select("*", (F.when(F.col("P") > 0, (F.col("fpr") - F.when(F.col("N") > 0, prev_fpr).otherwise(0.0))
-                              * (F.col("tpr") + F.when(F.col("P") > 0, prev_tpr).otherwise(0.0)) / 2)).alias("_auc_t"),
-                 F.when(F.col("P") > 0, (F.col("pos") / F.col("P")) * F.col("prec")).alias("_ap_t"))
-    a = x.agg(F.sum("_auc_t").alias("_auc"), F.sum("_ap_t").alias("_ap"), F.max("P").alias("_P"), F.max("N").alias("_N"))
+    P, N = F.col("_P"), F.col("_N")
+    x = c.select("*", ((F.col("fpr") - _div(F.col("fp") - F.col("neg"), N))
+                       * (F.col("tpr") + _div(F.col("tp") - F.col("pos"), P)) / 2).alias("_auc_t"),
+                 (_div(F.col("pos"), P) * F.col("prec")).alias("_ap_t"))
+    a = x.agg(F.sum("_auc_t").alias("_auc"), F.sum("_ap_t").alias("_ap"), F.max("_P").alias("_P"), F.max("_N").alias("_N"))
     b = ev.agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("_brier"))
     one_class = (F.col("_P") == 0) | (F.col("_N") == 0)
     return a.crossJoin(b).select(

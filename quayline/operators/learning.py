@@ -98,3 +98,38 @@ def strategy_metrics(feedback: DataFrame, outcomes: DataFrame) -> DataFrame:
         rnd_signed(F.avg("cost_error"), 2).alias("mean_cost_error"),
         rnd_signed(F.avg("delay_error"), 2).alias("mean_delay_error"),
         rnd(F.max_by(ratio, F.struct("evaluation_date", "outcome_id")), 3).alias("latest_cost_ratio"))
+
+
+def ewma_state_update(batch: DataFrame, prev: DataFrame | None, lp: LearningParams = DEFAULT_LEARN,
+                      order: list[Column] | None = None) -> DataFrame:
+    """T3 state step: (strategy_type, mu_raw, n) after folding a batch of checked outcomes
+    (batch rows are ordered by (evaluation_date, outcome_id); newest-K truncation as in L3)."""
+    order = order or [F.col("evaluation_date"), F.col("outcome_id")]
+    valid = batch.filter(F.col("is_valid"))
+    k = lp.horizon()
+    a = lp.alpha
+    w = Window.partitionBy("strategy_type").orderBy(*[o.desc() for o in order])
+    recent = valid.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= k)
+    part = recent.groupBy("strategy_type").agg(
+        F.sum(F.col("cost_ratio") * F.pow(F.lit(1.0 - a), F.col("_back") - 1) * a).alias("_s"))
+    m = valid.groupBy("strategy_type").agg(F.count(F.lit(1)).alias("_m"))
+    b = m.join(part, "strategy_type", "left")
+    if prev is None:
+        prev = batch.sparkSession.createDataFrame([], "strategy_type string, mu_raw double, n long")
+    j = b.join(prev, "strategy_type", "full_outer")
+    mm = F.coalesce(F.col("_m"), F.lit(0))
+    mu0 = F.coalesce(F.col("mu_raw"), F.lit(lp.initial))
+    return j.select("strategy_type",
+                    (F.pow(F.lit(1.0 - a), mm) * mu0 + F.coalesce(F.col("_s"), F.lit(0.0))).alias("mu_raw"),
+                    (F.coalesce(F.col("n"), F.lit(0)) + mm).cast("long").alias("n"))
+
+
+def ewma_from_state(state: DataFrame, lp: LearningParams = DEFAULT_LEARN) -> DataFrame:
+    """Multiplier table (as ``ewma_by_strategy``) from the streaming state."""
+    mu = F.col("mu_raw")
+    enough = F.col("n") >= lp.min_observations
+    m = F.when(enough, rnd(F.least(F.greatest(mu, F.lit(lp.lower)), F.lit(lp.upper)), 4)).otherwise(F.lit(1.0))
+    return state.select(
+        "strategy_type", F.col("n").alias("n_observations"), m.alias("multiplier"),
+        (enough & ((mu < lp.lower) | (mu > lp.upper))).alias("was_clamped"), rnd(m, 2).alias("multiplier_applied"),
+        F.when(enough, rnd_signed(m - 1.0, 4)).otherwise(F.lit(0.0)).alias("weight_adjustment"))

@@ -332,14 +332,17 @@ def _rank_sql(mode: str) -> str:
     elif mode == "MIN_DELAY":
         keys = "estimated_delivery_days, estimated_total_cost, estimated_risk"
     elif mode == "BALANCED":
-        keys = ("estimated_total_cost / greatest(max(estimated_total_cost) OVER (PARTITION BY event_id), 1.0) * 0.34"
-                " + estimated_risk / greatest(max(estimated_risk) OVER (PARTITION BY event_id), 0.01) * 0.33"
-                " + estimated_delivery_days / greatest(max(estimated_delivery_days) OVER (PARTITION BY event_id), 1.0) * 0.33"
-                ", estimated_total_cost")
+        keys = "bscore, estimated_total_cost"
     else:
         keys = "estimated_total_cost, estimated_delivery_days, estimated_risk"
+    src = "alts"
+    if mode == "BALANCED":
+        src = ("(SELECT *, estimated_total_cost / greatest(max(estimated_total_cost) OVER (PARTITION BY event_id), 1.0) * 0.34"
+               " + estimated_risk / greatest(max(estimated_risk) OVER (PARTITION BY event_id), 0.01) * 0.33"
+               " + estimated_delivery_days / greatest(max(estimated_delivery_days) OVER (PARTITION BY event_id), 1.0) * 0.33"
+               " AS bscore FROM alts) ab")
     return f"""
-, rk AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY {keys}, candidate_ordinal) AS rank FROM alts),
+, rk AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY {keys}, candidate_ordinal) AS rank FROM {src}),
 rk2 AS (SELECT *, rank = 1 AS is_recommended,
    estimated_total_cost - first_value(estimated_total_cost) OVER (PARTITION BY event_id ORDER BY rank) AS cost_difference,
    estimated_risk - first_value(estimated_risk) OVER (PARTITION BY event_id ORDER BY rank) AS risk_difference FROM rk)

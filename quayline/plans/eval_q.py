@@ -38,7 +38,7 @@ def _metrics_sql(src: str, extra_cols: str = "") -> str:
     return f"""SELECT {extra_cols} tp, fp, tn, fn,
       {R(_div('tp + tn', 'tp + fp + tn + fn'), 6)} AS accuracy, {R(prec, 6)} AS precision, {R(rec, 6)} AS recall,
       {R(f1, 6)} AS f1, {R(_div('tn', 'tn + fp'), 6)} AS specificity, {R(_div('tp + fn', 'tp + fp + tn + fn'), 6)} AS prevalence,
-      fn * {DEFAULT_EVAL.fn_cost!r} + fp * {DEFAULT_EVAL.fp_cost!r} AS total_error_cost,
+      CAST(fn * {DEFAULT_EVAL.fn_cost!r} + fp * {DEFAULT_EVAL.fp_cost!r} AS DOUBLE) AS total_error_cost,
       {R(_div(f'fn * {DEFAULT_EVAL.fn_cost!r} + fp * {DEFAULT_EVAL.fp_cost!r} + tp * 0.0 + tn * 0.0', 'tp + fp + tn + fn'), 4)}
         AS cost_per_row
     FROM {src}"""
@@ -75,15 +75,15 @@ def eval_class_report(spark, sf_dir):
 _CURVE = """
 , g AS (SELECT p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg FROM ev GROUP BY p),
 cu AS (SELECT p, pos, neg, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp,
-              sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM g)
+              sum(pos) OVER () AS P_, sum(neg) OVER () AS N_ FROM g)
 """
 
 
 @register("eval_auc_ap_brier", _BASE + _CURVE + f"""
-, t AS (SELECT sum((fp / N - (fp - neg) / N) * (tp / P + (tp - pos) / P) / 2) AS auc,
-               sum((pos / P) * (tp / (tp + fp))) AS ap, max(P) AS P, max(N) AS N FROM cu)
-SELECT CASE WHEN P = 0 OR N = 0 THEN NULL ELSE {R('auc', 6)} END AS roc_auc,
-       CASE WHEN P = 0 OR N = 0 THEN 0.0 ELSE {R('ap', 6)} END AS average_precision,
+, t AS (SELECT sum((fp / N_ - (fp - neg) / N_) * (tp / P_ + (tp - pos) / P_) / 2) AS auc,
+               sum((pos / P_) * (tp / (tp + fp))) AS ap, max(P_) AS P_, max(N_) AS N_ FROM cu)
+SELECT CASE WHEN P_ = 0 OR N_ = 0 THEN NULL ELSE {R('auc', 6)} END AS roc_auc,
+       CASE WHEN P_ = 0 OR N_ = 0 THEN 0.0 ELSE {R('ap', 6)} END AS average_precision,
        (SELECT {R('avg(pow(p - y, 2))', 6)} FROM ev) AS brier
 FROM t
 """)
@@ -93,8 +93,8 @@ def eval_auc_ap_brier(spark, sf_dir):
 
 
 @register("eval_curves", _BASE + _CURVE + f"""
-SELECT p AS score, tp, fp, {R('tp / P', 6)} AS tpr, {R('fp / N', 6)} AS fpr, {R('tp / (tp + fp)', 6)} AS precision,
-       {R('tp / P', 6)} AS recall FROM cu
+SELECT p AS score, tp, fp, {R('tp / P_', 6)} AS tpr, {R('fp / N_', 6)} AS fpr, {R('tp / (tp + fp)', 6)} AS precision,
+       {R('tp / P_', 6)} AS recall FROM cu
 """)
 def eval_curves(spark, sf_dir):
     """ROC and PR curve points per distinct score."""
@@ -129,7 +129,7 @@ def eval_bin_counts(spark, sf_dir):
 
 
 _GRID_SQL = ", grid AS (" + " UNION ALL ".join(
-    f"SELECT {t!r} AS threshold, {_conf(t)} FROM {{src}}" for t in DEFAULT_EVAL.thresholds) + ")"
+    f"SELECT CAST({t!r} AS DOUBLE) AS threshold, {_conf(t)} FROM {{src}}" for t in DEFAULT_EVAL.thresholds) + ")"
 
 
 @register("eval_threshold_grid", _BASE + _GRID_SQL.format(src="ev") + ", gm AS (" + _metrics_sql("grid", "threshold,")
@@ -225,7 +225,7 @@ def eval_crosstab(spark, sf_dir):
 
 @register("eval_prob_summary", _BASE + ", et AS (SELECT p, CASE WHEN p >= 0.5 AND y = 1 THEN 'TP' "
           "WHEN p < 0.5 AND y <> 1 THEN 'TN' WHEN p >= 0.5 AND y <> 1 THEN 'FP' ELSE 'FN' END AS error_type FROM ev) "
-          + " UNION ALL ".join(f"SELECT error_type, {q!r} AS prob, {R(f'quantile_cont(p, {q!r})', 6)} AS value "
+          + " UNION ALL ".join(f"SELECT error_type, CAST({q!r} AS DOUBLE) AS prob, {R(f'quantile_cont(p, {q!r})', 6)} AS value "
                                f"FROM et GROUP BY error_type" for q in (0.0, 0.25, 0.5, 0.75, 1.0)))
 def eval_prob_summary(spark, sf_dir):
     """Five-number summary of the score per error type."""

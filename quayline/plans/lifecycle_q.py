@@ -26,7 +26,7 @@ CASE WHEN l.kind = 'decision' THEN
 """
 
 
-@register("dec_lifecycle", with_ctes("lifecycle_log") + f"""
+@register("dec_lifecycle", "WITH RECURSIVE " + with_ctes("lifecycle_log")[len("WITH "):] + f"""
 , lg AS (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY ts, request_id) AS rn FROM lifecycle_log),
 st AS (
   SELECT r.decision_id, r.rn, r.d, r.e, r.rej, r.done, l.kind, l.target_status, l.ts,
@@ -136,7 +136,7 @@ def dec_validate(spark, sf_dir):
     """Decision requests checked against the ranked recommendations of their run."""
     v, _ = _validated(spark, sf_dir)
     return v.select("decision_id", "accepted", F.size("failures").alias("n_failures"),
-                    F.col("failures")[0].alias("first_failure"), "effective_status")
+                    F.try_element_at(F.col("failures"), F.lit(1)).alias("first_failure"), "effective_status")
 
 
 @register("dec_audit", _validate_sql() + """

@@ -1 +1,97 @@
-"""Registered queries."""
+"""Closed-loop compositions: overview KPIs (A19), the batch loop (A20) and learned costs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.numeric import rnd
+from ..operators import allocation, learning, ranking
+from ..sources import fixtures
+from ..sources.fixtures_sql import with_ctes
+from . import sqlbase as S
+from .alloc_q import _INPUTS_SQL, _SOL_COLS_SQL, _sol_cols, _solve_sql
+from .common import assessed
+from .learning_q import _LEARN_SQL, _checked, recorded
+from .lifecycle_q import _validate_sql, _validated
+from .registry import register
+from .risk_q import asof_inventory
+
+R, RS = S.R, S.RS
+_LEARN_TAIL = _LEARN_SQL[len(with_ctes("outcomes")):]
+
+
+@register("ana_overview_kpis", S.risk_with() + f", outcomes AS ({with_ctes('outcomes')[len('WITH outcomes AS ('):-2]})"
+          + _LEARN_TAIL + f"""
+SELECT (SELECT count(*) FROM leveled) AS n_events,
+       (SELECT count(*) FROM leveled WHERE risk_level IN ('HIGH', 'CRITICAL')) AS n_high_or_critical,
+       (SELECT count(*) FROM leveled WHERE risk_level = 'CRITICAL') AS n_critical,
+       (SELECT count(*) FROM outcomes WHERE execution_status <> 'COMPLETED') AS n_pending_execution,
+       (SELECT count(*) FROM outcomes WHERE execution_status = 'COMPLETED') AS n_completed,
+       (SELECT {RS('avg(cost_variance)', 2)} FROM cls) AS mean_cost_variance
+""")
+def ana_overview_kpis(spark, sf_dir):
+    """Overview KPIs over risk, decisions and outcomes (one-row frames cross-joined)."""
+    a = assessed(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.count_if(F.col("risk_level").isin("HIGH", "CRITICAL")).alias("n_high_or_critical"),
+        F.count_if(F.col("risk_level") == "CRITICAL").alias("n_critical"))
+    d = fixtures.outcomes(spark, sf_dir).agg(
+        F.count_if(F.col("execution_status") != "COMPLETED").alias("n_pending_execution"),
+        F.count_if(F.col("execution_status") == "COMPLETED").alias("n_completed"))
+    from ..functions.numeric import rnd_signed
+    o = recorded(spark, sf_dir).agg(rnd_signed(F.avg("cost_variance"), 2).alias("mean_cost_variance"))
+    return a.crossJoin(d).crossJoin(o)
+
+
+@register("loop_batch", _validate_sql() + _LEARN_TAIL + """
+, best AS (SELECT event_id, recommendation_code AS recommended_code FROM rk2 WHERE rank = 1)
+SELECT f.event_id, f.risk_level, coalesce(b.recommended_code, 'ALT_A') AS recommended_code,
+       len(v.failures) = 0 AS decision_accepted,
+       CASE WHEN v.top IS NOT NULL AND NOT v.top AND upper(v.decision_status) = 'APPROVED' THEN 'OVERRIDDEN'
+            ELSE upper(v.decision_status) END AS effective_status,
+       c.outcome_status,
+       CASE WHEN c.outcome_id IS NULL THEN NULL ELSE coalesce(m.multiplier, 1.0) END AS strategy_multiplier
+FROM feas f
+LEFT JOIN best b USING (event_id)
+LEFT JOIN vf v ON v.event_id = f.event_id
+LEFT JOIN cls c ON c.outcome_id = f.event_id
+LEFT JOIN mult m ON m.strategy_type = c.strategy_type
+""")
+def loop_batch(spark, sf_dir):
+    """The closed loop as one lazy plan: score -> allocate alternatives -> rank -> decide
+    -> measure -> learn, chained by keys (events without a step get nulls, not a failure)."""
+    from .alloc_q import alloc_inputs
+    inp = alloc_inputs(spark, sf_dir)
+    ranked = ranking.rank(allocation.alternatives(inp), "MIN_COST")
+    best = ranking.best_code(ranked, inp)
+    v, _ = _validated(spark, sf_dir)
+    c = _checked(spark, sf_dir)
+    m = learning.ewma_by_strategy(c)
+    a = assessed(spark, sf_dir).select("event_id", "risk_level")
+    out = (a.join(best, "event_id", "left")
+           .join(v.select("event_id", (F.size("failures") == 0).alias("decision_accepted"), "effective_status"),
+                 "event_id", "left")
+           .join(c.select(F.col("outcome_id").alias("event_id"), "outcome_status", "strategy_type"), "event_id", "left")
+           .join(F.broadcast(m.select("strategy_type", "multiplier")), "strategy_type", "left"))
+    return out.select("event_id", "risk_level", F.coalesce("recommended_code", F.lit("ALT_A")).alias("recommended_code"),
+                      "decision_accepted", "effective_status", "outcome_status",
+                      F.when(F.col("outcome_status").isNotNull(), F.coalesce("multiplier", F.lit(1.0)))
+                      .alias("strategy_multiplier"))
+
+
+_LEARNED_INPUTS = _INPUTS_SQL.replace(
+    "CAST(1 AS DOUBLE) AS air_multiplier, CAST(1 AS DOUBLE) AS secondary_multiplier",
+    f"coalesce((SELECT {R('multiplier', 2)} FROM mult WHERE strategy_type = 'AIR_FREIGHT'), CAST(1 AS DOUBLE)) AS air_multiplier, "
+    f"coalesce((SELECT {R('multiplier', 2)} FROM mult WHERE strategy_type = 'SECONDARY_SUPPLIER'), CAST(1 AS DOUBLE)) "
+    "AS secondary_multiplier")
+
+
+@register("opt_allocation_learned", S.risk_with() + f", outcomes AS ({with_ctes('outcomes')[len('WITH outcomes AS ('):-2]})"
+          + _LEARN_TAIL + _LEARNED_INPUTS + _solve_sql("MIN_COST") + f"SELECT {_SOL_COLS_SQL} FROM sol")
+def opt_allocation_learned(spark, sf_dir):
+    """MIN_COST allocation with the learned multipliers (2 dp, as applied) of air and secondary."""
+    a = assessed(spark, sf_dir)
+    snap = asof_inventory(fixtures.supply_events(spark, sf_dir), fixtures.inventory(spark, sf_dir))
+    m = learning.ewma_by_strategy(_checked(spark, sf_dir)).select("strategy_type", "multiplier_applied")
+    inp = allocation.assemble_inputs(a, snap, fixtures.suppliers(spark, sf_dir), multipliers=m)
+    return _sol_cols(allocation.solve(inp, "MIN_COST"))
