@@ -18,13 +18,17 @@ DESCRIBE_COLUMNS = ("demand_units", "inventory_units", "supplier_capacity_units"
 def describe(df: DataFrame, cols=DESCRIBE_COLUMNS) -> DataFrame:
     """A1: mean, sample std, min, quartiles, max and IQR per column (long form)."""
     lv = long_values(df, list(cols))
-    m = lv.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"),
+    # mean to 6 dp from an exact integer sum of micro-units (half-up), so it does not
+    # depend on the order in which partial sums are combined
+    m = lv.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"),
+                                      F.sum(F.round(F.col("value") * 1e6).cast("decimal(38,0)")).alias("_s6"),
                                       F.stddev_samp("value").alias("_std"), F.min("value").alias("min_value"),
                                       F.max("value").alias("max_value"))
     q = exact_quantiles(df, list(cols), [0.25, 0.5, 0.75]).groupBy("column_name").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "_q1"), (0.5, "_q2"), (0.75, "_q3"))])
     x = m.join(q, "column_name")
-    return x.select("column_name", "n", rnd_signed("_mean", 6).alias("mean"), rnd("_std", 6).alias("std"),
+    mean = (F.expr("(2 * _s6 + n) div (2 * n)") / 1e6).alias("mean")
+    return x.select("column_name", "n", mean, rnd("_std", 6).alias("std"),
                     "min_value", rnd_signed("_q1", 6).alias("q1"), rnd_signed("_q2", 6).alias("median"),
                     rnd_signed("_q3", 6).alias("q3"), "max_value", rnd_signed(F.col("_q3") - F.col("_q1"), 6).alias("iqr"))
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def grouped_cumsum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
                    n_parts: int | None = None, prefix: str = "cum_") -> DataFrame:
@@ -23,7 +25,12 @@ def grouped_cumsum(df: DataFrame, group_cols: list[str], order_cols: list[str],
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(group_cols) + list(order_cols)
-    r = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    ensure_checkpoint_dir(spark)
+    # Both consumers below (partition totals and the per-row sums) must see one and the
+    # same range partitioning.  Planned separately, column pruning gives them different
+    # exchanges, each sampling its own bounds.  A reliable checkpoint in the shared folder
+    # pins one shuffle (one set of bounds) and cuts the lineage for executor loss.
+    r = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=False)
     totals = r.groupBy("_pid", *group_cols).agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     wo = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per (range partition, group) that the partition touches: bounded by the partition layout

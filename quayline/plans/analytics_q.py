@@ -21,7 +21,8 @@ def ev(spark, sf_dir):
 
 
 @register("ana_describe", SE + " UNION ALL ".join(f"""
-SELECT '{c}' AS column_name, count({c}) AS n, {RS(f'avg(CAST({c} AS DOUBLE))', 6)} AS mean,
+SELECT '{c}' AS column_name, count({c}) AS n,
+  CAST((2 * sum(CAST(round(CAST({c} AS DOUBLE) * 1e6) AS HUGEINT)) + count({c})) // (2 * count({c})) AS DOUBLE) / 1e6 AS mean,
   {R(f'stddev_samp(CAST({c} AS DOUBLE))', 6)} AS std, CAST(min({c}) AS DOUBLE) AS min_value,
   {RS(f'quantile_cont(CAST({c} AS DOUBLE), 0.25)', 6)} AS q1, {RS(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)', 6)} AS median,
   {RS(f'quantile_cont(CAST({c} AS DOUBLE), 0.75)', 6)} AS q3, CAST(max({c}) AS DOUBLE) AS max_value,

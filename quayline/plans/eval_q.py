@@ -93,7 +93,7 @@ def eval_auc_ap_brier(spark, sf_dir):
 
 
 @register("eval_curves", _BASE + _CURVE + f"""
-SELECT p AS score, tp, fp, {R('tp / P_', 6)} AS tpr, {R('fp / N_', 6)} AS fpr, {R('tp / (tp + fp)', 6)} AS precision,
+SELECT p AS score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, {R('tp / P_', 6)} AS tpr, {R('fp / N_', 6)} AS fpr, {R('tp / (tp + fp)', 6)} AS precision,
        {R('tp / P_', 6)} AS recall FROM cu
 """)
 def eval_curves(spark, sf_dir):
