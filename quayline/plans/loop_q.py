@@ -51,7 +51,7 @@ SELECT f.event_id, f.risk_level, coalesce(b.recommended_code, 'ALT_A') AS recomm
             ELSE upper(v.decision_status) END AS effective_status,
        c.outcome_status,
        CASE WHEN c.outcome_id IS NULL THEN NULL ELSE coalesce(m.multiplier, 1.0) END AS strategy_multiplier
-FROM feas f
+FROM leveled f
 LEFT JOIN best b USING (event_id)
 LEFT JOIN vf v ON v.event_id = f.event_id
 LEFT JOIN cls c ON c.outcome_id = f.event_id

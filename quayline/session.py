@@ -19,6 +19,11 @@ LOCAL_CONF = {
     "spark.driver.bindAddress": "127.0.0.1",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "8g",
+    # The staged allocation solve generates stage methods above HotSpot's 8 KB JIT limit;
+    # without this flag they run interpreted for every row.  Set it on the executors of a
+    # cluster too (spark.executor.extraJavaOptions).
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
 
