@@ -67,7 +67,7 @@ def service_risk(tier: str, c: str, s: str) -> str:
                       WHEN {c} < 1.0 THEN CAST(80 AS DOUBLE)/100 ELSE CAST(40 AS DOUBLE)/100 END)
               WHEN {s} IS NOT NULL THEN (CASE WHEN {s} = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(40 AS DOUBLE)/100 END)
               ELSE CAST(70 AS DOUBLE)/100 END"""
-    return R(clip(f"({w}) * ({exp})"), 4)
+    return f"CASE WHEN ({w}) IS NOT NULL THEN {R(clip(f'({w}) * ({exp})'), 4)} END"
 
 
 def supplier_risk(rel: str, rate: str) -> str:
