@@ -7,7 +7,7 @@ bounded aggregate, never over row-level data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip01, rnd
@@ -202,16 +202,13 @@ def chronological_split(df: DataFrame, date_col: str = "date", id_col: str = "ev
                         test_share: float = 0.2, val_share: float = 0.2) -> DataFrame:
     """M1: last int(.2 n) rows by (date, id) are test, the int(.2 (n - test)) before them validation.
 
-    Two-level rank: per-date counts get cumulative offsets from a distributed
-    prefix sum over the (small) date table; rows are ranked within their date."""
-    per_date = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    off = grouped_cumsum(per_date.withColumn("_g", F.lit(0)), ["_g"], [date_col], ["_cnt"]) \
-        .select(date_col, (F.col("cum__cnt") - F.col("_cnt")).alias("_off"))
-    n = per_date.agg(F.sum("_cnt").alias("_n"))
-    w = Window.partitionBy(date_col).orderBy(id_col)
-    x = df.join(off, date_col).withColumn("_rank", F.col("_off") + F.row_number().over(w)).crossJoin(F.broadcast(n))
+    The global (date, id) rank is a range-partitioned prefix count, so a date holding a
+    large share of the rows is split across tasks like any other range."""
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    x = grouped_cumsum(df.withColumn("_g", F.lit(0)).withColumn("_one", F.lit(1)), ["_g"], [date_col, id_col], ["_one"])
+    x = x.withColumnRenamed("cum__one", "_rank").drop("_g", "_one").crossJoin(F.broadcast(n))
     n_test = F.greatest(F.lit(1), F.floor(F.col("_n") * test_share))
     n_val = F.greatest(F.lit(1), F.floor((F.col("_n") - n_test) * val_share))
     split = (F.when(F.col("_rank") > F.col("_n") - n_test, "test")
              .when(F.col("_rank") > F.col("_n") - n_test - n_val, "validation").otherwise("train"))
-    return x.withColumn("split", split).drop("_off", "_n")
+    return x.withColumn("split", split).drop("_n")

@@ -151,7 +151,7 @@ val AS (SELECT * FROM spl WHERE split = 'validation')
 
 @register("split_chronological", _BASE + _SPLIT_SQL + "SELECT event_id, split FROM spl")
 def split_chronological(spark, sf_dir):
-    """M1: chronological train / validation / test split (two-level rank)."""
+    """M1: chronological train / validation / test split (range-partitioned global rank)."""
     return EV.chronological_split(eval_base(spark, sf_dir)).select("event_id", "split")
 
 
