@@ -197,7 +197,7 @@ def solve(inp: DataFrame, objective: str = "MIN_COST", p: AllocationParams = DEF
         return F.struct(a.alias("c"), F.lit(i).alias("i") if isinstance(i, int) else i.alias("i"), cap.alias("cap"))
 
     # stage 1: sorted real sources per switch setting
-    x = _stage(x, {f"_src{k}": F.array_sort(F.array(
+    x = _stage(x, {f"_src{k}": F.sort_array(F.array(
         st(F.col("_a_p"), 0, F.col("primary_capacity")),
         st(F.col("_a_s"), 1, F.col("secondary_capacity") * ys),
         st(F.col("_a_a"), 2, F.col("air_capacity") * ya))) for k, (ya, ys, yd) in enumerate(combos)})
@@ -209,7 +209,7 @@ def solve(inp: DataFrame, objective: str = "MIN_COST", p: AllocationParams = DEF
             F.col(f"_src{k}")[j]["cap"],
             F.col(f"_mreq{k}") - sum((F.col(f"_m{k}_{t}") for t in range(j)), zero))) for k in range(len(combos))})
     # stage 3: fill the rest of N from what is left, or leave it unmet
-    x = _stage(x, {f"_rst{k}": F.array_sort(F.array(
+    x = _stage(x, {f"_rst{k}": F.sort_array(F.array(
         *[st(F.col(f"_src{k}")[j]["c"], F.col(f"_src{k}")[j]["i"], F.col(f"_src{k}")[j]["cap"] - F.col(f"_m{k}_{j}"))
           for j in range(3)],
         st(F.col("_a_u"), 3, F.col("_U")))) for k in range(len(combos))})
