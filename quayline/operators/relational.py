@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import grouped_last
+
 
 def latest_per_key(df: DataFrame, keys, order: list[Column]) -> DataFrame:
     """Q1: newest row per key (``row_number() = 1`` over the given order).
@@ -21,9 +23,9 @@ def asof_last(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     """As-of join: for each left row, ``value`` of the newest right row of the same key
     dated on or before the left row (same date: lowest ``right_id``).
 
-    Both sides are unioned and scanned by one window per key ordered by
-    (date, side, id desc) with ``last(ignorenulls)``; no left x right pairs are
-    formed, so a key with many snapshots costs a sort, not a product.
+    Both sides are unioned and scanned in (key, date, side, id desc) order with a
+    carry-forward of the last snapshot value (``scan.grouped_last``); no left x right
+    pairs are formed, so a key with many snapshots costs a sort, not a product.
     """
     le = left.select(F.col(left_id).alias("_lid"), F.col(left_key).alias("_key"), F.col(left_date).alias("_d"),
                      F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_rid"),
@@ -31,9 +33,9 @@ def asof_last(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     ri = right.select(F.lit(None).cast(left.schema[left_id].dataType).alias("_lid"), F.col(right_key).alias("_key"),
                       F.col(right_date).alias("_d"), F.lit(0).alias("_side"), F.col(right_id).cast("string").alias("_rid"),
                       F.col(value).alias("_v"))
-    w = (Window.partitionBy("_key").orderBy("_d", "_side", F.col("_rid").desc())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    u = le.unionByName(ri).withColumn("_last", F.last("_v", ignorenulls=True).over(w))
+    # carry-forward per key on a range-partitioned scan, so a key holding a large share of the
+    # events or snapshots is split across tasks
+    u = grouped_last(le.unionByName(ri), ["_key"], [F.col("_d"), F.col("_side"), F.col("_rid").desc()], "_v", "_last")
     return u.filter(F.col("_side") == 1).select(F.col("_lid").alias(left_id), F.col("_last").alias(out))
 
 

@@ -9,7 +9,7 @@ the offset to a running total computed inside each range partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -42,6 +42,30 @@ def grouped_cumsum(df: DataFrame, group_cols: list[str], order_cols: list[str],
     return j.select(*df.columns, *[(F.col(f"_o_{v}") + F.sum(v).over(wi)).alias(f"{prefix}{v}") for v in value_cols])
 
 
+def grouped_last(df: DataFrame, group_cols: list[str], order: list[Column], value: str, out: str,
+                 n_parts: int | None = None) -> DataFrame:
+    """``last(value, ignorenulls)`` over all rows of the group up to and including each row
+    (in ``order``), without one task per group: the carry-forward of ``grouped_cumsum``.
+
+    Rows are range-partitioned on (group, order); each range reports its group's last
+    non-null value, a window over that small table carries it into later ranges, and each
+    row takes its in-range value or else the carried one."""
+    spark = df.sparkSession
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(spark)
+    r = (df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order)
+         .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=False))
+    wi = Window.partitionBy("_pid", *group_cols).orderBy(*order)
+    x = r.select("*", F.last(value, ignorenulls=True).over(wi.rowsBetween(Window.unboundedPreceding, 0)).alias("_in"),
+                 F.last(value, ignorenulls=True).over(wi.rowsBetween(Window.unboundedPreceding,
+                                                                     Window.unboundedFollowing)).alias("_pl"))
+    ends = x.groupBy("_pid", *group_cols).agg(F.first("_pl").alias("_pl"))
+    wo = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_pid", *group_cols, F.last("_pl", ignorenulls=True).over(wo).alias("_carry"))
+    j = x.join(carried, ["_pid", *group_cols], "left")
+    return j.select(*df.columns, F.coalesce("_in", "_carry").alias(out))
+
+
 def long_values(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """(column_name, [by...], value) long form of the non-null values of ``cols`` (as double)."""
     by = list(by or [])

@@ -37,3 +37,22 @@ def test_exact_quantiles_match_numpy(spark):
         xs = np.array([x for gg, _, _, x in rows if gg == g])
         for p in probs:
             assert abs(got[(g, p)] - float(np.quantile(xs, p))) < 1e-9, (g, p)
+
+
+def test_grouped_last_matches_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from quayline.operators.scan import grouped_last
+    rnd = random.Random(5)
+    rows = []
+    for i in range(4000):
+        g = "hot" if i % 3 == 0 else f"k{rnd.randint(0, 40)}"
+        v = rnd.randint(0, 99) if rnd.random() < 0.3 else None
+        rows.append((g, rnd.randint(0, 500), i, v))
+    df = spark.createDataFrame(rows, "g string, d int, i int, v int").repartition(7)
+    order = [F.col("d"), F.col("i").desc()]
+    got = {r["i"]: r["lv"] for r in grouped_last(df, ["g"], order, "v", "lv", n_parts=16).collect()}
+    w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    want = {r["i"]: r["lv"] for r in df.select("i", F.last("v", ignorenulls=True).over(w).alias("lv")).collect()}
+    assert got == want
