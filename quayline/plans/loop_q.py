@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
-from ..operators import allocation, learning, ranking
+from ..operators import allocation, learning, lifecycle, ranking
 from ..sources import fixtures
 from ..sources.fixtures_sql import with_ctes
 from . import sqlbase as S
 from .alloc_q import _INPUTS_SQL, _SOL_COLS_SQL, _sol_cols, _solve_sql
 from .common import assessed
 from .learning_q import _LEARN_SQL, _checked, recorded
-from .lifecycle_q import _validate_sql, _validated
+from .lifecycle_q import _requests, _validate_sql
 from .registry import register
 from .risk_q import asof_inventory
 
@@ -64,7 +64,9 @@ def loop_batch(spark, sf_dir):
     inp = alloc_inputs(spark, sf_dir)
     ranked = ranking.rank(allocation.alternatives(inp), "MIN_COST")
     best = ranking.best_code(ranked, inp)
-    v, _ = _validated(spark, sf_dir)
+    # decisions are validated against this same ranking (the alternatives are solved once)
+    recs = ranked.select("event_id", "recommendation_code", "is_recommended", "strategy_type")
+    v = lifecycle.validate_decisions(_requests(spark, sf_dir), recs)
     c = _checked(spark, sf_dir)
     m = learning.ewma_by_strategy(c)
     a = assessed(spark, sf_dir).select("event_id", "risk_level")
