@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,11 +44,15 @@ def local_session(cpus: int | str = 8, app: str = "quayline", extra: dict | None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local tests)
-    do we create a fresh scratch folder of our own.
+    A cluster names a shared folder there.  When it is unset, a single-JVM session (tests,
+    local bench) gets a fresh scratch folder; any other master is refused, since a folder
+    of the driver's machine is not seen by the executors.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; on {master} it must name a shared folder")
         current = tempfile.mkdtemp(prefix="quayline-ckpt-", dir=os.environ.get("QUAYLINE_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
