@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
+from .decontaminate import contaminated
+from .html_extract import extract_main_text
+from .language_id import identify_languages
+from .line_dedup import drop_shared_lines
 from .minhash_forest import near_duplicates
+from .packing import pack_sequences
+from .quality_rank import rank_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,3 +29,56 @@ def register(fn: Callable[[SparkSession, str], DataFrame]):
 @register
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=4, percent=80)
+
+
+@register
+def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir))
+
+
+@register
+def op4_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@register
+def op5_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), length=4096)
+
+
+@register
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_shared_lines(documents(spark, sf_dir, "doc_id", "text"), min_chars=20, min_docs=3)
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE["op8_line_dedup"] = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (
+  SELECT doc_id, line, pos,
+         translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+shared AS (
+  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20 GROUP BY key
+  HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT k.doc_id, k.line, k.pos, s.key IS NOT NULL AND k.doc_id <> s.last_doc AS gone
+  FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@register
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@register
+def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
