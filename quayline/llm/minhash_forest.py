@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialize, mix, shingle_sets, single, slices
 from .components import connected_components
 
+DENSE_REACH = 3
 BLOCK = 256  # documents of one label that share a confirmation block
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, size=(2, 512), dtype=np.uint64).astype(np.uint32)
 
@@ -76,6 +77,14 @@ def _sets(k: int):
     return run
 
 
+def _region(prefix: np.ndarray, tree: int) -> np.ndarray:
+    """Key of the region: hash of the prefix, with the tree's number in the low 6 bits."""
+    key = np.full(len(prefix), tree + 1, dtype=np.uint64)
+    for c in range(prefix.shape[1]):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + prefix[:, c].astype(np.uint64))
+    return (key & ~np.uint64(63)) | np.uint64(tree)
+
+
 def _trees(trees: int, depth: int):
     def run(batches):
         for batch in batches:
@@ -90,9 +99,7 @@ def _trees(trees: int, depth: int):
             wide = sig.astype(np.uint64)
             for t in range(trees):
                 at = [(t * depth + i) % sig.shape[1] for i in range(depth + 4)]
-                key = np.full(len(doc), t + 1, dtype=np.uint64)
-                for c in at[:depth]:
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, c])
+                key = _region(wide[:, at[:depth]], t)
                 follow = np.zeros(len(doc), dtype=np.uint64)
                 for c in at[depth:]:
                     follow = (follow << np.uint64(16)) | (wide[:, c] >> np.uint64(16))
@@ -117,10 +124,12 @@ def _neighbours(reach: int, percent: int, cut: int):
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             key, _, doc, n, lo, hi = cols
             fresh = 0 if held is None else len(held[0])
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+            dense = np.repeat(np.diff(edge), np.diff(edge)) > reach + 1
             found = [np.empty((2, 0), dtype=np.int64)]
             for lag in range(1, min(reach, len(key) - 1) + 1):
                 i = np.arange(max(fresh, lag), len(key))
-                i = i[key[i] == key[i - lag]]
+                i = i[(key[i] == key[i - lag]) & (~dense[i] | (lag <= DENSE_REACH))]
                 j = i - lag
                 near = np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])
                 i, j = i[near], j[near]
@@ -129,67 +138,76 @@ def _neighbours(reach: int, percent: int, cut: int):
                 found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             none = pa.nulls(pairs.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none, none], _FOUND)
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
-            run = np.repeat(np.diff(edge), np.diff(edge))
-            dense = run > reach + 1
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none], _FOUND)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[dense]), pa.nulls(int(dense.sum()), pa.int64()), *(pa.array(c[dense]) for c in (key, n, lo, hi))],
-                _FOUND)
+                [pa.array(doc[dense]), pa.nulls(int(dense.sum()), pa.int64()), pa.array(key[dense]), pa.array(n[dense])], _FOUND)
             held = [c[-reach - 1:] for c in cols]
     return run
 
 
-_FOUND = ["a", "b", "key", "n", "lo", "hi"]
+_FOUND = ["a", "b", "key", "n"]
 
 
-def _across(percent: int, cut: int):
+def _across(trees: int, depth: int, percent: int):
     """Rows sorted by (key, block, kind): first the region's documents outside its largest component
-    (kind 0), then the members of the block -> candidate pairs of different components."""
+    (kind 0), then the members of the block -> pairs of different components whose signatures do not
+    rule the similarity out.  A pair is made only in the first tree where the two share a region."""
+    values = trees * depth
+    chance = percent / 100
+    least = values * chance - 4.5 * (values * chance * (1 - chance)) ** 0.5
+
+    def pairs(m: dict, x: dict):
+        ok = (m["root"][:, None] != x["root"]) & (np.minimum(m["n"][:, None], x["n"]) * 100 >= percent * np.maximum(m["n"][:, None], x["n"]))
+        i, j = np.nonzero(ok)
+        for at in range(0, len(i), 4096):
+            u, v = i[at:at + 4096], j[at:at + 4096]
+            same = m["sig"][u] == x["sig"][v]
+            close = same.sum(axis=1) >= least
+            u, v, same = u[close], v[close], same[close]
+            first = same.reshape(len(u), trees, depth).all(axis=2).argmax(axis=1)
+            here = first == (m["key"][u] & 63)
+            a, b = m["doc"][u[here]], x["doc"][v[here]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
     def run(batches):
         at, minor = None, None
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "kind", "doc", "root", "n", "lo", "hi")}
+            if not batch.num_rows:
+                continue
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "kind", "doc", "root", "n")}
+            cols["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
             edge = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["block"]) != 0) | (np.diff(cols["kind"]) != 0)) + 1
             for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows]):
                 part = {c: x[lo:hi] for c, x in cols.items()}
-                if lo == hi:
-                    continue
                 here = (part["key"][0], part["block"][0])
                 if here != at:
                     at, minor = here, None
                 if part["kind"][0] == 0:
                     minor = part if minor is None else {c: np.concatenate([minor[c], x]) for c, x in part.items()}
                     continue
-                for x in range(0, len(minor["doc"]) if minor else 0, 1024):
-                    m = {c: v[x:x + 1024, None] for c, v in minor.items()}
-                    ok = (m["root"] != part["root"]) & (np.minimum(m["n"], part["n"]) * 100 >= percent * np.maximum(m["n"], part["n"]))
-                    i, j = np.nonzero(ok)
-                    near = _ones(m["lo"][i, 0] ^ part["lo"][j]) + _ones(m["hi"][i, 0] ^ part["hi"][j]) <= cut
-                    u, v = m["doc"][i[near], 0], part["doc"][j[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+                for x in range(0, len(minor["doc"]) if minor else 0, 512):
+                    yield from pairs({c: v[x:x + 512] for c, v in minor.items()}, part)
     return run
 
 
-def _dense_rest(members: DataFrame, links: DataFrame, percent: int, cut: int) -> DataFrame:
+def _dense_rest(members: DataFrame, signatures: DataFrame, links: DataFrame, trees: int, depth: int, percent: int) -> DataFrame:
     """Candidate pairs that neighbour search left in dense regions: each document outside the
     region's largest component (by the links so far) against all members of other components."""
     roots = connected_components(links)
-    rows = (members.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
-            .select("key", "doc", F.coalesce("root", "doc").alias("root"), "n", "lo", "hi"))
-    rows = materialize(rows)
+    rows = materialize(members.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+                       .select("key", "doc", F.coalesce("root", "doc").alias("root"), "n"))
     count = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
     region = (count.groupBy("key").agg(F.sum("c").alias("total"), F.count("*").alias("parts"),
                                        F.max_by("root", F.struct("c", "root")).alias("main"))
               .where("parts > 1").select("key", "main", F.ceil(F.col("total") / 512).cast("int").alias("blocks")))
-    open_rows = rows.join(region, "key")
+    open_rows = rows.join(region, "key").join(signatures, "doc")
     member = open_rows.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).withColumn("kind", F.lit(1))
     minor = (open_rows.where("root != main").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
              .withColumn("kind", F.lit(0)))
-    cols = ["key", "block", "kind", "doc", "root", "n", "lo", "hi"]
+    cols = ["key", "block", "kind", "doc", "root", "n", "sig"]
     tasks = (minor.select(*cols).unionByName(member.select(*cols)).repartition("key", "block")
              .sortWithinPartitions("key", "block", "kind"))
-    return arrow_map(tasks, _across(percent, cut), "a long, b long").distinct()
+    return arrow_map(tasks, _across(trees, depth, percent), "a long, b long").distinct()
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -270,15 +288,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forest = (arrow_map(reps, _trees(trees, depth), "key long, follow long, doc long, n long, lo long, hi long")
               .repartitionByRange(parts, "key", "follow").sortWithinPartitions("key", "follow", "doc"))
     found = materialize(arrow_map(forest, _neighbours(reach, percent, cut),
-                                  "a long, b long, key long, n long, lo long, hi long"))
+                                  "a long, b long, key long, n long"))
     pairs = materialize(found.where("b is not null").select("a", "b").distinct())
-    members = found.where("b is null").select("key", F.col("a").alias("doc"), "n", "lo", "hi").distinct()
+    members = found.where("b is null").select("key", F.col("a").alias("doc"), "n").distinct()
     wanted = (found.select(F.col("a").alias("doc_id")).unionByName(found.where("b is not null").select(F.col("b").alias("doc_id")))
               .distinct())
     sets = materialize(arrow_map(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), _sets(k),
                                  "doc long, shingles binary"))
     links = materialize(_confirmed(pairs, sets, percent))
-    rest = materialize(_dense_rest(members, links, percent, cut).join(pairs, ["a", "b"], "left_anti"))
+    signatures = reps.select(F.col("doc_id").alias("doc"), "sig")
+    rest = materialize(_dense_rest(members, signatures, links, trees, depth, percent).join(pairs, ["a", "b"], "left_anti"))
     links = links.unionByName(_confirmed(rest, sets, percent))
     repeated = full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     same_id = (full.select("doc_id", "digest").join(repeated, "doc_id").join(classes, "digest")
