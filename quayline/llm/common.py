@@ -55,7 +55,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` with this package on the workers' path."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

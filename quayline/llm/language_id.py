@@ -177,3 +177,29 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     return arrow_map(rows, _predict(profiles, size), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def _keep_recognised(profiles: dict[str, list[int]], size: int, text_col: str):
+    def run(batches):
+        model = Profiles(profiles, size) if profiles else None
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            texts = single(batch.column(text_col))
+            for lo, hi in slices(texts):
+                part = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+                for a in range(0, len(part), 512):
+                    own = part[a:a + 512]
+                    keep[lo + a:lo + a + len(own)] = [x != "und" for x in model.predict(own)[0]] if model else False
+            yield batch.filter(pa.array(keep))
+    return run
+
+
+def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+               size: int = 400, sample: int = 1000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose text a language is recognised (not ``und``).
+
+    Learned as in ``identify_languages``; the same cases are rejected that are ``und`` there.
+    """
+    learn = F.coalesce(~held_out(F.col(id_col)), F.lit(False))
+    profiles = train_profiles(docs, learn, id_col, text_col, lang_col, size, sample)
+    return arrow_map(docs, _keep_recognised(profiles, size, text_col), docs.schema)

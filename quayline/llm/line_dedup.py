@@ -49,8 +49,8 @@ def _line_keys(min_chars: int):
 
 
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20,
-                      min_docs: int = 3) -> DataFrame:
-    """``docs`` with ``text_col`` rebuilt without shared lines, plus ``n_lines`` (before) and ``n_dropped``.
+                      min_docs: int = 3, lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
+    """``docs`` with ``text_col`` rebuilt without shared lines, plus ``lines_col`` (lines before) and ``dropped_col``.
 
     A text is split at ``\\n`` (null or empty: one empty line).  A line's key is the line without
     ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased.  Keys of at least ``min_chars`` code
@@ -58,7 +58,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     document of the largest id that holds them.  Other lines stay as they are, joined by ``\\n``.
     The text of a null document stays null.  A row with a null id counts for no key and loses no
     line.  Rows that repeat an id count as one document and each lose the lines whose keys are
-    dropped for that id.  Other columns pass through.
+    dropped for that id.  Other columns pass through; the two new names must be free.
     """
     name = "__dropped"
     while any(c.startswith(name) for c in docs.columns):
@@ -82,5 +82,5 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return joined.select(
         *[F.when(F.col(name).isNull(), text).otherwise(rebuilt).alias(c) if c == text_col else F.col(f"`{c}`")
           for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size(name), F.lit(0)).cast("long").alias("n_dropped"))
+        F.size(lines).cast("long").alias(lines_col),
+        F.coalesce(F.size(name), F.lit(0)).cast("long").alias(dropped_col))

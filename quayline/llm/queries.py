@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,11 @@ from .html_extract import extract_main_text
 from .language_id import identify_languages
 from .line_dedup import drop_shared_lines
 from .minhash_forest import near_duplicates
+from .order_minhash import fingerprints_with_edit
 from .packing import pack_sequences
 from .quality_rank import rank_quality
+from .secret_scan import scan_secrets
+from .token_count import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +35,11 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=4, percent=80)
 
 
+@register
+def op2_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
 @register
 def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
@@ -46,6 +55,16 @@ def op5_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), length=4096)
 
 
+@register
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_with_edit(documents(spark, sf_dir))
+
+
+@register
+def op7_count_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_shared_lines(documents(spark, sf_dir, "doc_id", "text"), min_chars=20, min_docs=3)
@@ -82,3 +101,8 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @register
 def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

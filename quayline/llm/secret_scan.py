@@ -3,8 +3,8 @@
 Two first-order character models are trained from labelled samples, one on random strings and one on
 ordinary identifiers.  A long token outside the patterns' spans is a secret if its mean log-likelihood
 ratio per character step reaches a threshold.  Unless samples are given, they are labelled by the
-patterns themselves over all documents: what a pattern captures is random, the other words of 8 and
-more characters are ordinary.  Only the two transition count tables (at most 67 x 67 each) are
+patterns themselves over all documents: what a pattern captures is random; other words of 8 and
+more characters are ordinary, but for mixtures of digits and letters, which are left unlabelled.  Only the two transition count tables (at most 67 x 67 each) are
 gathered; all scanning is vectorised over batches of whole texts.
 """
 
@@ -33,6 +33,7 @@ _TOKEN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+
 _INDEX = np.full(256, -1, dtype=np.int64)
 _INDEX[list(_TOKEN_BYTES)] = np.arange(len(_TOKEN_BYTES))
 STATES = len(_TOKEN_BYTES)
+BACKOFF = 20.0
 
 
 def _runs(inside: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +84,14 @@ def _outside(start: np.ndarray, end: np.ndarray, taken: list[tuple[int, int, str
     return (before < 0) | (reach[np.maximum(before, 0)] <= start)
 
 
+def _mixed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Tokens that are no clear example of an ordinary identifier: of capitals, small letters and digits
+    together, or of letters with a quarter or more digits."""
+    upper, lower, digit = (np.concatenate([[0], np.cumsum((raw >= a) & (raw <= b))]) for a, b in ((65, 90), (97, 122), (48, 57)))
+    u, w, d = (c[end] - c[start] for c in (upper, lower, digit))
+    return ((u > 0) & (w > 0) & (d > 0)) | ((u + w > 0) & (4 * d >= end - start))
+
+
 def _count(batches):
     """(text) -> (label, pair, n), summed per task."""
     total = np.zeros((2, STATES * STATES), dtype=np.int64)
@@ -96,7 +105,7 @@ def _count(batches):
             if spans:
                 total[1] += transitions(raw, np.array([s[0] for s in spans]), np.array([s[1] for s in spans]))
             start, end = _runs(_INDEX[raw] >= 0, offsets, 8)
-            free = _outside(start, end, spans)
+            free = _outside(start, end, spans) & ~_mixed(raw, start, end)
             total[0] += transitions(raw, start[free], end[free])
     label, pair = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(label, pa.int64()), pa.array(pair, pa.int64()), pa.array(total[label, pair])],
@@ -117,13 +126,18 @@ def _count_samples(batches):
 
 
 def train_ratio(docs: DataFrame, samples: DataFrame | None = None) -> np.ndarray:
-    """Log ratio (random over ordinary) of each transition, add-one smoothed; flat where nothing was learned."""
+    """Log ratio (random over ordinary) of each transition; flat where nothing was learned.
+
+    A transition is smoothed by BACKOFF counts of the next character's own share, that by add-one.
+    """
     frame = (arrow_map(docs, _count, "label long, pair long, n long") if samples is None
              else arrow_map(samples.select("text", "label"), _count_samples, "label long, pair long, n long"))
-    count = np.ones((2, STATES, STATES))
+    count = np.zeros((2, STATES, STATES))
     for row in frame.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
         count[row.label].flat[row.pair] += row.n
-    prob = count / count.sum(axis=2, keepdims=True)
+    share = count.sum(axis=1, keepdims=True) + 1
+    share /= share.sum(axis=2, keepdims=True)
+    prob = (count + BACKOFF * share) / (count.sum(axis=2, keepdims=True) + BACKOFF)
     return np.log(prob[1] / prob[0]).ravel()
 
 

@@ -1,0 +1,7 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from quayline.session import local_session
+    return local_session(4, app="quayline-tests", extra={"spark.sql.shuffle.partitions": "4"})
