@@ -1,8 +1,7 @@
 """Model evaluation aggregates (E1-E18) and the chronological split (M1).
 
-Scores are probabilities rounded to 4 dp (as batch scoring emits them), so
-curve tables have at most 10,001 rows; their cumulative sums run over that
-bounded aggregate, never over row-level data.
+Curve tables have one row per distinct score; their cumulative sums are distributed prefix sums
+over that aggregate, never a window over row-level data.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def prepare(df: DataFrame, prob: str = "delay_probability", label: str = "delay_occurred") -> DataFrame:
-    """Clip and round scores to 4 dp; label as int."""
-    return df.withColumn("p", rnd(clip01(F.col(prob)), 4)).withColumn("y", F.col(label).cast("int"))
+    """Clip scores to [0, 1]; label as int.  Thresholds see the score itself, never a rounded one."""
+    return df.withColumn("p", clip01(F.col(prob))).withColumn("y", F.col(label).cast("int"))
 
 
 def confusion(df: DataFrame, threshold: float) -> list[Column]:
@@ -78,7 +77,7 @@ def score_curve(ev: DataFrame) -> DataFrame:
     """Per distinct score (descending): cumulative TP/FP, TPR, FPR, precision, recall."""
     g = ev.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
     tot = g.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    # descending score order == ascending on -p; distributed prefix sum over the <= 10,001 scores
+    # descending score order == ascending on -p; distributed prefix sum over the distinct scores
     c = grouped_cumsum(g.withColumn("_g", F.lit(0)).withColumn("_np", -F.col("p")), ["_g"], ["_np"], ["pos", "neg"])
     c = c.crossJoin(F.broadcast(tot))
     return c.select("p", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),

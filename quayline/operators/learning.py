@@ -1,10 +1,10 @@
-"""Feedback learning (L1-L10): safeguarded cost ratios and a truncated EWMA.
+"""Feedback learning (L1-L10): safeguarded cost ratios and the EWMA multiplier.
 
-The EWMA mu_n = a*r_n + (1-a)*mu_{n-1}, mu_0 = 1 unrolls to
-(1-a)^n + sum_j a (1-a)^(n-j) r_j.  Weights fall below double precision after
-K = ceil(log(1e-17)/log(1-a)) steps, so only the newest K ratios per strategy
-are kept (``row_number() <= K``, planned as a per-partition group limit before
-the shuffle); the count n is exact.  No ordered list is ever collected.
+The EWMA mu' = a*r + (1-a)*mu is an affine map of mu, and affine maps compose: a run of m ratios
+maps mu to (1-a)^m mu + sum_j a (1-a)^(m-j) r_j.  All rows are folded: the log is range-partitioned
+on (strategy, date, id), each range gives one such map per strategy, and the maps are composed in
+order (one small row per strategy and range).  A strategy with any share of the rows is spread over
+as many tasks, and no ordered list is ever collected.
 """
 
 from __future__ import annotations
@@ -28,20 +28,27 @@ def candidate_check(df: DataFrame, lp: LearningParams = DEFAULT_LEARN) -> DataFr
     return df.select("*", reason.isNull().alias("is_valid"), reason.alias("reject_reason"), ratio.alias("cost_ratio"))
 
 
+def fold_ratios(checked: DataFrame, lp: LearningParams = DEFAULT_LEARN, order: list[Column] | None = None) -> DataFrame:
+    """L2/L3: (strategy_type, n, shift): the affine map mu -> (1-a)^n mu + shift of all valid ratios in order."""
+    order = order or [F.col("evaluation_date"), F.col("outcome_id")]
+    keep = F.lit(1.0 - lp.alpha)
+    valid = checked.filter(F.col("is_valid")).select("strategy_type", "cost_ratio", F.struct(*order).alias("_at"))
+    piece = valid.repartitionByRange("strategy_type", "_at").withColumn("_piece", F.spark_partition_id())
+    w = Window.partitionBy("strategy_type", "_piece").orderBy(F.col("_at").desc())
+    maps = (piece.withColumn("_after", F.row_number().over(w) - 1).groupBy("strategy_type", "_piece")
+            .agg(F.count(F.lit(1)).alias("_m"), F.max("_at").alias("_end"),
+                 F.sum(F.col("cost_ratio") * lp.alpha * F.pow(keep, F.col("_after"))).alias("_shift")))
+    later = Window.partitionBy("strategy_type").orderBy("_end").rowsBetween(1, Window.unboundedFollowing)
+    maps = maps.withColumn("_rest", F.coalesce(F.sum("_m").over(later), F.lit(0)))
+    return maps.groupBy("strategy_type").agg(
+        F.sum("_m").alias("n"), F.sum(F.col("_shift") * F.pow(keep, F.col("_rest"))).alias("shift"))
+
+
 def ewma_by_strategy(checked: DataFrame, lp: LearningParams = DEFAULT_LEARN,
                      order: list[Column] | None = None) -> DataFrame:
-    """Per strategy the clamped EWMA of valid ratios in (evaluation_date, outcome_id) order."""
-    order = order or [F.col("evaluation_date"), F.col("outcome_id")]
-    valid = checked.filter(F.col("is_valid"))
-    k = lp.horizon()
-    w = Window.partitionBy("strategy_type").orderBy(*[o.desc() for o in order])
-    recent = valid.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= k)
-    a = lp.alpha
-    part = recent.groupBy("strategy_type").agg(
-        F.sum(F.col("cost_ratio") * F.pow(F.lit(1.0 - a), F.col("_back") - 1) * a).alias("_s"))
-    counts = valid.groupBy("strategy_type").agg(F.count(F.lit(1)).alias("n_observations"))
-    x = counts.join(part, "strategy_type", "left")
-    mu = F.pow(F.lit(1.0 - a), F.col("n_observations")) * lp.initial + F.coalesce(F.col("_s"), F.lit(0.0))
+    """Per strategy the clamped EWMA of all valid ratios in (evaluation_date, outcome_id) order."""
+    x = fold_ratios(checked, lp, order).withColumnRenamed("n", "n_observations")
+    mu = F.pow(F.lit(1.0 - lp.alpha), F.col("n_observations")) * lp.initial + F.col("shift")
     clamped = F.least(F.greatest(mu, F.lit(lp.lower)), F.lit(lp.upper))
     enough = F.col("n_observations") >= lp.min_observations
     m = F.when(enough, rnd(clamped, 4)).otherwise(F.lit(1.0))
@@ -60,33 +67,27 @@ def feedback_rows(outcomes: DataFrame, mult: DataFrame, existing: DataFrame | No
     x = outcomes
     if existing is not None:
         x = x.join(existing.select("outcome_id"), "outcome_id", "left_anti")
-    x = x.join(F.broadcast(mult.select("strategy_type", "n_observations", "multiplier", "was_clamped",
-                                       "weight_adjustment")), "strategy_type", "left")
+    x = x.join(mult.select("strategy_type", "n_observations", "multiplier", "was_clamped",
+                           "weight_adjustment"), "strategy_type", "left")
     n = F.coalesce(F.col("n_observations"), F.lit(0))
     enough = n >= lp.min_observations
-    m2 = F.format_number(rnd(F.coalesce(F.col("multiplier"), F.lit(1.0)), 2), 2)
-    signal = (F.when(~F.col("is_valid"), F.concat(F.lit("REJECTED_BY_SAFEGUARD: "), F.col("reject_reason")))
-              .when(enough, F.concat(F.col("strategy_type"), F.lit(": "), m2, F.lit("; multiplier from "),
-                                     n.cast("string"), F.lit(" validated observations"),
-                                     F.when(F.col("was_clamped"), F.lit(" [CLAMPED]")).otherwise(F.lit(""))))
-              .otherwise(F.concat(F.col("strategy_type"), F.lit(": 1.00; "), n.cast("string"),
-                                  F.lit(f"/{lp.min_observations} observations, baseline kept"))))
     return x.select(
         "outcome_id", "strategy_type", "evaluation_date",
         rnd_signed(F.col("actual_cost") - F.col("estimated_cost"), 2).alias("cost_error"),
         rnd_signed((F.col("actual_delay_days") - F.col("estimated_delay_days")).cast("double"), 2).alias("delay_error"),
         rnd_signed(F.col("actual_risk") - F.col("estimated_risk"), 4).alias("risk_error"),
         F.when(F.col("is_valid") & enough, F.col("weight_adjustment")).otherwise(F.lit(0.0)).alias("weight_adjustment"),
-        signal.alias("learning_signal"))
+        F.when(~F.col("is_valid"), "REJECTED").when(enough, "LEARNED").otherwise("BASELINE").alias("signal"),
+        "reject_reason",
+        F.when(F.col("is_valid"), F.when(enough, rnd(F.col("multiplier"), 2)).otherwise(F.lit(1.0))).alias("multiplier_applied"),
+        n.alias("n_observations"), (enough & F.coalesce("was_clamped", F.lit(False))).alias("was_clamped"))
 
 
 def active_multipliers(feedback: DataFrame) -> DataFrame:
-    """Newest non-rejected signal per strategy, multiplier read back from its text (2 dp)."""
-    ok = feedback.filter(~F.col("learning_signal").startswith("REJECTED_BY_SAFEGUARD"))
-    newest = ok.groupBy("strategy_type").agg(
-        F.max_by("learning_signal", F.struct("evaluation_date", "outcome_id")).alias("_sig"))
-    val = F.regexp_extract(F.col("_sig"), r"^[A-Z_]+: ([0-9]+\.[0-9]{2})", 1)
-    return newest.select("strategy_type", val.cast("double").alias("multiplier_applied"))
+    """Multiplier of the newest signal per strategy that was not rejected."""
+    ok = feedback.filter(F.col("signal") != "REJECTED")
+    return ok.groupBy("strategy_type").agg(
+        F.max_by("multiplier_applied", F.struct("evaluation_date", "outcome_id")).alias("multiplier_applied"))
 
 
 def strategy_metrics(feedback: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -100,32 +101,8 @@ def strategy_metrics(feedback: DataFrame, outcomes: DataFrame) -> DataFrame:
         rnd(F.max_by(ratio, F.struct("evaluation_date", "outcome_id")), 3).alias("latest_cost_ratio"))
 
 
-def ewma_state_update(batch: DataFrame, prev: DataFrame | None, lp: LearningParams = DEFAULT_LEARN,
-                      order: list[Column] | None = None) -> DataFrame:
-    """T3 state step: (strategy_type, mu_raw, n) after folding a batch of checked outcomes
-    (batch rows are ordered by (evaluation_date, outcome_id); newest-K truncation as in L3)."""
-    order = order or [F.col("evaluation_date"), F.col("outcome_id")]
-    valid = batch.filter(F.col("is_valid"))
-    k = lp.horizon()
-    a = lp.alpha
-    w = Window.partitionBy("strategy_type").orderBy(*[o.desc() for o in order])
-    recent = valid.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= k)
-    part = recent.groupBy("strategy_type").agg(
-        F.sum(F.col("cost_ratio") * F.pow(F.lit(1.0 - a), F.col("_back") - 1) * a).alias("_s"))
-    m = valid.groupBy("strategy_type").agg(F.count(F.lit(1)).alias("_m"))
-    b = m.join(part, "strategy_type", "left")
-    if prev is None:
-        prev = batch.sparkSession.createDataFrame([], "strategy_type string, mu_raw double, n long")
-    j = b.join(prev, "strategy_type", "full_outer")
-    mm = F.coalesce(F.col("_m"), F.lit(0))
-    mu0 = F.coalesce(F.col("mu_raw"), F.lit(lp.initial))
-    return j.select("strategy_type",
-                    (F.pow(F.lit(1.0 - a), mm) * mu0 + F.coalesce(F.col("_s"), F.lit(0.0))).alias("mu_raw"),
-                    (F.coalesce(F.col("n"), F.lit(0)) + mm).cast("long").alias("n"))
-
-
 def ewma_from_state(state: DataFrame, lp: LearningParams = DEFAULT_LEARN) -> DataFrame:
-    """Multiplier table (as ``ewma_by_strategy``) from the streaming state."""
+    """Multiplier table (as ``ewma_by_strategy``) from streaming state rows (strategy_type, mu_raw, n)."""
     mu = F.col("mu_raw")
     enough = F.col("n") >= lp.min_observations
     m = F.when(enough, rnd(F.least(F.greatest(mu, F.lit(lp.lower)), F.lit(lp.upper)), 4)).otherwise(F.lit(1.0))

@@ -15,17 +15,6 @@ from ..params import DEFAULT_RISK, RiskParams
 
 LEVELS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
-# fixed values: reason codes in rule order
-REASON_CODES = (
-    "CRITICAL_DELAY_PROBABILITY", "HIGH_DELAY_PROBABILITY",
-    "CRITICAL_SUPPLIER_RELIABILITY", "LOW_SUPPLIER_RELIABILITY",
-    "HIGH_HISTORICAL_SUPPLIER_DELAYS",
-    "CRITICAL_INVENTORY_SHORTAGE", "LOW_INVENTORY_COVERAGE", "INVENTORY_SHORTAGE",
-    "CRITICAL_CAPACITY_UTILIZATION", "HIGH_CAPACITY_UTILIZATION",
-    "CRITICAL_PRODUCT_EXPOSURE",
-)
-
-
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
@@ -139,47 +128,38 @@ def risk_level(score, rp: RiskParams = DEFAULT_RISK) -> Column:
 
 
 # ---- R9, R10 ----------------------------------------------------------------
-def _pct(x: Column, dp: int) -> Column:
-    return F.concat(F.format_number(x * 100, dp), F.lit("%"))
-
-
-def reason_pairs(p, reliability, past_rate, coverage, shortage_flag, utilization, criticality,
-                 rp: RiskParams = DEFAULT_RISK) -> Column:
-    """Array of (code, text) structs, rule order fixed; the wording is ours."""
+def reason_fields(p, reliability, past_rate, coverage, shortage_flag, utilization, criticality,
+                  rp: RiskParams = DEFAULT_RISK) -> Column:
+    """Array of (code, measure, observed, threshold) structs; the order of the rules is fixed."""
     p, rel, rate, cov, s, u = map(_c, (p, reliability, past_rate, coverage, shortage_flag, utilization))
-    crit = F.upper(_c(criticality))
-
-    def item(cond, code, text):
-        return F.when(cond, F.struct(F.lit(code).alias("code"), text.alias("text")))
-
-    critical_short = cov.isNotNull() & (cov < rp.critical_coverage)
-    items = [
-        item(p >= rp.prob_critical, "CRITICAL_DELAY_PROBABILITY",
-             F.concat(F.lit("Delay probability "), _pct(p, 1), F.lit(" is at or above the critical band"))),
-        item((p < rp.prob_critical) & (p >= rp.prob_high), "HIGH_DELAY_PROBABILITY",
-             F.concat(F.lit("Delay probability "), _pct(p, 1), F.lit(" is in the high band"))),
-        item(rel < rp.critical_reliability, "CRITICAL_SUPPLIER_RELIABILITY",
-             F.concat(F.lit("Supplier reliability "), F.format_number(rel, 2), F.lit(" is critically low"))),
-        item((rel >= rp.critical_reliability) & (rel < rp.low_reliability), "LOW_SUPPLIER_RELIABILITY",
-             F.concat(F.lit("Supplier reliability "), F.format_number(rel, 2), F.lit(" is below target"))),
-        item(rate.isNotNull() & (rate >= rp.high_past_delay_rate), "HIGH_HISTORICAL_SUPPLIER_DELAYS",
-             F.concat(F.lit("Supplier was late on "), _pct(rate, 1), F.lit(" of earlier shipments"))),
-        item(critical_short, "CRITICAL_INVENTORY_SHORTAGE",
-             F.concat(F.lit("Stock covers only "), F.format_number(cov, 2), F.lit(" of demand"))),
-        item(cov.isNotNull() & (cov >= rp.critical_coverage) & (cov < rp.low_coverage), "LOW_INVENTORY_COVERAGE",
-             F.concat(F.lit("Stock coverage "), F.format_number(cov, 2), F.lit(" leaves little buffer"))),
-        item((s == 1) & ~F.coalesce(critical_short, F.lit(False)), "INVENTORY_SHORTAGE",
-             F.lit("On-hand stock does not cover the shipment demand")),
-        item(u.isNotNull() & (u >= rp.critical_utilization), "CRITICAL_CAPACITY_UTILIZATION",
-             F.concat(F.lit("Supplier utilisation "), _pct(u, 1), F.lit(" is at or over capacity"))),
-        item(u.isNotNull() & (u < rp.critical_utilization) & (u >= rp.high_utilization), "HIGH_CAPACITY_UTILIZATION",
-             F.concat(F.lit("Supplier utilisation "), _pct(u, 1), F.lit(" is near its limit"))),
-        item(crit.isin("CRITICAL", "HIGH")
-             & ((cov.isNotNull() & (cov < rp.low_coverage)) | (F.coalesce(s, F.lit(0)) == 1)),
-             "CRITICAL_PRODUCT_EXPOSURE",
-             F.concat(F.lit("A "), crit, F.lit(" product is exposed by tight stock"))),
+    exposed = (cov < rp.low_coverage) | (s == 1)
+    rules = [
+        ("CRITICAL_DELAY_PROBABILITY", "delay_probability", p, rp.prob_critical, p >= rp.prob_critical),
+        ("HIGH_DELAY_PROBABILITY", "delay_probability", p, rp.prob_high, (p < rp.prob_critical) & (p >= rp.prob_high)),
+        ("CRITICAL_SUPPLIER_RELIABILITY", "supplier_reliability", rel, rp.critical_reliability, rel < rp.critical_reliability),
+        ("LOW_SUPPLIER_RELIABILITY", "supplier_reliability", rel, rp.low_reliability,
+         (rel >= rp.critical_reliability) & (rel < rp.low_reliability)),
+        ("HIGH_HISTORICAL_SUPPLIER_DELAYS", "past_delay_rate", rate, rp.high_past_delay_rate, rate >= rp.high_past_delay_rate),
+        ("CRITICAL_INVENTORY_SHORTAGE", "inventory_coverage", cov, rp.critical_coverage, cov < rp.critical_coverage),
+        ("LOW_INVENTORY_COVERAGE", "inventory_coverage", cov, rp.low_coverage,
+         (cov >= rp.critical_coverage) & (cov < rp.low_coverage)),
+        ("INVENTORY_SHORTAGE", "shortage_flag", s, 1.0, (s == 1) & ~F.coalesce(cov < rp.critical_coverage, F.lit(False))),
+        ("CRITICAL_CAPACITY_UTILIZATION", "capacity_utilization", u, rp.critical_utilization, u >= rp.critical_utilization),
+        ("HIGH_CAPACITY_UTILIZATION", "capacity_utilization", u, rp.high_utilization,
+         (u >= rp.high_utilization) & (u < rp.critical_utilization)),
+        ("CRITICAL_PRODUCT_EXPOSURE", "inventory_coverage", cov, rp.low_coverage,
+         F.upper(_c(criticality)).isin("CRITICAL", "HIGH") & F.coalesce(exposed, F.lit(False))),
     ]
-    return F.array_compact(F.array(*items))
+    return F.array_compact(F.array(*[
+        F.when(met, F.struct(F.lit(code).alias("code"), F.lit(measure).alias("measure"),
+                             value.cast("double").alias("observed"), F.lit(float(limit)).alias("threshold")))
+        for code, measure, value, limit, met in rules]))
+
+
+def describe(reason: Column) -> Column:
+    """One pattern for every reason: ``measure=observed (threshold)``; a missing value is ``n/a``."""
+    value = F.coalesce(F.format_number(reason["observed"], 4), F.lit("n/a"))
+    return F.concat(reason["measure"], F.lit("="), value, F.lit(" ("), F.format_number(reason["threshold"], 2), F.lit(")"))
 
 
 # ---- R11: full assessment ---------------------------------------------------
@@ -189,7 +169,7 @@ def assess(df: DataFrame, rp: RiskParams = DEFAULT_RISK, keep_inputs: bool = Fal
     criticality / shortage flag is present (missing ones are derived or null)."""
     produced = {"delay_risk_score", "predicted_delay", "supplier_risk_score", "inventory_risk_score",
                 "capacity_risk_score", "service_risk_score", "composite_risk_score", "unavailable_dimensions",
-                "is_valid", "risk_level", "risk_reasons", "risk_reason_descriptions"}
+                "is_valid", "risk_level", "risk_reasons", "risk_reason_fields", "risk_reason_descriptions"}
     df = df.drop(*[c for c in df.columns if c in produced])
     cols = set(df.columns)
 
@@ -199,11 +179,12 @@ def assess(df: DataFrame, rp: RiskParams = DEFAULT_RISK, keep_inputs: bool = Fal
     cov = (F.coalesce(opt("inventory_coverage_ratio").cast("double"),
                       coverage_from_units(opt("inventory_units"), opt("demand_units")))
            if "inventory_coverage_ratio" in cols else coverage_from_units(opt("inventory_units"), opt("demand_units")))
-    shortage = (opt("shortage_flag") if "shortage_flag" in cols
-                else (opt("inventory_units") < opt("demand_units")).cast("int"))
-    cap_units = F.coalesce(opt("supplier_capacity_units").cast("double"), F.lit(0.0))
-    util = (opt("capacity_utilization").cast("double") if "capacity_utilization" in cols
-            else F.when(cap_units > 0, opt("demand_units") / cap_units).otherwise(F.lit(1.0)))
+    demand, given = opt("demand_units").cast("double"), opt("capacity_utilization").cast("double")
+    # what is absent is derived from what is there, else stays absent
+    units = F.coalesce(opt("supplier_capacity_units").cast("double"), F.when((demand != 0) & (given != 0), demand / given))
+    cap_units = F.coalesce(units, F.lit(0.0))
+    util = F.coalesce(given, F.when((demand != 0) & (cap_units != 0), F.when(cap_units > 0, demand / cap_units).otherwise(1.0)))
+    shortage = opt("shortage_flag").cast("int")
     staged = df.select(
         "*",
         cov.alias("_cov"), shortage.alias("_short"), util.alias("_util"),
@@ -223,8 +204,8 @@ def assess(df: DataFrame, rp: RiskParams = DEFAULT_RISK, keep_inputs: bool = Fal
                         "capacity_risk_score", "service_risk_score", rp).alias("composite_risk_score"),
         unavailable_dimensions("delay_risk_score", "supplier_risk_score", "inventory_risk_score",
                                "capacity_risk_score", "service_risk_score").alias("unavailable_dimensions"),
-        reason_pairs("delay_probability", "supplier_reliability", "historical_delay_rate", "_cov", "_short",
-                     "_util", opt("criticality_level"), rp).alias("_reasons"),
+        reason_fields("delay_probability", "supplier_reliability", "historical_delay_rate", "_cov", "_short",
+                      "_util", opt("criticality_level"), rp).alias("risk_reason_fields"),
         (probability_valid("delay_probability")
          & supplier_inputs_valid("supplier_reliability", "historical_delay_rate")
          & (F.col("_cov").isNull() | (F.col("_cov") >= 0))).alias("is_valid"),
@@ -234,9 +215,9 @@ def assess(df: DataFrame, rp: RiskParams = DEFAULT_RISK, keep_inputs: bool = Fal
     out = scored.select(
         "*",
         risk_level("composite_risk_score", rp).alias("risk_level"),
-        F.transform("_reasons", lambda r: r["code"]).alias("risk_reasons"),
-        F.transform("_reasons", lambda r: r["text"]).alias("risk_reason_descriptions"),
-    ).drop("_reasons", "_cov", "_short", "_util")
+        F.transform("risk_reason_fields", lambda r: r["code"]).alias("risk_reasons"),
+        F.transform("risk_reason_fields", describe).alias("risk_reason_descriptions"),
+    ).drop("_cov", "_short", "_util")
     return out
 
 
@@ -246,27 +227,24 @@ def split_valid(assessed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # ---- R12-R14: alerts ---------------------------------------------------------
-def alerts(assessed: DataFrame, rp: RiskParams = DEFAULT_RISK, include_monitoring: bool = False) -> DataFrame:
-    lvl, s = F.col("risk_level"), F.col("composite_risk_score")
-    reasons = F.when(F.size("risk_reasons") > 0, F.array_join("risk_reasons", ", "))
-    sev = (F.when((lvl == "CRITICAL") | (s >= rp.alert_critical), "CRITICAL")
-           .when((lvl == "HIGH") | (s >= rp.alert_high), "HIGH")
-           .when(lvl == "MEDIUM", "MEDIUM"))
-    atype = (F.when(sev == "CRITICAL", "PRIORITY_DISRUPTION_ALERT").when(sev == "HIGH", "WARNING_DISRUPTION_ALERT")
-             .when(sev == "MEDIUM", "MONITORING_NOTICE"))
-    score_txt = F.format_number(s, 2)
-    msg = (F.when(sev == "CRITICAL", F.concat(F.lit("Priority: shipment "), F.col("event_id"),
-                                               F.lit(" is at critical risk ("), score_txt, F.lit("); reasons: "),
-                                               F.coalesce(reasons, F.lit("composite critical threshold reached"))))
-           .when(sev == "HIGH", F.concat(F.lit("Warning: shipment "), F.col("event_id"),
-                                         F.lit(" is at high risk ("), score_txt, F.lit("); reasons: "),
-                                         F.coalesce(reasons, F.lit("elevated operational signals"))))
-           .otherwise(F.concat(F.lit("Notice: shipment "), F.col("event_id"), F.lit(" shows moderate risk ("),
-                               score_txt, F.lit("); keep under routine tracking"))))
-    out = assessed.select("event_id", "composite_risk_score", "risk_reasons", sev.alias("severity"),
-                          atype.alias("alert_type"), msg.alias("alert_message"))
-    keep = F.col("severity").isin("CRITICAL", "HIGH") if not include_monitoring else F.col("severity").isNotNull()
-    return out.filter(keep)
+def alerts(assessed: DataFrame, rp: RiskParams = DEFAULT_RISK, include_monitoring: bool = False,
+           keep: tuple[str, ...] = ()) -> DataFrame:
+    """Alerts as fields (severity, type, score, limit, reason codes) with the ``keep`` columns passed through;
+    ``alert_message`` lists the same fields in one pattern for every severity."""
+    level, score = F.col("risk_level"), F.col("composite_risk_score")
+    severity = (F.when((level == "CRITICAL") | (score >= rp.alert_critical), "CRITICAL")
+                .when((level == "HIGH") | (score >= rp.alert_high), "HIGH")
+                .when(level == "MEDIUM", "MEDIUM"))
+    kind = (F.when(severity == "CRITICAL", "PRIORITY_DISRUPTION_ALERT").when(severity == "HIGH", "WARNING_DISRUPTION_ALERT")
+            .when(severity == "MEDIUM", "MONITORING_NOTICE"))
+    limit = (F.when(severity == "CRITICAL", rp.alert_critical).when(severity == "HIGH", rp.alert_high)
+             .otherwise(rp.level_medium))
+    message = F.concat_ws(" | ", F.col("event_id"), severity, F.concat(F.lit("score="), F.format_number(score, 4)),
+                          F.concat(F.lit("limit="), F.format_number(limit, 2)), F.array_join("risk_reasons", ","))
+    out = assessed.select("event_id", "composite_risk_score", "risk_reasons", severity.alias("severity"), kind.alias("alert_type"),
+                          limit.alias("alert_limit"), message.alias("alert_message"), *keep)
+    wanted = F.col("severity").isNotNull() if include_monitoring else F.col("severity").isin("CRITICAL", "HIGH")
+    return out.filter(wanted)
 
 
 def dedup_alerts(new_alerts: DataFrame, history: DataFrame | None = None, order_col: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ Defaults are the fixed values the results must agree with.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 # ---- fixed values: risk configuration -------------------------------------
@@ -129,14 +129,6 @@ class LearningParams:
     upper: float = 1.30
     min_ratio: float = 0.20
     max_ratio: float = 3.00
-    # newest-K truncation of the EWMA; chosen so (1-alpha)^K < 1e-17
-    k: int = field(default=0)
-
-    def horizon(self) -> int:
-        if self.k:
-            return self.k
-        import math
-        return max(1, int(math.ceil(math.log(1e-17) / math.log(1.0 - self.alpha))))
 
 
 # ---- fixed values: evaluation ----------------------------------------------

@@ -110,13 +110,13 @@ fb AS (
     {RS('l.actual_risk - l.estimated_risk', 4)} AS risk_error,
     CASE WHEN l.reject_reason IS NULL AND coalesce(m.n_observations, 0) >= 3
          THEN {RS('m.multiplier - 1.0', 4)} ELSE 0.0 END AS weight_adjustment,
-    CASE WHEN l.reject_reason IS NOT NULL THEN 'REJECTED_BY_SAFEGUARD: ' || l.reject_reason
-         WHEN coalesce(m.n_observations, 0) >= 3 THEN l.strategy_type || ': '
-              || format('{{:.2f}}', {R('coalesce(m.multiplier, 1.0)', 2)}) || '; multiplier from '
-              || CAST(coalesce(m.n_observations, 0) AS VARCHAR) || ' validated observations'
-              || CASE WHEN m.was_clamped THEN ' [CLAMPED]' ELSE '' END
-         ELSE l.strategy_type || ': 1.00; ' || CAST(coalesce(m.n_observations, 0) AS VARCHAR)
-              || '/3 observations, baseline kept' END AS learning_signal
+    CASE WHEN l.reject_reason IS NOT NULL THEN 'REJECTED' WHEN coalesce(m.n_observations, 0) >= 3 THEN 'LEARNED'
+         ELSE 'BASELINE' END AS signal,
+    l.reject_reason,
+    CASE WHEN l.reject_reason IS NULL THEN CASE WHEN coalesce(m.n_observations, 0) >= 3 THEN {R('m.multiplier', 2)} ELSE 1.0 END END
+      AS multiplier_applied,
+    coalesce(m.n_observations, 0) AS n_observations,
+    coalesce(m.n_observations, 0) >= 3 AND coalesce(m.was_clamped, false) AS was_clamped
   FROM lc l LEFT JOIN mult m USING (strategy_type))
 """
 
@@ -139,7 +139,7 @@ SELECT strategy_type, n_observations, multiplier, was_clamped, {R('multiplier',
 FROM mult
 """)
 def learn_ewma(spark, sf_dir):
-    """Clamped EWMA cost multiplier per strategy (newest-K truncation)."""
+    """Clamped EWMA cost multiplier per strategy (all rows folded)."""
     return learning.ewma_by_strategy(_checked(spark, sf_dir))
 
 
@@ -149,7 +149,8 @@ def _feedback(spark, sf_dir):
 
 
 @register("learn_feedback", _LEARN_SQL + """
-SELECT outcome_id, strategy_type, cost_error, delay_error, risk_error, weight_adjustment, learning_signal FROM fb
+SELECT outcome_id, strategy_type, cost_error, delay_error, risk_error, weight_adjustment, signal, reject_reason, multiplier_applied,
+       n_observations, was_clamped FROM fb
 """)
 def learn_feedback(spark, sf_dir):
     """Feedback rows (rejected ones kept with a marker)."""
@@ -158,13 +159,11 @@ def learn_feedback(spark, sf_dir):
 
 
 @register("learn_multipliers", _LEARN_SQL + """
-SELECT strategy_type,
-       CAST(regexp_extract(arg_max(learning_signal, (evaluation_date, outcome_id)),
-                           '^[A-Z_]+: ([0-9]+\\.[0-9]{2})', 1) AS DOUBLE) AS multiplier_applied
-FROM fb WHERE NOT starts_with(learning_signal, 'REJECTED_BY_SAFEGUARD') GROUP BY strategy_type
+SELECT strategy_type, arg_max(multiplier_applied, (evaluation_date, outcome_id)) AS multiplier_applied
+FROM fb WHERE signal <> 'REJECTED' GROUP BY strategy_type
 """)
 def learn_multipliers(spark, sf_dir):
-    """Active multiplier per strategy, read back from the newest accepted signal."""
+    """Active multiplier per strategy: that of the newest accepted signal."""
     fb, _ = _feedback(spark, sf_dir)
     return learning.active_multipliers(fb)
 

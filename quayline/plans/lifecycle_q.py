@@ -110,17 +110,17 @@ vx AS (
   LEFT JOIN rk2 ON rk2.event_id = q.event_id AND rk2.recommendation_code = q.recommendation_code),
 vf AS (
   SELECT *, list_filter([
-    CASE WHEN has_run IS NULL THEN 'unknown optimization run' END,
-    CASE WHEN has_run IS NOT NULL AND top IS NULL THEN 'recommendation not in run' END,
-    CASE WHEN decision_maker IS NULL OR length(trim(decision_maker)) = 0 THEN 'decision maker required' END,
+    CASE WHEN has_run IS NULL THEN 'NO_RUN' END,
+    CASE WHEN has_run IS NOT NULL AND top IS NULL THEN 'NOT_RECOMMENDED_IN_RUN' END,
+    CASE WHEN decision_maker IS NULL OR length(trim(decision_maker)) = 0 THEN 'NO_DECISION_MAKER' END,
     CASE WHEN upper(decision_status) NOT IN ('PENDING', 'APPROVED', 'REJECTED', 'OVERRIDDEN', 'CANCELLED')
-         THEN 'invalid decision status' END,
+         THEN 'BAD_STATUS' END,
     CASE WHEN top IS NOT NULL AND NOT top AND upper(decision_status) <> 'REJECTED' AND upper(decision_status) <> 'OVERRIDDEN'
               AND NOT (decision_reason IS NOT NULL AND length(decision_reason) > 0)
-         THEN 'override needs a documented reason' END,
+         THEN 'NO_OVERRIDE_REASON' END,
     CASE WHEN top IS NOT NULL AND NOT top AND upper(decision_status) = 'OVERRIDDEN'
               AND (decision_reason IS NULL OR length(trim(decision_reason)) < 5)
-         THEN 'override reason must have at least 5 characters' END], lambda x: x IS NOT NULL) AS failures
+         THEN 'SHORT_OVERRIDE_REASON' END], lambda x: x IS NOT NULL) AS failures
   FROM vx)
 """)
 

@@ -65,8 +65,7 @@ alerts AS (
 
 
 def _alerts(spark, sf_dir):
-    a = assessed(spark, sf_dir)
-    return risk.alerts(a).join(a.select("event_id", "date"), "event_id")
+    return risk.alerts(assessed(spark, sf_dir), keep=("date",))
 
 
 @register("risk_alerts", S.risk_with() + ", " + _ALERT_SQL.strip() + """

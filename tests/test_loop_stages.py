@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quayline.params import LearningParams
 from quayline.operators import evaluation, learning, lifecycle, outcomes
 
 
@@ -40,21 +41,26 @@ def test_clamp(spark):
     assert m["multiplier"] == 1.30 and m["was_clamped"]
 
 
-def test_truncated_ewma_equals_recursion(spark):
-    rnd = random.Random(3)
-    ratios = [rnd.uniform(0.5, 2.0) for _ in range(400)]
-    rows = [(f"o{i:04d}", "AIR_FREIGHT", "2024-01-01", 15000.0 * r, 15000.0, "SUCCESS") for i, r in enumerate(ratios)]
-    df = learning.candidate_check(spark.createDataFrame(
+def _ratios(spark, ratios):
+    rows = [(f"o{i:05d}", "AIR_FREIGHT", "2024-01-01", 15000.0 * r, 15000.0, "SUCCESS") for i, r in enumerate(ratios)]
+    return learning.candidate_check(spark.createDataFrame(
         rows, "outcome_id string, strategy_type string, evaluation_date string, actual_cost double, "
-              "estimated_cost double, outcome_status string"))
+              "estimated_cost double, outcome_status string")).repartition(7)
+
+
+@pytest.mark.parametrize("alpha", [0.2, 0.001, 1.0])
+def test_folded_ewma_equals_recursion(spark, alpha):
+    rnd = random.Random(3)
+    ratios = [rnd.uniform(0.8, 1.25) for _ in range(10_000)]
     mu = 1.0
     for r in ratios:
-        mu = 0.2 * r + 0.8 * mu
-    expect = round(min(1.3, max(0.7, mu)), 4)
-    assert learning.ewma_by_strategy(df).first()["multiplier"] == pytest.approx(expect, abs=1e-4)
-    # streaming state form gives the same multiplier
-    state = learning.ewma_state_update(df, None)
-    assert learning.ewma_from_state(state).first()["multiplier"] == pytest.approx(expect, abs=1e-4)
+        mu = alpha * r + (1 - alpha) * mu
+    lp = LearningParams(alpha=alpha)
+    fold = learning.fold_ratios(_ratios(spark, ratios), lp).first()
+    assert fold["n"] == 10_000
+    assert (1 - alpha) ** 10_000 + fold["shift"] == pytest.approx(mu, rel=1e-12)
+    got = learning.ewma_by_strategy(_ratios(spark, ratios), lp).first()
+    assert got["multiplier"] == pytest.approx(min(1.3, max(0.7, mu)), abs=1e-4)
 
 
 def test_cost_metric(spark):

@@ -42,3 +42,21 @@ def test_stream_equals_batch(spark):
     sa = {tuple(r) for r in qs["stream_alert_dedup"](spark, SF).collect()}
     ba = {tuple(r) for r in qs["risk_alerts"](spark, SF).select("event_id", "alert_type", "severity").collect()}
     assert sa == ba
+    from pyspark.sql import functions as F
+    st = {tuple(r) for r in qs["stream_risk_windows"](spark, SF).select(
+        F.to_date("window_start").alias("d"), "risk_level", "n_events").collect()}
+    from quayline.plans.common import assessed
+    bt = {tuple(r) for r in assessed(spark, SF).groupBy("date", "risk_level").count().collect()}
+    assert st == bt
+
+
+def test_streams_resume_from_their_folder(spark, tmp_path):
+    from quayline.sources import fixtures
+    from quayline.streaming import jobs
+    from quayline.operators import lifecycle
+    log = fixtures.lifecycle_log(spark, SF).cache()
+    cut = log.selectExpr("percentile(unix_timestamp(ts), 0.5) as t").first().t
+    jobs.lifecycle_stream(spark, log.where(f"unix_timestamp(ts) <= {cut}"), root=str(tmp_path / "a"))
+    again = jobs.lifecycle_stream(spark, log.where(f"unix_timestamp(ts) > {cut}"), root=str(tmp_path / "a"))
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in lifecycle.fold_lifecycle(log).collect()}
+    log.unpersist()
