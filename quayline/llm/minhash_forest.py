@@ -109,6 +109,13 @@ def _trees(trees: int, depth: int):
     return run
 
 
+def _short(batches):
+    """Signatures cut to 16 bits a value."""
+    for batch in batches:
+        sig = [(np.frombuffer(x, dtype=np.uint32) >> 16).astype(np.uint16).tobytes() for x in batch.column("sig").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sig, pa.binary())], ["doc", "sig"])
+
+
 def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).astype(np.int64)
 
@@ -148,51 +155,111 @@ def _neighbours(reach: int, percent: int, cut: int):
 _FOUND = ["a", "b", "key", "n"]
 
 
-def _across(trees: int, depth: int, percent: int):
-    """Rows sorted by (key, block, kind): first the region's documents outside its largest component
-    (kind 0), then the members of the block -> pairs of different components whose signatures do not
-    rule the similarity out.  A pair is made only in the first tree where the two share a region."""
-    values = trees * depth
+def _runs(batch: pa.RecordBatch):
+    """Cut a batch sorted by (key, block, kind) where one of them changes."""
+    cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in ("sig", "shingles")}
+    edge = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["block"]) != 0) | (np.diff(cols["kind"]) != 0)) + 1
+    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows]):
+        if hi > lo:
+            yield {c: x[lo:hi] for c, x in cols.items()}, batch.slice(lo, hi - lo)
+
+
+def _least(values: int, percent: int) -> float:
+    """Equal signature values below which the similarity is ruled out (4.5 deviations)."""
     chance = percent / 100
-    least = values * chance - 4.5 * (values * chance * (1 - chance)) ** 0.5
-
-    def pairs(m: dict, x: dict):
-        ok = (m["root"][:, None] != x["root"]) & (np.minimum(m["n"][:, None], x["n"]) * 100 >= percent * np.maximum(m["n"][:, None], x["n"]))
-        i, j = np.nonzero(ok)
-        for at in range(0, len(i), 4096):
-            u, v = i[at:at + 4096], j[at:at + 4096]
-            same = m["sig"][u] == x["sig"][v]
-            close = same.sum(axis=1) >= least
-            u, v, same = u[close], v[close], same[close]
-            first = same.reshape(len(u), trees, depth).all(axis=2).argmax(axis=1)
-            here = first == (m["key"][u] & 63)
-            a, b = m["doc"][u[here]], x["doc"][v[here]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    return values * chance - 4.5 * (values * chance * (1 - chance)) ** 0.5
+
+
+def _plausible(values: int, percent: int):
+    """Rows sorted by (key, block, kind): first the region's documents outside its largest component
+    (kind 0), then the members of the block -> those rows that have a partner in another component
+    whose signature does not rule the similarity out.  Rows, not pairs."""
+    least = _least(values, percent)
 
     def run(batches):
-        at, minor = None, None
+        at, minor, hit = None, None, None
+
+        def rest():  # the minor documents of the block that found a partner
+            if minor is not None and hit.any():
+                yield _rows({c: v[hit] for c, v in minor.items()})
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "kind", "doc", "root", "n")}
-            cols["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
-            edge = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["block"]) != 0) | (np.diff(cols["kind"]) != 0)) + 1
-            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows]):
-                part = {c: x[lo:hi] for c, x in cols.items()}
+            for part, rows in _runs(batch):
+                part["sig"] = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint16).reshape(rows.num_rows, -1)
                 here = (part["key"][0], part["block"][0])
                 if here != at:
-                    at, minor = here, None
+                    yield from rest()
+                    at, minor, hit = here, None, None
                 if part["kind"][0] == 0:
                     minor = part if minor is None else {c: np.concatenate([minor[c], x]) for c, x in part.items()}
+                    hit = np.zeros(len(minor["doc"]), dtype=bool)
                     continue
+                found = np.zeros(len(part["doc"]), dtype=bool)
                 for x in range(0, len(minor["doc"]) if minor else 0, 512):
-                    yield from pairs({c: v[x:x + 512] for c, v in minor.items()}, part)
+                    m = slice(x, x + 512)
+                    i, j = np.nonzero((minor["root"][m, None] != part["root"])
+                                      & (np.minimum(minor["n"][m, None], part["n"]) * 100 >= percent * np.maximum(minor["n"][m, None], part["n"])))
+                    for k in range(0, len(i), 8192):
+                        u, v = i[k:k + 8192] + x, j[k:k + 8192]
+                        close = (minor["sig"][u] == part["sig"][v]).sum(axis=1) >= least
+                        hit[u[close]] = True
+                        found[v[close]] = True
+                if found.any():
+                    yield _rows({c: v[found] for c, v in part.items()})
+        yield from rest()
     return run
 
 
-def _dense_rest(members: DataFrame, signatures: DataFrame, links: DataFrame, trees: int, depth: int, percent: int) -> DataFrame:
-    """Candidate pairs that neighbour search left in dense regions: each document outside the
-    region's largest component (by the links so far) against all members of other components."""
+def _rows(x: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x[c]) for c in ("key", "block", "kind", "doc", "root")],
+                                      ["key", "block", "kind", "doc", "root"])
+
+
+def _join_components(trees: int, depth: int, percent: int):
+    """Rows as for ``_plausible``, with full sets -> one confirmed link per pair of components and block.
+
+    A pair is looked at only in the first tree where the two share a region; once two components are
+    linked in the block, their other pairs are passed over."""
+    values = trees * depth
+    least = _least(values, percent)
+
+    def run(batches):
+        at, minor, linked = None, [], set()
+        for batch in batches:
+            links = []
+            for part, rows in _runs(batch):
+                here = (part["key"][0], part["block"][0])
+                if here != at:
+                    at, minor, linked, sigs = here, [], set(), None
+                own = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("shingles").to_pylist()]
+                sig = np.stack([signature(x, values) for x in own])
+                if part["kind"][0] == 0:
+                    minor += list(zip(part["doc"].tolist(), part["root"].tolist(), own))
+                    sigs = sig if sigs is None else np.concatenate([sigs, sig])
+                    continue
+                for doc, root, x, y in zip(part["doc"].tolist(), part["root"].tolist(), own, sig):
+                    if not minor:
+                        break
+                    same = sigs == y
+                    for i in np.flatnonzero(same.sum(axis=1) >= least).tolist():
+                        other, other_root, z = minor[i]
+                        pair = (min(root, other_root), max(root, other_root))
+                        if root == other_root or pair in linked:
+                            continue
+                        if same[i].reshape(trees, depth).all(axis=1).argmax() == here[0] & 63 and _similar(x, z, percent):
+                            linked.add(pair)
+                            links.append((min(doc, other), max(doc, other)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()),
+                                              pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+    return run
+
+
+def _dense_rest(members: DataFrame, signatures: DataFrame, sets: DataFrame, links: DataFrame, trees: int, depth: int,
+                percent: int) -> DataFrame:
+    """Confirmed links that neighbour search left in dense regions: each document outside the region's
+    largest component (by the links so far) is compared with all members of other components.
+
+    First by signatures, to find the rows with a plausible partner; only their sets are then moved."""
     roots = connected_components(links)
     rows = materialize(members.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
                        .select("key", "doc", F.coalesce("root", "doc").alias("root"), "n"))
@@ -205,9 +272,11 @@ def _dense_rest(members: DataFrame, signatures: DataFrame, links: DataFrame, tre
     minor = (open_rows.where("root != main").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
              .withColumn("kind", F.lit(0)))
     cols = ["key", "block", "kind", "doc", "root", "n", "sig"]
-    tasks = (minor.select(*cols).unionByName(member.select(*cols)).repartition("key", "block")
-             .sortWithinPartitions("key", "block", "kind"))
-    return arrow_map(tasks, _across(trees, depth, percent), "a long, b long").distinct()
+    order = ["key", "block", "kind"]
+    tasks = minor.select(*cols).unionByName(member.select(*cols)).repartition("key", "block").sortWithinPartitions(*order)
+    hits = materialize(arrow_map(tasks, _plausible(trees * depth, percent), "key long, block int, kind int, doc long, root long"))
+    tasks = hits.join(sets, "doc").repartition("key", "block").sortWithinPartitions(*order)
+    return arrow_map(tasks, _join_components(trees, depth, percent), "a long, b long")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -296,9 +365,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(arrow_map(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), _sets(k),
                                  "doc long, shingles binary"))
     links = materialize(_confirmed(pairs, sets, percent))
-    signatures = reps.select(F.col("doc_id").alias("doc"), "sig")
-    rest = materialize(_dense_rest(members, signatures, links, trees, depth, percent).join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(_confirmed(rest, sets, percent))
+    signatures = arrow_map(reps.select("doc_id", "sig"), _short, "doc long, sig binary")
+    links = links.unionByName(materialize(_dense_rest(members, signatures, sets, links, trees, depth, percent)))
     repeated = full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     same_id = (full.select("doc_id", "digest").join(repeated, "doc_id").join(classes, "digest")
                .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
