@@ -104,20 +104,49 @@ def operational_rule_counts(df: DataFrame) -> DataFrame:
         .alias("invalid_costs"))
 
 
-def dataset_gate(df: DataFrame, min_rows: int = 500, tiers=("Low", "Medium", "High")) -> DataFrame:
-    """Stricter suite with an overall pass flag (one aggregate + projection)."""
-    c = F.col
-    agg = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(c("supplier_reliability").isNull() | (c("supplier_reliability") < 0) | (c("supplier_reliability") > 1))
-        .alias("bad_reliability"),
-        F.count_if(c("secondary_supplier_premium_pct").isNull() | (c("secondary_supplier_premium_pct") < 0)
-                   | (c("secondary_supplier_premium_pct") > 1)).alias("bad_premium"),
-        F.count_if(~c("delay_occurred").isin(0, 1) | c("delay_occurred").isNull()).alias("bad_delay_flag"),
-        F.count_if(~c("service_risk").isin(*tiers) | c("service_risk").isNull()).alias("bad_tier"),
-        F.count_if(c("category").isNull()).alias("null_category"))
-    bad = c("bad_reliability") + c("bad_premium") + c("bad_delay_flag") + c("bad_tier") + c("null_category")
-    return agg.withColumn("passed", (bad == 0) & (c("n_rows") >= min_rows))
+# fixed values: columns the gate requires, allowed categories and risk tiers
+GATE_COLUMNS = ("date", "supplier_id", "product_id", "category", "demand_units", "inventory_units", "supplier_capacity_units",
+                "supplier_reliability", "planned_lead_time_days", "actual_lead_time_days", "delay_occurred", "delay_days",
+                "unit_cost_usd", "transport_cost_usd", "secondary_supplier_premium_pct", "estimated_primary_cost_usd",
+                "estimated_secondary_cost_usd", "air_freight_cost_usd", "service_risk")
+GATE_CATEGORIES = ("Electronics", "Energy", "Components")
+GATE_TIERS = ("Low", "Medium", "High")
+
+
+def dataset_gate(df: DataFrame, min_rows: int = 500, tiers=GATE_TIERS, categories=GATE_CATEGORIES) -> DataFrame:
+    """The whole gate in one row: rows, nulls in required columns, repeated rows, seven rule counts, ``passed``.
+
+    Rows are first reduced to (distinct row, copies), so repeats and rules come from one shuffle; a null
+    breaks no range rule (it is counted as a null), but is neither a category nor a tier."""
+    missing = [x for x in GATE_COLUMNS if x not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    c, n = F.col, F.col("_n")
+
+    def broken(rule):
+        return F.coalesce(F.sum(F.when(rule, n)), F.lit(0))
+
+    nulls = sum((c(x).isNull().cast("int") for x in GATE_COLUMNS), F.lit(0))
+    costs = [c(x) <= 0 for x in ("unit_cost_usd", "transport_cost_usd", "air_freight_cost_usd", "estimated_primary_cost_usd",
+                                 "estimated_secondary_cost_usd")]
+    any_cost = costs[0]
+    for x in costs[1:]:
+        any_cost = any_cost | x
+    premium, late, days = c("secondary_supplier_premium_pct"), c("delay_occurred"), c("delay_days")
+    agg = rows.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(nulls * n), F.lit(0)).alias("n_nulls"),
+        F.coalesce(F.sum(n - 1), F.lit(0)).alias("n_repeated_rows"),
+        broken((c("supplier_reliability") < 0) | (c("supplier_reliability") > 1)).alias("bad_reliability"),
+        broken(any_cost | (premium < 0) | (premium > 1)).alias("bad_costs"),
+        broken((c("planned_lead_time_days") <= 0) | (c("actual_lead_time_days") < c("planned_lead_time_days"))
+               | (c("actual_lead_time_days") != c("planned_lead_time_days") + days)).alias("bad_lead_times"),
+        broken(((late == 0) & (days != 0)) | ((late == 1) & (days <= 0)) | ~late.isin(0, 1)).alias("bad_delays"),
+        broken((c("demand_units") <= 0) | (c("inventory_units") < 0) | (c("supplier_capacity_units") <= 0)).alias("bad_units"),
+        broken(F.coalesce(~c("category").isin(*categories), F.lit(True))).alias("bad_category"),
+        broken(F.coalesce(~c("service_risk").isin(*tiers), F.lit(True))).alias("bad_tier"))
+    faults = sum((c(x) for x in agg.columns[1:]), F.lit(0))
+    return agg.withColumn("passed", (faults == 0) & (c("n_rows") >= min_rows))
 
 
 def iqr_outliers(df: DataFrame, cols=IQR_COLUMNS, multiplier: float = 1.5) -> DataFrame:
@@ -177,21 +206,17 @@ def profile(df: DataFrame, numeric_cols: list[str]) -> DataFrame:
                     rnd_signed("_mean", 6).alias("mean_value"), rnd_signed("_median", 6).alias("median_value")))
 
 
-def normalize_target(df: DataFrame, col: str, out: str = "target") -> DataFrame:
-    """Map bool / numeric / text spellings to 0/1; unknown -> null plus ``target_is_bad``."""
-    m = F.create_map(*[x for k, v in TARGET_MAP for x in (F.lit(k), F.lit(v))])
-    key = F.lower(F.trim(F.col(col).cast("string")))
-    val = m[key]
-    return df.withColumn(out, val.cast("int")).withColumn("target_is_bad", val.isNull())
-
-
 def constraint_report(checks: list[tuple[str, str, DataFrame, Column]]) -> DataFrame:
     """(table_name, rule_name, n_violations) for a rule table; null-tolerant rules
-    (a null operand is not a violation, as in SQL CHECK)."""
-    parts = []
+    (a null operand is not a violation, as in SQL CHECK).  One aggregate per table for all its rules."""
+    tables: dict[str, tuple[DataFrame, list]] = {}
     for table, rule, df, ok in checks:
-        parts.append(df.agg(F.count_if(~F.coalesce(ok, F.lit(True))).alias("n_violations"))
-                     .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule_name"), "n_violations"))
+        tables.setdefault(table, (df, []))[1].append((rule, ok))
+    parts = []
+    for table, (df, rules) in tables.items():
+        row = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(True))).alias(rule) for rule, ok in rules])
+        long = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule_name"), F.col(rule).alias("n_violations")) for rule, _ in rules]))
+        parts.append(row.select(long.alias("r")).select(F.lit(table).alias("table_name"), "r.rule_name", "r.n_violations"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

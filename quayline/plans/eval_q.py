@@ -23,7 +23,7 @@ def eval_base(spark, sf_dir):
 
 _BASE = with_ctes("supply_events", "predictions", extra=[("latest_pred", S.LATEST_PRED), ("ev", f"""
 SELECT e.*, CAST(e.inventory_units < e.demand_units AS INTEGER) AS shortage,
-       {R(S.clip('p.delay_probability'), 4)} AS p, CAST(e.delay_occurred AS INTEGER) AS y
+       {S.clip('p.delay_probability')} AS p, CAST(e.delay_occurred AS INTEGER) AS y
 FROM supply_events e JOIN latest_pred p USING (event_id)""")])
 
 

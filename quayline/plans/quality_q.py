@@ -103,21 +103,32 @@ def dq_rule_counts(spark, sf_dir):
     return quality.operational_rule_counts(fixtures.supply_events(spark, sf_dir))
 
 
-@register("dq_dataset_gate", with_ctes("dirty_events") + """
+_GATE_NULLS = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in quality.GATE_COLUMNS)
+
+
+@register("dq_dataset_gate", with_ctes("dirty_events") + f"""
 , g AS (SELECT count(*) AS n_rows,
-       count(*) FILTER (WHERE supplier_reliability IS NULL OR supplier_reliability < 0 OR supplier_reliability > 1)
-         AS bad_reliability,
-       count(*) FILTER (WHERE secondary_supplier_premium_pct IS NULL OR secondary_supplier_premium_pct < 0
-                          OR secondary_supplier_premium_pct > 1) AS bad_premium,
-       count(*) FILTER (WHERE delay_occurred NOT IN (0, 1) OR delay_occurred IS NULL) AS bad_delay_flag,
-       count(*) FILTER (WHERE service_risk NOT IN ('Low', 'Medium', 'High') OR service_risk IS NULL) AS bad_tier,
-       count(*) FILTER (WHERE category IS NULL) AS null_category
+       coalesce(sum({_GATE_NULLS}), 0) AS n_nulls,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_events) d) AS n_repeated_rows,
+       count(*) FILTER (WHERE supplier_reliability < 0 OR supplier_reliability > 1) AS bad_reliability,
+       count(*) FILTER (WHERE unit_cost_usd <= 0 OR transport_cost_usd <= 0 OR air_freight_cost_usd <= 0
+                          OR estimated_primary_cost_usd <= 0 OR estimated_secondary_cost_usd <= 0
+                          OR secondary_supplier_premium_pct < 0 OR secondary_supplier_premium_pct > 1) AS bad_costs,
+       count(*) FILTER (WHERE planned_lead_time_days <= 0 OR actual_lead_time_days < planned_lead_time_days
+                          OR actual_lead_time_days <> planned_lead_time_days + delay_days) AS bad_lead_times,
+       count(*) FILTER (WHERE (delay_occurred = 0 AND delay_days <> 0) OR (delay_occurred = 1 AND delay_days <= 0)
+                          OR delay_occurred NOT IN (0, 1)) AS bad_delays,
+       count(*) FILTER (WHERE demand_units <= 0 OR inventory_units < 0 OR supplier_capacity_units <= 0) AS bad_units,
+       count(*) FILTER (WHERE coalesce(category NOT IN {quality.GATE_CATEGORIES}, true)) AS bad_category,
+       count(*) FILTER (WHERE coalesce(service_risk NOT IN {quality.GATE_TIERS}, true)) AS bad_tier
   FROM dirty_events)
-SELECT *, (bad_reliability + bad_premium + bad_delay_flag + bad_tier + null_category = 0) AND n_rows >= 500 AS passed
+SELECT * REPLACE (CAST(n_nulls AS BIGINT) AS n_nulls),
+       n_nulls + n_repeated_rows + bad_reliability + bad_costs + bad_lead_times + bad_delays + bad_units + bad_category
+         + bad_tier = 0 AND n_rows >= 500 AS passed
 FROM g
 """)
 def dq_dataset_gate(spark, sf_dir):
-    """Stricter validation suite with overall pass flag."""
+    """The whole validation gate with its pass flag."""
     return quality.dataset_gate(fixtures.dirty_events(spark, sf_dir))
 
 
@@ -174,6 +185,16 @@ _CHECKS_SQL = [
     ("supply_events", "delay_days_non_negative", "delay_days >= 0"),
     ("supply_events", "premium_unit_range", "secondary_supplier_premium_pct >= 0 AND secondary_supplier_premium_pct <= 1"),
     ("supply_events", "criticality_enum", "criticality_level IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL')"),
+    ("supply_events", "inventory_units_non_negative", "inventory_units >= 0"),
+    ("supply_events", "planned_lead_positive", "planned_lead_time_days > 0"),
+    ("supply_events", "actual_lead_non_negative", "actual_lead_time_days >= 0"),
+    ("supply_events", "delay_flag_binary", "delay_occurred IN (0, 1)"),
+    ("supply_events", "unit_cost_non_negative", "unit_cost_usd >= 0"),
+    ("supply_events", "transport_cost_non_negative", "transport_cost_usd >= 0"),
+    ("supply_events", "air_cost_positive", "air_freight_cost_usd > 0"),
+    ("supply_events", "primary_cost_non_negative", "estimated_primary_cost_usd >= 0"),
+    ("supply_events", "secondary_cost_non_negative", "estimated_secondary_cost_usd >= 0"),
+    ("supply_events", "service_tier_enum", "service_risk IN ('Low', 'Medium', 'High')"),
     ("inventory", "inventory_non_negative", "inventory_units >= 0"),
     ("inventory", "reserved_non_negative", "reserved_units >= 0"),
     ("inventory", "available_non_negative", "available_units >= 0"),
@@ -181,6 +202,13 @@ _CHECKS_SQL = [
     ("predictions", "probability_unit_range", "delay_probability >= 0 AND delay_probability <= 1"),
     ("predictions", "predicted_days_non_negative", "predicted_delay_days >= 0"),
     ("outcomes", "actual_cost_non_negative", "actual_cost >= 0"),
+    ("predictions", "version_positive", "version >= 1"),
+    ("outcomes", "estimated_cost_non_negative", "estimated_cost >= 0"),
+    ("outcomes", "estimated_service_unit_range", "estimated_service_level >= 0 AND estimated_service_level <= 1"),
+    ("outcomes", "estimated_risk_unit_range", "estimated_risk >= 0 AND estimated_risk <= 1"),
+    ("outcomes", "actual_risk_unit_range", "actual_risk >= 0 AND actual_risk <= 1"),
+    ("outcomes", "actual_delay_non_negative", "actual_delay_days >= 0"),
+    ("outcomes", "estimated_delay_non_negative", "estimated_delay_days >= 0"),
     ("outcomes", "service_unit_range", "actual_service_level >= 0 AND actual_service_level <= 1"),
     ("outcomes", "decision_status_enum",
      "decision_status IN ('PENDING', 'APPROVED', 'REJECTED', 'OVERRIDDEN', 'CANCELLED')"),

@@ -24,4 +24,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so their queries register."""
     from . import (quality_q, feature_q, risk_q, eval_q, alloc_q, loop_q, lifecycle_q,  # noqa: F401
-                   learning_q, analytics_q, model_q, stream_q, relational_q)
+                   learning_q, analytics_q, model_q, stream_q, relational_q, intake_q)
