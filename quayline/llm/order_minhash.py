@@ -1,14 +1,13 @@
 """Order MinHash fingerprints in DataFrame functions only.
 
 A text's k-mers of words are numbered by occurrence, so repeats count; the ``keep`` minimal hashes of
-(k-mer, occurrence) are selected with their places.  Each of ``values`` rehashes selects the ``tuple_size``
-minimal of these, puts them back in text order and hashes the tuple.  Two texts agree in a value when
-both the selected k-mers and their order agree, so the share of equal values falls with the edit
-distance, also where only the order differs.
-
-Hash and place travel in one long (40 and 24 bits), so sorting is a primitive sort and no step needs a
-shuffle.  The successor of a document in the id order comes from a range-partitioned scan of the ids;
-the texts are shuffled once for their prefixes, never sorted as a whole.
+(k-mer, occurrence) are selected, put back in text order, and every ordered pair of them is hashed.
+Two texts share a pair hash when both have the two k-mers selected and in the same order, so the
+share of common pairs falls with the edit distance, also where only the order differs.
+
+Hash and place travel in one long, so sorting is a primitive sort and no step needs a shuffle.  The
+successor of a document in the id order comes from a range-partitioned scan of the ids; the texts
+are shuffled for their prefixes, never sorted as a whole.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 PLACE = (1 << 24) - 1
+LOW = (1 << 39) - 1
 
 
 def _packed(h: Column, place: Column) -> Column:
@@ -33,12 +33,12 @@ def _place(packed: Column) -> Column:
     return packed.bitwiseAND(F.lit(PLACE).cast("long"))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, k: int = 2, keep: int = 48, values: int = 48,
-                     tuple_size: int = 2) -> DataFrame:
-    """``df`` with ``out``: ``values`` 32-bit numbers (array<int>) from all of the column ``text``.
+def with_fingerprint(df: DataFrame, text: str, out: str, k: int = 2, keep: int = 12) -> DataFrame:
+    """``df`` with ``out``: the sorted 32-bit pair hashes (array<int>) of all of the column ``text``.
 
     Words are runs without white space.  A text of fewer than ``k`` words has its word sequence as only
-    k-mer; a null text counts as empty, and texts without words all have the same fingerprint.
+    k-mer; a text of one k-mer has that k-mer's hash alone; a null text counts as empty, and texts
+    without words all have the one value 0.
     """
     t = f"__{out}_"
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
@@ -62,23 +62,23 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = 2, keep: int =
     plain = F.transform(s, lambda p: numbered(p, F.lit(0)))
     by_run = F.flatten(F.transform(r, lambda b, i: F.transform(
         F.slice(s, b + 1, F.coalesce(F.get(r, i + 1), n) - b), lambda p, o: numbered(p, o))))
-    df = df.withColumn(t + "m", F.slice(F.sort_array(F.when(F.size(r) == n, plain).otherwise(by_run)), 1, keep))
-    m = F.col(t + "m")
-
-    def value(j):
-        chosen = F.slice(F.sort_array(F.transform(m, lambda p: _packed(F.xxhash64(_hash(p), j), _place(p)))), 1, tuple_size)
-        in_order = F.sort_array(F.transform(chosen, lambda p: F.struct(_place(p).alias("at"), _hash(p).alias("h"))))
-        return F.hash(F.transform(in_order, lambda x: x["h"]))
-
-    df = df.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(values - 1)), value))
+    least = F.slice(F.sort_array(F.when(F.size(r) == n, plain).otherwise(by_run)), 1, keep)
+    in_order = F.sort_array(F.transform(least, lambda p: F.shiftleft(_place(p), 39).bitwiseOR(_hash(p).bitwiseAND(F.lit(LOW)))))
+    df = df.withColumn(t + "m", F.transform(in_order, lambda p: p.bitwiseAND(F.lit(LOW))))
+    m = F.col(t + "m")  # named several times below, so it stays a column and is not selected anew per pair
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(m) - 2),
+                                  lambda i: F.transform(F.slice(m, i + 2, keep), lambda y: F.hash(m[i], y))))
+    df = df.withColumn(out, F.when(F.size(m) > 1, F.sort_array(pairs)).when(F.size(m) == 1, F.transform(m, lambda h: F.hash(h)))
+                       .otherwise(F.array(F.lit(0))))
     return df.drop(*(t + c for c in "wsrm"))
 
 
-def likeness(a: str, b: str, tuple_size: int = 2) -> Column:
-    """Likeness of two fingerprints, 0 to 1: the share of equal values, brought back from tuples to one
-    k-mer by the root (a value is equal if all ``tuple_size`` k-mers and their order are)."""
-    same = F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)
-    return F.pow(F.size(same) / F.size(a), F.lit(1 / tuple_size))
+def likeness(a: str, b: str) -> Column:
+    """Likeness of two fingerprints, 0 to 1: the share of common pairs, brought back from pairs to one
+    k-mer by the square root."""
+    both = F.size(F.array_intersect(a, b))
+    most = F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    return F.sqrt(both / most)
 
 
 def _text_of(fingerprint: str) -> Column:
