@@ -8,7 +8,7 @@ from ..operators import features
 from ..sources import fixtures
 from ..sources.fixtures_sql import with_ctes
 from . import sqlbase as S
-from .registry import register
+from .registry import ORACLE, register
 
 R, RS = S.R, S.RS
 
@@ -115,22 +115,22 @@ def feat_supplier_past_rate(spark, sf_dir):
     return x.select("event_id", "historical_delay_rate")
 
 
+_ALL = ("inventory_coverage_ratio", "inventory_gap_units", "shortage_flag", "capacity_utilization", "demand_pressure",
+        "supplier_risk_score", "cost_per_demand_unit", "secondary_cost_difference", "air_freight_premium",
+        "lead_time_variance_days", "lead_time_risk", "previous_delay_days", "previous_delay_flag", "rolling_average_delay",
+        "rolling_average_demand", "rolling_average_inventory")
+
+
+def _body(name: str) -> str:
+    return ORACLE[name][len(with_ctes("supply_events")):]
+
+
 @register("feat_all", with_ctes("supply_events") + f"""
-SELECT count(*) AS n_rows, CAST(sum(sf) AS BIGINT) AS n_shortage, CAST(sum(pf) AS BIGINT) AS n_previous_delayed,
-       {R('sum(rd)', 2)} AS sum_rolling_delay
-FROM (SELECT CAST(inventory_units < demand_units AS INTEGER) AS sf,
-             coalesce(lag(delay_occurred, 1) OVER ({_W}), 0) AS pf,
-             {R(f"coalesce(avg(delay_days) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0.0)", 2)} AS rd
-      FROM supply_events) t
+SELECT a.event_id, {', '.join(_ALL)}
+FROM ({_body('feat_ratios')}) a JOIN ({_body('feat_costs')}) b USING (event_id)
+JOIN ({_body('feat_lead_time_tier')}) c USING (event_id) JOIN ({_body('feat_lag')}) d USING (event_id)
+JOIN ({_body('feat_rolling')}) e USING (event_id)
 """)
 def feat_all(spark, sf_dir):
-    """the full F1-F14 plan; checked through whole-table sums."""
-    x = features.engineer_all_features(fixtures.supply_events(spark, sf_dir))
-    return x.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("shortage_flag").cast("long").alias("n_shortage"),
-                 F.sum("previous_delay_flag").cast("long").alias("n_previous_delayed"),
-                 S_rnd(F.sum("rolling_average_delay"), 2).alias("sum_rolling_delay"))
-
-
-def S_rnd(c, dp):
-    from ..functions.numeric import rnd
-    return rnd(c, dp)
+    """all sixteen features F1-F14 of every event."""
+    return features.engineer_all_features(fixtures.supply_events(spark, sf_dir)).select("event_id", *_ALL)
