@@ -115,24 +115,21 @@ def fingerprints_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: st
     half = F.floor(F.char_length("text") / 2).cast("int")
     known = rows.where("doc_id is not null")
     order = materialize(next_ids(known.select(F.col("doc_id").alias("id")).distinct()))
-    # a document's prefix goes to the document whose next it is
+    # a document's prefix and fingerprint go to the document whose next it is
     back = order.select(F.col("next").alias("doc_id"), F.col("id").alias("user"))
-    size = materialize(known.groupBy("doc_id").agg(F.max(half).alias("half")))
-    back = back.join(size.withColumnRenamed("doc_id", "user"), "user")
-    prefix = (known.join(back.hint("shuffle_hash"), "doc_id")
-              .select(F.col("user").alias("doc_id"), F.col("doc_id").alias("next"), F.expr("substring(text, 1, half)").alias("prefix")))
-    repeated = size.count() != known.count()
-    if repeated:
-        prefix = prefix.groupBy("doc_id", "next").agg(F.min("prefix").alias("prefix"))
-    joined = rows.join(prefix.hint("shuffle_hash"), "doc_id", "left")
+    size = materialize(known.groupBy("doc_id").agg(F.max(half).alias("half"), F.count("*").alias("rows")))
+    back = back.join(size.select(F.col("doc_id").alias("user"), "half"), "user")
+    given = with_fingerprint(known.join(back.hint("shuffle_hash"), "doc_id"), "text", "g", **options)
+    given = given.select(F.col("user").alias("doc_id"), F.expr("substring(text, 1, half)").alias("prefix"), "g")
+    if size.where("rows > 1").limit(1).count():
+        given = given.groupBy("doc_id").agg(F.min(F.struct("prefix", "g")).alias("x")).select("doc_id", "x.*")
+    joined = rows.join(given.hint("shuffle_hash"), "doc_id", "left")
     n = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")),
                       F.substring(F.coalesce(F.col("prefix"), F.col("text")), F.lit(1), half))
-    own = joined.select("doc_id", "next", F.char_length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    own = with_fingerprint(with_fingerprint(own, "text", "f", **options), "edited", "e", **options)
-    own = materialize(own.select("doc_id", "next", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "f", "e"))
-    other = own.where("doc_id is not null").groupBy("doc_id").agg(F.min("f").alias("g")) if repeated else own.select("doc_id", F.col("f").alias("g"))
-    compared = own.join(other.select(F.col("doc_id").alias("next"), "g"), "next", "left")
+    own = joined.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "g")
+    compared = with_fingerprint(with_fingerprint(own, "text", "f", **options), "edited", "e", **options)
+    compared = compared.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
     return compared.select(
         "doc_id", "n_chars", "edited_sha256", _text_of("f").alias("fingerprint"), _text_of("e").alias("edited_fingerprint"),
         likeness("f", "e").alias("near_edited"), F.coalesce(likeness("f", "g"), F.lit(1.0)).alias("near_next"))
