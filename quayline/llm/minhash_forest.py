@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, mix, shingle_sets, single, slices
-from .components import connected_components
+from .components import connected_components, contract
 
 DENSE_REACH = 3
 BLOCK = 256  # documents of one label that share a confirmation block
@@ -254,14 +254,15 @@ def _join_components(trees: int, depth: int, percent: int):
     return run
 
 
-def _dense_rest(members: DataFrame, signatures: DataFrame, sets: DataFrame, links: DataFrame, trees: int, depth: int,
+def _dense_rest(members: DataFrame, signatures: DataFrame, sets: DataFrame, joined: DataFrame, trees: int, depth: int,
                 percent: int) -> DataFrame:
     """Confirmed links that neighbour search left in dense regions: each document outside the region's
     largest component (by the links so far) is compared with all members of other components.
 
-    First by signatures, to find the rows with a plausible partner; only their sets are then moved."""
-    roots = connected_components(links)
-    rows = materialize(members.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+    First by signatures, to find the rows with a plausible partner; only their sets are then moved.
+    ``joined`` are the links so far, contracted; two names for one component cost work, not correctness."""
+    roots = joined.groupBy(F.col("u").alias("doc")).agg(F.min("v").alias("root"))
+    rows = materialize(members.join(roots, "doc", "left")
                        .select("key", "doc", F.coalesce("root", "doc").alias("root"), "n"))
     count = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
     region = (count.groupBy("key").agg(F.sum("c").alias("total"), F.count("*").alias("parts"),
@@ -364,9 +365,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .distinct())
     sets = materialize(arrow_map(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), _sets(k),
                                  "doc long, shingles binary"))
-    links = materialize(_confirmed(pairs, sets, percent))
+    links = _confirmed(pairs, sets, percent)
     signatures = arrow_map(reps.select("doc_id", "sig"), _short, "doc long, sig binary")
-    links = links.unionByName(materialize(_dense_rest(members, signatures, sets, links, trees, depth, percent)))
+    joined = contract(links, rounds=2)
+    rest = _dense_rest(members, signatures, sets, joined, trees, depth, percent)
+    links = joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(rest)
     repeated = full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     same_id = (full.select("doc_id", "digest").join(repeated, "doc_id").join(classes, "digest")
                .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
