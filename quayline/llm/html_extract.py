@@ -6,12 +6,13 @@ are deleted: they belong to the template.  Markup settles the rest: what lies in
 footers, sidebars, forms, scripts, styles, notices, adverts and comments is never main text, and
 where a page marks its article (``article`` or ``main``), that is the main text.  Deleting shared
 lines inside a marked article would take real text from pages that quote or copy each other, so
-there it applies to no line; a neighbour with nearly the same lines (a copy) proves no template and
-takes no line either.
+there it applies to no line; a neighbour with the same lines (a copy), or with all lines of the page,
+proves no template, and the next different page of the host is compared instead.
 
-One narrow shuffle sorts (host, path, page) to learn the ranges of the sort; a second one moves each
-page's compressed lines to its range.  A range holds a bounded share of the pages whatever its host,
-so a hot host is spread over many tasks; the pages at range ends are sent to both sides.
+Pages are parsed once.  One narrow shuffle sorts (host, path, page) to learn the ranges of the sort; a
+second one moves each page's compressed lines to its range.  A range holds a bounded share of the pages
+whatever its host, so a hot host is spread over many tasks; the different pages next to a range are sent
+to it too, over any number of ranges full of copies.
 """
 
 from __future__ import annotations
@@ -20,15 +21,19 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, single
+from .common import arrow_map, materialize, single
+
+LOOK = 4  # different pages on each side that a page may be compared with
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -171,13 +176,20 @@ def shared_lines(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return hit
 
 
-def main_lines(lines: list[tuple[str, bool]], marked: bool, shared: np.ndarray | None) -> list[str]:
-    """Lines of the marked article; without one, all lines that no neighbour shares."""
+def main_lines(lines: list[tuple[str, bool]], marked: bool, others: Iterator[np.ndarray]) -> list[str]:
+    """Lines of the marked article; without one, all lines that a neighbour does not share.
+
+    ``others``: the line hashes of the different pages near by, nearest first.  One that holds every line of
+    the page may quote it whole: it proves no template, and the next one is compared.
+    """
     if marked:
         return [x for x, inside in lines if inside]
-    if shared is None or shared.sum() * 10 >= len(lines) * 9:  # no neighbour, or a copy
-        return [x for x, _ in lines]
-    return [x for (x, _), drop in zip(lines, shared) if not drop]
+    own = line_hashes([x for x, _ in lines])
+    for other in others:
+        shared = shared_lines(own, other)
+        if not shared.all():
+            return [x for (x, _), drop in zip(lines, shared) if not drop]
+    return [x for x, _ in lines]
 
 
 def _host_path(url: Column) -> tuple[Column, Column]:
@@ -186,54 +198,98 @@ def _host_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_replace(F.regexp_replace(rest, r"^//[^/?#]*", ""), r"[?#].*$", "")
 
 
-def _edges():
-    """Rows sorted by (host, path, page, row) -> the first and last key of the partition."""
+def _parse():
+    """Each page with its packed lines; ``digest`` is of the lines, so copies have the same."""
     def run(batches):
-        first = last = None
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            if batch.num_rows:
-                first = first or batch.slice(0, 1)
-                last = batch.slice(batch.num_rows - 1, 1)
-        if first:
-            yield first
-            yield last
+            digest, body, n, inside, marked = [], [], [], [], []
+            for html in batch.column("html").to_pylist():
+                lines, has_article = blocks(html or "")
+                text = "\x00".join(x.replace("\x00", " ") for x, _ in lines).encode("utf-8", "surrogatepass")
+                digest.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
+                body.append(pack(text))
+                n.append(len(lines))
+                inside.append(np.packbits(np.array([i for _, i in lines], dtype=np.uint8)).tobytes())
+                marked.append(has_article)
+            yield pa.RecordBatch.from_arrays(
+                [*(single(batch.column(c)) for c in ("host", "path", "page", "url")), pa.array(digest, pa.int64()), pa.array(body, pa.binary()),
+                 pa.array(n, pa.int32()), pa.array(inside, pa.binary()), pa.array(marked, pa.bool_())], _PAGE)
     return run
 
 
-def _lines(bounds: list[tuple], edges: set[tuple]):
-    """Parse each page and send its packed lines to its range; a page at the end of a range to the next one too."""
+_PAGE = ["host", "path", "page", "url", "digest", "body", "n", "inside", "marked"]
+_PAGE_SCHEMA = "host string, path string, page long, url string, digest long, body binary, n int, inside binary, marked boolean"
+
+
+def _edges():
+    """Rows sorted by (host, path, page, digest) -> the first pages of the partition's first runs of equal pages
+    (``end`` 0) and the last pages of its last runs (``end`` 1), ``LOOK + 1`` of each."""
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
+        first, last, before = [], [], None
         for batch in batches:
-            rows = batch.to_pydict()
-            out = []
-            for host, path, page, url, digest, html in zip(*(rows[c] for c in ("host", "path", "page", "url", "digest", "html"))):
-                lines, marked = blocks(html or "")
-                key = _key(host, path, page, digest)
-                body = pack("\x00".join(x.replace("\x00", " ") for x, _ in lines).encode("utf-8", "surrogatepass"))
-                inside = np.packbits(np.array([i for _, i in lines], dtype=np.uint8)).tobytes()
-                part = max(bisect_right(bounds, key) - 1, 0)
-                out.append((part, host, path, page, digest, url, body, len(lines), inside, marked, True))
-                if key in edges:
-                    for other in (part - 1, part + 1):
-                        if 0 <= other < len(bounds):
-                            out.append((other, host, path, page, digest, None, body, len(lines), inside, marked, False))
-            cols = list(zip(*out)) if out else [[]] * 11
-            types = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.binary(),
-                     pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], _PAGE)
+            if not batch.num_rows:
+                continue
+            host, digest = single(batch.column("host")), single(batch.column("digest"))
+            new = pc.or_(pc.not_equal(host[1:], host[:-1]), pc.not_equal(digest[1:], digest[:-1])).to_numpy(zero_copy_only=False)
+            start = np.concatenate([[0], np.flatnonzero(new) + 1]).tolist()
+            stop = [x - 1 for x in start[1:]] + [batch.num_rows - 1]
+            here = (host[0].as_py(), digest[0].as_py())
+            if here == before:
+                start, last = start[1:], last[:-1]
+            first += [batch.slice(x, 1).to_pylist()[0] for x in start[:LOOK + 1 - len(first)]]
+            last = (last + [batch.slice(x, 1).to_pylist()[0] for x in stop[-LOOK - 1:]])[-LOOK - 1:]
+            before = (host[batch.num_rows - 1].as_py(), digest[batch.num_rows - 1].as_py())
+        if first:
+            yield pa.RecordBatch.from_pylist([r | {"end": e} for e, rows in ((0, first), (1, last)) for r in rows], _ENDS)
     return run
 
 
-_PAGE = ["part", "host", "path", "page", "digest", "url", "body", "n", "inside", "marked", "own"]
-_PAGE_SCHEMA = ("part int, host string, path string, page long, digest long, url string, body binary, n int, inside binary, "
-                "marked boolean, own boolean")
+_ENDS = pa.schema([("host", pa.string()), ("path", pa.string()), ("page", pa.int64()), ("digest", pa.int64()), ("end", pa.int32())])
 
 
 def _key(host, path, page, digest) -> tuple:
     return (host.encode(), path.encode(), page is not None, page or 0, digest)
 
 
+def ranges(rows: list[tuple]) -> tuple[list[tuple], dict[tuple, set[int]]]:
+    """The first key of each range, and the ranges besides its own that a page goes to: each range gets the
+    nearest ``LOOK`` different pages of its first host before it and of its last host after it."""
+    parts: list[tuple[list, list]] = []
+    for *row, end in rows:
+        if not end and (not parts or parts[-1][1]):
+            parts.append(([], []))
+        parts[-1][end].append(row)
+    sent: dict[tuple, set[int]] = {}
+    for i, (first, last) in enumerate(parts):
+        for here, way in ((first[0], range(i - 1, -1, -1)), (last[-1], range(i + 1, len(parts)))):
+            host, digest, found = here[0], here[3], 0
+            for row in (r for j in way for r in (parts[j][1][::-1] if j < i else parts[j][0])):
+                if row[0] != host or found == LOOK:
+                    break
+                if row[3] != digest:
+                    sent.setdefault(_key(*row), set()).add(i)
+                    digest, found = row[3], found + 1
+    return [_key(*first[0]) for first, _ in parts], sent
+
+
+def _ranged(bounds: list[tuple], sent: dict[tuple, set[int]]):
+    """Each page with its range, and once more for each other range it is sent to."""
+    def run(batches):
+        for batch in batches:
+            at, part, own = [], [], []
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "path", "page", "digest")))):
+                key = _key(*row)
+                home = max(bisect_right(bounds, key) - 1, 0)
+                for p in (home, *sorted(sent.get(key, set()) - {home})):
+                    at.append(i)
+                    part.append(p)
+                    own.append(p == home)
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(part, pa.int32()), pa.array(own, pa.bool_())], [*_PAGE, "part", "own"])
+    return run
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common prefix."""
     n = 0
@@ -244,14 +300,24 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-class _Page:
+class _Run:
+    """Pages of one host with equal lines that follow each other: the lines once, and the part's own pages."""
+
     def __init__(self, row: dict):
-        self.row, self.known = row, None
+        self.at = (row["part"], row["host"])
+        self.digest, self.body, self.n = row["digest"], row["body"], row["n"]
+        self.first, self.own, self.known = row["path"], [], None
+        self.add(row)
+
+    def add(self, row: dict):
+        self.last = row["path"]
+        if row["own"]:
+            self.own.append(tuple(row[c] for c in ("page", "url", "path", "inside", "marked")))
 
     def lines(self) -> list[str]:
-        if not self.row["n"]:
+        if not self.n:
             return []
-        return zstandard.ZstdDecompressor().decompress(self.row["body"]).decode("utf-8", "surrogatepass").split("\x00")
+        return zstandard.ZstdDecompressor().decompress(self.body).decode("utf-8", "surrogatepass").split("\x00")
 
     def hashes(self) -> np.ndarray:
         if self.known is None:
@@ -259,45 +325,69 @@ class _Page:
         return self.known
 
 
-def _text(page: _Page, before: _Page | None, after: _Page | None) -> str:
-    row = page.row
-    inside = np.unpackbits(np.frombuffer(row["inside"], dtype=np.uint8))[:row["n"]].astype(bool)
-    lines = list(zip(page.lines(), inside))
-    near = [p for p in (before, after) if p is not None and p.row["part"] == row["part"] and p.row["host"] == row["host"]]
-    # the neighbour of the longest common path; of equals the one before
-    mate = max(near, key=lambda p: _common(p.row["path"], row["path"]), default=None)
-    shared = None if mate is None or row["marked"] else shared_lines(page.hashes(), mate.hashes())
-    return "\n\n".join(main_lines(lines, row["marked"], shared))
+def _texts(run: _Run, before: list[_Run], after: list[_Run]) -> Iterator[tuple]:
+    """The main text of the run's pages; ``before`` and ``after``: the runs on both sides, nearest first."""
+    lines, known = run.lines(), {}
+    for page, url, path, inside, marked in run.own:
+        # step by step away from the page; of two as far, the longer common path, of equals the one before
+        near = []
+        for pair in zip_longest(before, after):
+            ends = [(x, x.first if i else x.last) for i, x in enumerate(pair) if x is not None]
+            near += [x for x, _ in sorted(ends, key=lambda x: -_common(x[1], path))]
+        near = [x for x in {x.digest: x for x in reversed(near)}.values() if x.n and x.digest != run.digest][::-1]
+        key = (inside, marked, tuple(x.digest for x in near))
+        if key not in known:
+            mark = np.unpackbits(np.frombuffer(inside, dtype=np.uint8))[:run.n].astype(bool)
+            known[key] = "\n\n".join(main_lines(list(zip(lines, mark.tolist())), marked, (x.hashes() for x in near)))
+        yield page, url, known[key], len(known[key])
 
 
 def _difference():
     """Pages sorted by (part, host, path, page) -> main text of the part's own pages."""
     def run(batches: Iterator[pa.RecordBatch]):
-        before = here = None
-        held: list[tuple] = []
-
-        def done(page, prev, after):
-            if page is not None and page.row["own"]:
-                text = _text(page, prev, after)
-                held.append((page.row["page"], page.row["url"], text, len(text)))
+        runs: list[_Run] = []  # of one part and host: up to LOOK before ``done``, and those from there
+        done = 0
+
+        def texts(end: int):
+            """Texts of the runs from ``done`` to ``end``; then only the runs still needed are kept."""
+            nonlocal done
+            for k in range(done, end):
+                yield from _texts(runs[k], runs[max(0, k - LOOK):k][::-1], runs[k + 1:k + 1 + LOOK])
+                runs[k].own = []
+            gone = max(0, end - LOOK)
+            del runs[:gone]
+            done = end - gone
+
+        def all_texts():
+            nonlocal done
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if runs and runs[-1].at != (row["part"], row["host"]):
+                        yield from texts(len(runs))
+                        runs.clear()
+                        done = 0
+                    if runs and runs[-1].digest == row["digest"]:
+                        runs[-1].add(row)
+                    else:
+                        runs.append(_Run(row))
+                        yield from texts(max(done, len(runs) - 1 - LOOK))
+            yield from texts(len(runs))
+
+        held, size = [], 0
+        for row in all_texts():
+            held.append(row)
+            size += row[3]
+            if size > 1 << 22 or len(held) >= 2000:
+                yield _result(held)
+                held, size = [], 0
+        yield _result(held)
+    return run
 
-        def take():
-            rows, held[:] = list(zip(*held)) if held else [[]] * 4, []
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int64())],
-                ["page_id", "url", "text", "n_chars"])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                page = _Page(row)
-                done(here, before, page)
-                before, here = here, page
-                if sum(x[3] for x in held[-1:]) > 1 << 22 or len(held) >= 2000:
-                    yield take()
-            yield take()
-        done(here, before, None)
-        yield take()
-    return run
+def _result(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))],
+                                      ["page_id", "url", "text", "n_chars"])
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -306,18 +396,17 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Character references are decoded, white space inside a block becomes one space.  A null or empty
     html has the empty text.  A null or odd URL belongs to a host by the empty name and is sorted among
     its pages; equal URLs are ordered by page id, then content.  Repeated rows are each returned (a copy
-    is no evidence of a template).  A null id is returned as null.  Other columns are not read.
+    is no evidence of a template, nor is a page that holds all lines of another).  A null id is returned as null.  Other columns are not read.
     """
     host, path = _host_path(F.col(url_col))
     rows = pages.select(host.alias("host"), path.alias("path"), F.col(id_col).cast("long").alias("page"),
-                        F.col(url_col).alias("url"), F.xxhash64(html_col).alias("digest"), F.col(html_col).alias("html"))
+                        F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["host", "path", "page", "digest"]
-    # the ends of the ranges: two rows per task, whatever the number of pages
-    ends = arrow_map(rows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order), _edges(),
-                     "host string, path string, page long, digest long").collect()
-    keys = sorted({_key(*r) for r in ends})
-    firsts = sorted({_key(*r) for r in ends[0::2]})
-    moved = (arrow_map(rows, _lines(firsts, set(keys)), _PAGE_SCHEMA)
+    parsed = materialize(arrow_map(rows, _parse(), _PAGE_SCHEMA))
+    # the ends of the ranges: a few rows per task, whatever the number of pages
+    ends = arrow_map(parsed.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order), _edges(),
+                     "host string, path string, page long, digest long, end int").collect()
+    moved = (arrow_map(parsed, _ranged(*ranges(ends)), _PAGE_SCHEMA + ", part int, own boolean")
              .repartition(parts, "part").sortWithinPartitions("part", *order))
     return arrow_map(moved, _difference(), "page_id long, url string, text string, n_chars long")

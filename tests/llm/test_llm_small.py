@@ -432,3 +432,25 @@ def test_pipeline_stages(spark, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, df, path)
     assert {r.doc_id for r in pieces.collect()} == set(kept[3])
     assert corpus_pipeline.run(spark, path).count() == pieces.count()
+
+
+def _template_page(i, texts, menu=20):
+    return "".join(f"<div>Menu entry {j}</div>" for j in range(menu)) + "".join(f"<div>Story {i} text {j}</div>" for j in range(texts))
+
+
+def test_short_pages_lose_a_long_template_and_copies_are_looked_past(spark):
+    rows = [(i, f"http://a.example/{i:03d}", _template_page(i, 2)) for i in range(8)]
+    rows += [(100 + i, f"http://b.example/{i:03d}", _template_page(100, 2)) for i in range(40)]  # copies over several ranges
+    rows += [(140, "http://b.example/999", _template_page(140, 2)), (200, "http://c.example/1", _template_page(200, 2)),
+             (201, "http://c.example/2", _template_page(200, 2))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    text = {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
+    for i in [*range(8), 140]:
+        assert text[i] == f"Story {i} text 0\n\nStory {i} text 1"
+    assert {text[i] for i in range(100, 140)} == {"Story 100 text 0\n\nStory 100 text 1"}
+    assert text[200] == text[201] and text[200].startswith("Menu entry 0\n\n")  # only copies: no evidence
+    # a neighbour that holds every line of the page is passed over, the next one decides
+    lines = [(x, False) for x in "t1 t2 own".split()]
+    others = [html_extract.line_hashes(x.split()) for x in ("t1 t2 own more", "t1 t2 other")]
+    assert html_extract.main_lines(lines, False, iter(others)) == ["own"]
+    assert html_extract.main_lines(lines, False, iter(others[:1])) == ["t1", "t2", "own"]
