@@ -4,10 +4,10 @@ Pages of a host are sorted by URL path; each page is compared with its neighbour
 common path, their text lines (blocks) are aligned by longest common subsequence, and shared lines
 are deleted: they belong to the template.  Markup settles the rest: what lies in navigation, headers,
 footers, sidebars, forms, scripts, styles, notices, adverts and comments is never main text, and
-where a page marks its article (``article`` or ``main``), that is the main text.  Deleting shared
-lines inside a marked article would take real text from pages that quote or copy each other, so
-there it applies to no line; a neighbour with the same lines (a copy), or with all lines of the page,
-proves no template, and the next different page of the host is compared instead.
+where a page marks its article (``article`` or ``main``), the main text lies there, and a line inside
+goes only if two different neighbours share it, since pages quote each other.  A neighbour with the
+same lines (a copy), with all lines of the page, or with most of its marked article proves no template,
+and the next different page of the host is compared instead.
 
 Pages are parsed once.  One narrow shuffle sorts (host, path, page) to learn the ranges of the sort; a
 second one moves each page's compressed lines to its range.  A range holds a bounded share of the pages
@@ -177,14 +177,25 @@ def shared_lines(own: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def main_lines(lines: list[tuple[str, bool]], marked: bool, others: Iterator[np.ndarray]) -> list[str]:
-    """Lines of the marked article; without one, all lines that a neighbour does not share.
+    """The page's lines (of its marked article, if it has one) without those of the template.
 
-    ``others``: the line hashes of the different pages near by, nearest first.  One that holds every line of
-    the page may quote it whole: it proves no template, and the next one is compared.
+    ``others``: the line hashes of the different pages near by, nearest first.  Without a marked article,
+    one of them decides: its shared lines go.  One that holds every line of the page may quote it whole: it
+    proves no template, and the next one is compared.  In a marked article, a line goes only if two
+    different pages share it; one that shares half of the article's characters or more is a version of the
+    article, and the next one is compared.
     """
+    own = line_hashes([x for x, _ in lines])
     if marked:
+        size = np.array([len(x) if inside else 0 for x, inside in lines])
+        found: list[np.ndarray] = []
+        for other in others:
+            shared = shared_lines(own, other)
+            if 2 * size[shared].sum() < size.sum():
+                found.append(shared)
+            if len(found) == 2:
+                return [x for (x, inside), a, b in zip(lines, *found) if inside and not (a and b)]
         return [x for x, inside in lines if inside]
-    own = line_hashes([x for x, _ in lines])
     for other in others:
         shared = shared_lines(own, other)
         if not shared.all():

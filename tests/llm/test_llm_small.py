@@ -454,3 +454,21 @@ def test_short_pages_lose_a_long_template_and_copies_are_looked_past(spark):
     others = [html_extract.line_hashes(x.split()) for x in ("t1 t2 own more", "t1 t2 other")]
     assert html_extract.main_lines(lines, False, iter(others)) == ["own"]
     assert html_extract.main_lines(lines, False, iter(others[:1])) == ["t1", "t2", "own"]
+
+
+def test_template_lines_inside_a_marked_article_go_by_two_neighbours(spark):
+    def page(i, *more):
+        own = "".join(f"<p>{x}</p>" for x in (f"Story {i} begins with words of its own.", *more, f"Story {i} goes on and ends here."))
+        return f"<body><div>Menu</div><article><p>By our staff</p>{own}<p>Tell your friends</p></article></body>"
+    quote = "A sentence that one page quotes from the page before it."
+    rows = [(i, f"http://a.example/{i:03d}", page(i, *[quote] * (i in (4, 5)))) for i in range(10)]
+    rows += [(20 + i, f"http://b.example/{i}", page(20 + i)) for i in range(2)]  # a single neighbour is not enough
+    version = [f"Paragraph {j} of an article in three versions." for j in range(9)]
+    rows += [(30 + i, f"http://c.example/{i}", page(30, *version, f"Version {i}")) for i in range(3)]
+    text = {r.page_id: r.text.split("\n\n") for r in html_extract.extract_main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    for i in range(10):
+        want = [f"Story {i} begins with words of its own.", f"Story {i} goes on and ends here."]
+        assert text[i] == want[:1] + [quote] * (i in (4, 5)) + want[1:]
+    assert all(text[20 + i][0] == "By our staff" and len(text[20 + i]) == 4 for i in range(2))
+    assert all(text[30 + i][3:12] != [] and set(version) <= set(text[30 + i]) for i in range(3))
