@@ -1,9 +1,12 @@
 """Order MinHash fingerprints in DataFrame functions only.
 
-A text's k-mers of words are numbered by occurrence, so repeats count; the ``keep`` minimal hashes of
-(k-mer, occurrence) are selected, put back in text order, and every ordered pair of them is hashed.
-Two texts share a pair hash when both have the two k-mers selected and in the same order, so the
-share of common pairs falls with the edit distance, also where only the order differs.
+A text's k-mers of words are numbered by occurrence, so repeats count, and the hashes of all
+(k-mer, occurrence) are sorted once.  Each of ``VALUES`` selections has its own starting place in the
+range of the hashes and takes the two k-mers that follow it (from the end on to the beginning), puts
+them back in text order and hashes the two.  The places are evenly spread, so the selections of a text of
+many k-mers take different ones and are independent; a text of few k-mers has equal selections.  Two
+texts agree in a value when they select the same two k-mers in the same order, so the share of equal
+values falls with the edit distance, also where only the order differs.
 
 Hash and place travel in one long, so sorting is a primitive sort and no step needs a shuffle.  The
 successor of a document in the id order comes from a range-partitioned scan of the ids; the texts
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 PLACE = (1 << 24) - 1
-LOW = (1 << 39) - 1
+VALUES = 128  # the selection that a hash belongs to is its upper 7 bits, -64 to 63
 
 
 def _packed(h: Column, place: Column) -> Column:
@@ -33,8 +36,12 @@ def _place(packed: Column) -> Column:
     return packed.bitwiseAND(F.lit(PLACE).cast("long"))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, k: int = 2, keep: int = 12) -> DataFrame:
-    """``df`` with ``out``: the sorted 32-bit pair hashes (array<int>) of all of the column ``text``.
+def _selection(packed: Column) -> Column:
+    return F.shiftright(packed, 57).cast("int")
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str, k: int = 2) -> DataFrame:
+    """``df`` with ``out``: ``VALUES`` 32-bit numbers (array<int>) from all of the column ``text``.
 
     Words are runs without white space.  A text of fewer than ``k`` words has its word sequence as only
     k-mer; a text of one k-mer has that k-mer's hash alone; a null text counts as empty, and texts
@@ -62,23 +69,34 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = 2, keep: int =
     plain = F.transform(s, lambda p: numbered(p, F.lit(0)))
     by_run = F.flatten(F.transform(r, lambda b, i: F.transform(
         F.slice(s, b + 1, F.coalesce(F.get(r, i + 1), n) - b), lambda p, o: numbered(p, o))))
-    least = F.slice(F.sort_array(F.when(F.size(r) == n, plain).otherwise(by_run)), 1, keep)
-    in_order = F.sort_array(F.transform(least, lambda p: F.shiftleft(_place(p), 39).bitwiseOR(_hash(p).bitwiseAND(F.lit(LOW)))))
-    df = df.withColumn(t + "m", F.transform(in_order, lambda p: p.bitwiseAND(F.lit(LOW))))
-    m = F.col(t + "m")  # named several times below, so it stays a column and is not selected anew per pair
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(m) - 2),
-                                  lambda i: F.transform(F.slice(m, i + 2, keep), lambda y: F.hash(m[i], y))))
-    df = df.withColumn(out, F.when(F.size(m) > 1, F.sort_array(pairs)).when(F.size(m) == 1, F.transform(m, lambda h: F.hash(h)))
-                       .otherwise(F.array(F.lit(0))))
-    return df.drop(*(t + c for c in "wsrm"))
+    df = df.withColumn(t + "o", F.sort_array(F.when(F.size(r) == n, plain).otherwise(by_run)))
+    o = F.col(t + "o")
+    # of each selection's own stretch the first two
+    df = df.withColumn(t + "m", F.filter(o, lambda p, i: (i < 2) | (_selection(p) != _selection(F.get(o, i - 2)))))
+    m = F.col(t + "m")  # named several times below, so it stays a column and is not selected anew per value
+    last = F.size(m) - 1
+    df = df.withColumn(t + "b", F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                                         lambda i: (i == 0) | (_selection(F.get(m, i)) != _selection(F.get(m, i - 1)))))
+    b = F.col(t + "b")
+
+    def value(i):
+        x, y = F.get(m, i), F.get(m, F.pmod(i + 1, F.greatest(F.size(m), F.lit(1))))
+        return F.when(_place(x) <= _place(y), F.hash(_hash(x), _hash(y))).otherwise(F.hash(_hash(y), _hash(x)))
+
+    # a selection without hashes of its own goes on to the next one that has some
+    values = F.flatten(F.transform(b, lambda x, i: F.array_repeat(
+        value(x), _selection(F.get(m, x)) - F.when(i == 0, -VALUES // 2 - 1).otherwise(_selection(F.get(m, F.get(b, i - 1)))))))
+    after = F.array_repeat(value(F.lit(0)), VALUES // 2 - 1 - _selection(F.get(m, last)))
+    df = df.withColumn(out, F.when(F.size(m) > 1, F.concat(values, after))
+                       .when(F.size(m) == 1, F.transform(m, lambda p: F.hash(_hash(p)))).otherwise(F.array(F.lit(0))))
+    return df.drop(*(t + c for c in "wsromb"))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Likeness of two fingerprints, 0 to 1: the share of common pairs, brought back from pairs to one
+    """Likeness of two fingerprints, 0 to 1: the share of equal values, brought back from pairs to one
     k-mer by the square root."""
-    both = F.size(F.array_intersect(a, b))
-    most = F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
-    return F.sqrt(both / most)
+    same = F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda e: e)
+    return F.sqrt(F.size(same) / F.greatest(F.size(a), F.size(b)))
 
 
 def _text_of(fingerprint: str) -> Column:

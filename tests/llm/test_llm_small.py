@@ -18,7 +18,7 @@ from quayline.llm.decontaminate import Index, best_window, contaminated, item_wo
 from quayline.llm.language_id import identify_languages, recognised
 from quayline.llm.line_dedup import drop_shared_lines
 from quayline.llm.minhash_forest import near_duplicates
-from quayline.llm.order_minhash import fingerprints_with_edit, next_ids
+from quayline.llm.order_minhash import VALUES, fingerprints_with_edit, likeness, next_ids, with_fingerprint
 from quayline.llm.packing import WordTokens, pack_sequences
 from quayline.llm.quality_rank import rank_quality
 from quayline.llm.secret_scan import scan_secrets
@@ -472,3 +472,30 @@ def test_template_lines_inside_a_marked_article_go_by_two_neighbours(spark):
         assert text[i] == want[:1] + [quote] * (i in (4, 5)) + want[1:]
     assert all(text[20 + i][0] == "By our staff" and len(text[20 + i]) == 4 for i in range(2))
     assert all(text[30 + i][3:12] != [] and set(version) <= set(text[30 + i]) for i in range(3))
+
+
+def test_order_minhash_selects_from_the_whole_text(spark):
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(60):  # 400 words, of which 200 stand in a row in both
+        both = [f"b{rng.randrange(10 ** 9)}" for _ in range(200)]
+        pairs.append(tuple(" ".join(both + [f"{x}{rng.randrange(10 ** 9)}" for _ in range(200)]) for x in "xy"))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    rows = with_fingerprint(with_fingerprint(df, "a", "fa"), "b", "fb").withColumn("near", likeness("fa", "fb")).collect()
+    assert all(len(r.fa) == len(r.fb) == VALUES >= 48 and len(set(r.fa)) >= 48 for r in rows)
+    near = np.array([r.near for r in rows])  # 1 / 3 of all k-mers are common
+    assert near.min() > 0 and abs(near.mean() - 1 / 3) < 0.05 and near.std() < 0.09
+
+    def brute(text):
+        w = spark.createDataFrame([(x,) for x in text.split()], "w string").selectExpr("xxhash64(w) h").collect()
+        grams = spark.createDataFrame([(x.h, y.h, i) for i, (x, y) in enumerate(zip(w, w[1:]))], "x long, y long, i int")
+        hashed = grams.selectExpr("shiftright(xxhash64(shiftright(xxhash64(x, y), 24), 0), 24) h", "i").orderBy("h").collect()
+        chosen = []
+        for j in range(VALUES):
+            at = sum(r.h < (j - VALUES // 2) << 33 for r in hashed)
+            two = [hashed[(at + d) % len(hashed)] for d in (0, 1)]
+            chosen.append(tuple(r.h for r in sorted(two, key=lambda r: r.i)))
+        return [r.v for r in spark.createDataFrame(chosen, "a long, b long").selectExpr("hash(a, b) v").collect()]
+    short = [(" ".join(f"s{i}x{j}" for j in range(n)),) for i, n in enumerate((3, 12, 200))]
+    for r in with_fingerprint(spark.createDataFrame(short, "a string"), "a", "f").collect():
+        assert sorted(r.f) == sorted(brute(r.a))
