@@ -3,8 +3,10 @@
 Texts and items are sequences of normalised words.  The CGK random walk copies the current word
 and then advances or stays by a random bit of (step, word); two sequences few edits apart have
 embeddings of small Hamming distance.  Each repetition has its own walk and its own sample of
-steps; windows of an item's size whose sampled words agree with the item's are candidates, and a
-banded edit distance on words decides.
+steps; windows of an item's size whose sampled words agree with the item's are candidates, and an
+edit distance on words decides.  Walks are as long as the item needs, and as many go backwards from
+the passage's last word as forwards from its first, so edits close together at either end leave whole
+walks alone.
 
 Every word position of every whole text starts a window.  Before the walks, a window is left out
 if it cannot be within ``e`` edits of any item of ``n`` words: of its first ``n - e`` words at most
@@ -101,17 +103,18 @@ def best_window(item: list, text: list, most: int) -> tuple[int, int, int]:
 
 
 def _class(n: int) -> int:
-    """Items of n words walk within the class of the power of two below n."""
-    return 1 << (n.bit_length() - 1)
+    """Items of n words walk with those of the same upper three bits of n; the class is the least such n."""
+    low = max(n.bit_length() - 3, 0)
+    return n >> low << low
 
 
 def _steps(c: int) -> int:
-    """Length of the walk of a class: it shows about three quarters of the class's words, rarely more than all."""
-    return max(1, c * 3 // 2)
+    """Length of the walk of a class: a step shows half a word, so it shows about all words of the class's least item."""
+    return 2 * c
 
 
 def repetitions(ratio: float, samples: int, target: float) -> int:
-    """Repetitions that find a passage with probability ``target`` when ``2 * ratio`` of a walk's steps differ."""
+    """Repetitions, of each direction, that find a passage with probability ``target`` when ``2 * ratio`` of a walk's steps differ."""
     hit = max(1 - 2 * ratio, 0.1) ** samples
     return max(1, math.ceil(math.log(1 - target) / math.log(1 - hit)))
 
@@ -126,19 +129,31 @@ class Index:
         self.sizes: dict[int, list[int]] = {}
         for i, (_, w) in enumerate(items):
             self.sizes.setdefault(len(w), []).append(i)
-        self.tables: dict[int, list[tuple]] = {}  # class -> per repetition: sampled steps, hashes wanted, signatures, items
+        # class -> per repetition, first all forwards, then all backwards: sampled steps, hashes wanted, signatures, items
+        self.tables: dict[int, list[tuple]] = {}
         for c in sorted({_class(n) for n in self.sizes}):
             own = np.array([i for n, of in self.sizes.items() if _class(n) == c for i in of])
-            for rep in range(reps):
+            for rep in range(2 * reps):
                 chosen = _sampled(rep, samples, _steps(c))
                 sigs = np.array([[x[0] for x in _embed(w, np.zeros(1, np.int64), np.full(1, len(w)), rep, chosen)[1]]
-                                 for w in (items[i][1] for i in own)], dtype=np.uint64)
+                                 for w in (items[i][1][::1 if rep < reps else -1] for i in own)], dtype=np.uint64)
                 order = np.argsort(sigs[:, -1], kind="stable")
                 self.tables.setdefault(c, []).append(
                     (chosen, [np.unique(sigs[:, j]) for j in range(sigs.shape[1])], sigs[order, -1], own[order]))
 
-    def candidates(self, words: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
-        """(start word, item) pairs that some repetition finds; ``ends``: the end of each word's text."""
+    def candidates(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
+        """(start word, item) pairs that some repetition finds; ``begins`` and ``ends``: those of each word's text.
+
+        Backwards, walks start at a passage's last word, so edits at its beginning come last.
+        """
+        count = len(words)
+        found = set(self._walked(words, ends, slice(0, self.reps)))
+        for at, i in self._walked(words[::-1], count - begins[::-1], slice(self.reps, None)):
+            found.add((max(int(begins[count - 1 - at]), count - at - len(self.items[i][1])), i))
+        return found
+
+    def _walked(self, words: np.ndarray, ends: np.ndarray, reps: slice) -> set[tuple[int, int]]:
+        """(first word, item) pairs that some of the repetitions find."""
         count = len(words)
         if not count:
             return set()
@@ -158,7 +173,7 @@ class Index:
             first = np.flatnonzero(likely)
             first = first[ends[first] - first >= least]
             limit = ends[first]
-            for rep, (chosen, wanted, table, own) in enumerate(by_rep):
+            for rep, (chosen, wanted, table, own) in enumerate(by_rep[reps], reps.start):
                 start, seen = _embed(words, first, limit, rep, chosen, wanted)
                 lo = np.searchsorted(table, seen[-1], side="left")
                 hi = np.searchsorted(table, seen[-1], side="right")
@@ -173,20 +188,28 @@ class Index:
         start, end, words, first = words_of(raw, offsets, _SEPARATORS)
         rows = np.repeat(np.arange(len(texts)), np.diff(first))
         best: dict[tuple[int, int], tuple] = {}
-        for at, i in sorted(self.candidates(words, first[1:][rows])):
-            row = int(rows[at])
-            key = (row, i)
-            item = self.items[i][1].tolist()
+        places: dict[tuple[int, int], list[list[int]]] = {}  # per row and item, the stretches round its candidates
+        for at, i in sorted(self.candidates(words, first[:-1][rows], first[1:][rows])):
+            row, n = int(rows[at]), len(self.items[i][1])
+            most = allowed(n, self.ratio)
+            lo, hi = max(int(first[row]), at - most), min(int(first[row + 1]), at + n + most)
+            own = places.setdefault((row, i), [])
+            if own and lo <= own[-1][1]:
+                own[-1][1] = max(hi, own[-1][1])
+            else:
+                own.append([lo, hi])
+        for key, own in places.items():
+            item = self.items[key[1]][1].tolist()
             most = allowed(len(item), self.ratio)
-            if key in best and best[key][0] == 0:
-                continue
-            lo, hi = max(int(first[row]), at - most), min(int(first[row + 1]), at + len(item) + most)
-            part = words[lo:hi].tolist()
-            if (self.counts[i] & Counter(part)).total() < len(item) - most:
-                continue
-            edits, a, b = best_window(item, part, most)
-            if edits <= most and (key not in best or (edits, lo + a) < best[key][:2]):
-                best[key] = (edits, lo + a, lo + b)
+            for lo, hi in own:
+                if key in best and best[key][0] == 0:
+                    break
+                part = words[lo:hi].tolist()
+                if (self.counts[key[1]] & Counter(part)).total() < len(item) - most:
+                    continue
+                edits, a, b = best_window(item, part, most)
+                if edits <= most and (key not in best or (edits, lo + a) < best[key][:2]):
+                    best[key] = (edits, lo + a, lo + b)
         out = []
         for (row, i), (edits, a, b) in best.items():
             base = int(offsets[row])

@@ -499,3 +499,20 @@ def test_order_minhash_selects_from_the_whole_text(spark):
     short = [(" ".join(f"s{i}x{j}" for j in range(n)),) for i, n in enumerate((3, 12, 200))]
     for r in with_fingerprint(spark.createDataFrame(short, "a string"), "a", "f").collect():
         assert sorted(r.f) == sorted(brute(r.a))
+
+
+@pytest.mark.parametrize("n", [15, 25, 60, 100])
+def test_decontamination_recall_at_the_edit_limit_with_edits_in_one_place(n):
+    rng = random.Random(13)
+    new = lambda count: [f"u{rng.randrange(10 ** 9)}" for _ in range(count)]
+    items, edits = [new(n) for _ in range(25)], int(0.2 * n)
+    index = Index([(i, item_words(" ".join(w))) for i, w in enumerate(items)], 0.2, repetitions(0.2, 3, 0.99), 3)
+    for places in (range(edits), range(0, 2 * edits, 2), range((n - edits) // 2, (n + edits) // 2), range(n - edits, n)):
+        texts = []
+        for w in items:
+            w = list(w)
+            for j in list(places)[:edits]:
+                w[j] = new(1)[0]
+            texts.append(" ".join(new(25) + w + new(25)))
+        hit = {(m[0], m[1]) for m in index.matches(pa.array(texts))}
+        assert sum((i, i) in hit for i in range(25)) >= 24
