@@ -122,9 +122,13 @@ def _ones(x: np.ndarray) -> np.ndarray:
 
 def _neighbours(reach: int, percent: int, cut: int):
     """Rows sorted by (key, follow) -> candidate pairs (a, b) of one region, a < b; and, with a null
-    ``b``, the members of regions of more than ``reach + 1`` rows, for ``_dense_rest``."""
+    ``b``, members of regions for ``_dense_rest``: of those of more than ``reach + 1`` rows, and of the task's
+    first and last region whatever their size, since other tasks may hold rows of these."""
+    def members(doc, key, n):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(len(doc), pa.int64()), pa.array(key), pa.array(n)], _FOUND)
+
     def run(batches):
-        held = None
+        held = head = None
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
@@ -146,9 +150,14 @@ def _neighbours(reach: int, percent: int, cut: int):
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             none = pa.nulls(pairs.shape[1], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none], _FOUND)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[dense]), pa.nulls(int(dense.sum()), pa.int64()), pa.array(key[dense]), pa.array(n[dense])], _FOUND)
+            if len(key):
+                head = key[0] if head is None else head
+                dense = dense | (key == head)
+            yield members(doc[dense], key[dense], n[dense])
             held = [c[-reach - 1:] for c in cols]
+        if held is not None and len(held[0]):  # rows of a longer last region that are not held are out already
+            last = held[0] == held[0][-1]
+            yield members(held[2][last], held[0][last], held[3][last])
     return run
 
 

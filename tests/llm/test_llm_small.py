@@ -17,7 +17,7 @@ from quayline.llm.components import connected_components
 from quayline.llm.decontaminate import Index, best_window, contaminated, item_words, repetitions
 from quayline.llm.language_id import identify_languages, recognised
 from quayline.llm.line_dedup import drop_shared_lines
-from quayline.llm.minhash_forest import near_duplicates
+from quayline.llm.minhash_forest import _neighbours, near_duplicates
 from quayline.llm.order_minhash import VALUES, fingerprints_with_edit, likeness, next_ids, with_fingerprint
 from quayline.llm.packing import WordTokens, pack_sequences
 from quayline.llm.quality_rank import rank_quality
@@ -516,3 +516,25 @@ def test_decontamination_recall_at_the_edit_limit_with_edits_in_one_place(n):
             texts.append(" ".join(new(25) + w + new(25)))
         hit = {(m[0], m[1]) for m in index.matches(pa.array(texts))}
         assert sum((i, i) in hit for i in range(25)) >= 24
+
+
+def test_a_region_cut_between_tasks_is_compared_whole():
+    def task(key, first, sizes):  # batches of these sizes, sorted by (key, follow)
+        keys = iter(key)
+        out = []
+        for size in sizes:
+            k = pa.array([next(keys) for _ in range(size)], pa.int64())
+            doc = pa.array(range(first, first + size), pa.int64())
+            none = pa.array([0] * size, pa.int64())
+            out.append(pa.RecordBatch.from_arrays([k, doc, doc, pa.array([50] * size, pa.int64()), none, none], ["key", "follow", "doc", "n", "lo", "hi"]))
+            first += size
+        return out
+
+    def members(batches):
+        rows = [r for b in _neighbours(15, 80, 30)(iter(batches)) for r in b.to_pylist()]
+        return {(r["key"], r["a"]) for r in rows if r["b"] is None}
+    left = members(task([1] * 3 + [2] * 5 + [7] * 10, 0, [8, 4, 6]))
+    right = members(task([7] * 12 + [8] * 4 + [9] * 2, 18, [7, 11]))
+    assert {d for k, d in left | right if k == 7} == set(range(8, 30))
+    assert {k for k, _ in left | right} == {1, 7, 9}  # regions inside a task are compared there
+    assert members(task([5] * 40, 0, [1, 39])) == {(5, d) for d in range(40)}
