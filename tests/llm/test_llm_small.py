@@ -20,7 +20,7 @@ from quayline.llm.line_dedup import drop_shared_lines
 from quayline.llm.minhash_forest import _neighbours, near_duplicates
 from quayline.llm.order_minhash import VALUES, fingerprints_with_edit, likeness, next_ids, with_fingerprint
 from quayline.llm.packing import WordTokens, pack_sequences
-from quayline.llm.quality_rank import rank_quality
+from quayline.llm.quality_rank import features, rank_quality
 from quayline.llm.secret_scan import scan_secrets
 from quayline.llm.token_count import UnigramCounter, count_tokens, read_vocabulary
 
@@ -538,3 +538,9 @@ def test_a_region_cut_between_tasks_is_compared_whole():
     assert {d for k, d in left | right if k == 7} == set(range(8, 30))
     assert {k for k, _ in left | right} == {1, 7, 9}  # regions inside a task are compared there
     assert members(task([5] * 40, 0, [1, 39])) == {(5, d) for d in range(40)}
+
+
+def test_quality_sees_a_repetitive_tail():
+    tail = " ".join([f"w{i}" for i in range(200)] + ["again"] * 199)
+    x = features(pa.array([tail, " ".join(f"w{i}" for i in range(399))]))
+    assert x[0, 17] >= 0.9 and x[1, 17] == 0
