@@ -221,6 +221,22 @@ def assess(df: DataFrame, rp: RiskParams = DEFAULT_RISK, keep_inputs: bool = Fal
     return out
 
 
+def service_path(events: DataFrame, stock: DataFrame, past_rate: float | None = None,
+                 no_reason: str = "no reason met", rp: RiskParams = DEFAULT_RISK) -> DataFrame:
+    """Assessment of the service path.  ``stock`` (event_id, latest_available_units) replaces the
+    event's own inventory; no shortage flag is passed, so exposure follows coverage alone.  ``past_rate``
+    replaces ``historical_delay_rate`` by one constant (the service's own is 0.15).  ``stored_reasons`` joins
+    the reason descriptions, or holds ``no_reason`` where none is met."""
+    x = events.drop("inventory_coverage_ratio", "shortage_flag", "inventory_units").join(stock, "event_id", "left")
+    x = x.withColumn("inventory_units", F.greatest(F.coalesce("latest_available_units", F.lit(0)), F.lit(0)))
+    if past_rate is not None:
+        x = x.withColumn("historical_delay_rate", F.lit(float(past_rate)))
+    out = assess(x, rp)
+    return out.withColumn("stored_reasons", F.when(F.size("risk_reason_descriptions") > 0,
+                                                   F.array_join("risk_reason_descriptions", "; "))
+                          .otherwise(F.lit(no_reason)))
+
+
 def split_valid(assessed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scored rows and rejected rows (counted, not fatal)."""
     return assessed.filter(F.col("is_valid")), assessed.filter(~F.col("is_valid"))

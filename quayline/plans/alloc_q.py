@@ -372,9 +372,11 @@ for _m in ranking.MODES:
     _register_rank(_m)
 
 
-@register("rec_best_code", _FORCED_SQL + _rank_sql("MIN_COST") + """
-SELECT f.event_id, coalesce(r.recommendation_code, 'ALT_A') AS recommended_code
-FROM feas f LEFT JOIN (SELECT event_id, recommendation_code FROM rk2 WHERE rank = 1) r USING (event_id)
+@register("rec_best_code", _FORCED_SQL + """
+SELECT event_id, coalesce(first(recommendation_code
+    ORDER BY estimated_total_cost, estimated_delivery_days, estimated_risk, candidate_ordinal)
+    FILTER (WHERE solver_status = 'OPTIMAL'), 'ALT_A') AS recommended_code
+FROM forced GROUP BY event_id
 """)
 def rec_best_code(spark, sf_dir):
     """Recommended code per run (``ALT_A`` when no option is feasible)."""

@@ -276,7 +276,7 @@ sp AS (
   FROM feat e JOIN latest_pred p USING (event_id) LEFT JOIN (SELECT * FROM snap WHERE rn = 1) s USING (event_id)),
 sp2 AS (
   SELECT *, CASE WHEN demand_units = 0 THEN 999.0 ELSE stock / demand_units END AS cov,
-         CAST(stock < demand_units AS INTEGER) AS short FROM sp),
+         CAST(NULL AS INTEGER) AS short FROM sp),
 sp3 AS (
   SELECT event_id,
     {S.R(S.clip('delay_probability'), 4)} AS d,
@@ -293,9 +293,6 @@ def risk_service_path(spark, sf_dir):
     """Service-path assessment using the as-of latest stock snapshot of the part
     instead of the event's own inventory figure."""
     x = risk_inputs(spark, sf_dir)
-    inv = fixtures.inventory(spark, sf_dir)
-    snap = asof_inventory(x, inv)
-    y = (x.drop("inventory_coverage_ratio", "shortage_flag", "inventory_units")
-         .join(snap, "event_id", "left")
-         .withColumn("inventory_units", F.greatest(F.coalesce("latest_available_units", F.lit(0)), F.lit(0))))
-    return risk.assess(y).select("event_id", "inventory_risk_score", "service_risk_score", "composite_risk_score")
+    snap = asof_inventory(x, fixtures.inventory(spark, sf_dir))
+    return risk.service_path(x, snap).select("event_id", "inventory_risk_score", "service_risk_score",
+                                             "composite_risk_score")

@@ -12,6 +12,3 @@ def spark():
     s = local_session(4, app="quayline-tests", extra={"spark.sql.shuffle.partitions": "4"})
     yield s
     s.stop()
-
-
-SF = "/root/testdata/sf0.001"

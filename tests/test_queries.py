@@ -2,7 +2,7 @@
 
 import __spark_entry__ as E
 
-from conftest import SF
+from small_tables import SF
 
 
 def test_entry(spark):

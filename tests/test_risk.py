@@ -61,3 +61,17 @@ def test_alert_dedup_second_run_adds_nothing(spark):
     assert first.count() == 2
     second = risk.dedup_alerts(risk.alerts(a), history=first)
     assert second.count() == 0
+
+
+def test_service_path_constant_rate_and_default_reason(spark):
+    ev = spark.createDataFrame(
+        [("a", .1, 1.0, .9, 100, 1000, "LOW"), ("b", .1, 1.0, .9, 100, 1000, "CRITICAL"), ("c", .1, 1.0, .9, 100, 1000, None)],
+        "event_id string, delay_probability double, supplier_reliability double, historical_delay_rate double, "
+        "demand_units long, supplier_capacity_units long, criticality_level string")
+    stock = spark.createDataFrame([("a", 500), ("b", 60)], "event_id string, latest_available_units long")
+    rows = {r.event_id: r for r in risk.service_path(ev, stock, past_rate=.15).collect()}
+    assert rows["a"].supplier_risk_score == .045 and rows["a"].stored_reasons == "no reason met"
+    assert rows["b"].service_risk_score == .8 and "inventory_coverage=0.6000" in rows["b"].stored_reasons
+    assert rows["c"].inventory_units == 0 and rows["c"].service_risk_score is None
+    kept = {r.event_id: r for r in risk.service_path(ev, stock).collect()}
+    assert kept["a"].supplier_risk_score == .27
