@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd, rnd_signed, safe_div
 from ..params import DEFAULT_FEAT, FeatureParams
+from .slices import HALO, SLICE, cut, slice_offsets, with_halo
 
 # Columns that describe what happened after the event; they must never feed a model.
 POST_EVENT_COLUMNS = (
@@ -61,17 +62,18 @@ def lead_time_features(df: DataFrame, p: FeatureParams = DEFAULT_FEAT) -> DataFr
     )
 
 
-def pair_window():
-    return Window.partitionBy(*PAIR_KEYS).orderBy(*ORDER_KEYS)
+HISTORY_COLUMNS = ("delay_days", "delay_occurred", "demand_units", "inventory_units")
 
 
-def history_features(df: DataFrame, p: FeatureParams = DEFAULT_FEAT) -> DataFrame:
-    """Lag-1 and trailing means over the previous ``window`` rows of each
-    (supplier, product) pair; the current row is never included."""
-    w = pair_window()
+def history_features(df: DataFrame, p: FeatureParams = DEFAULT_FEAT, slices: int | None = None) -> DataFrame:
+    """Lag-1 and trailing means over the previous ``window`` rows of each (supplier, product)
+    pair; the current row is never included.  A pair of more rows than a slice is cut by (date, id), and
+    each slice gets copies of the ``window`` rows before it, so no task holds a whole hot pair."""
+    x = with_halo(cut(df, list(PAIR_KEYS), list(ORDER_KEYS), slices), p.window, list(HISTORY_COLUMNS))
+    w = Window.partitionBy(SLICE, *PAIR_KEYS).orderBy(*ORDER_KEYS)
     prev = w.rowsBetween(-p.window, -1)
-    return df.select(
-        "*",
+    return x.select(
+        *df.columns, HALO,
         F.coalesce(F.lag("delay_days", 1).over(w), F.lit(0)).cast("long").alias("previous_delay_days"),
         F.coalesce(F.lag("delay_occurred", 1).over(w), F.lit(0)).cast("int").alias("previous_delay_flag"),
         rnd(F.coalesce(F.avg("delay_days").over(prev), F.lit(0.0)), 2).alias("rolling_average_delay"),
@@ -79,34 +81,25 @@ def history_features(df: DataFrame, p: FeatureParams = DEFAULT_FEAT) -> DataFram
         .alias("rolling_average_demand"),
         rnd(F.coalesce(F.avg("inventory_units").over(prev), F.col("inventory_units").cast("double")), 1)
         .alias("rolling_average_inventory"),
-    )
+    ).where(~F.col(HALO)).drop(HALO)
 
 
 def supplier_past_delay_rate(df: DataFrame, supplier_col: str = "supplier_id", date_col: str = "date",
                              id_col: str = "event_id", flag_col: str = "delay_occurred",
-                             out: str = "historical_delay_rate") -> DataFrame:
-    """share of delayed shipments among all strictly earlier shipments of the supplier.
-
-    Two-level prefix sum so no task holds a whole supplier: (1) partial
-    aggregate per (supplier, date); (2) running totals over that small table
-    per supplier; (3) within-day running totals by event id.  Both the join and
-    the within-day window are partitioned on (supplier, date), so the big table
-    is shuffled once.  No history -> 0; 4 dp.
+                             out: str = "historical_delay_rate", slices: int | None = None) -> DataFrame:
+    """share of delayed shipments among all strictly earlier shipments of the supplier (by date, then id).
+
+    Running sums per (supplier, slice): a supplier of more rows than a slice is cut by (date, id), also
+    within one day, and the totals of its earlier slices come as a small table.  No history -> 0; 4 dp.
     """
     flag = F.coalesce(F.col(flag_col).cast("long"), F.lit(0))
-    daily = (df.groupBy(supplier_col, date_col)
-             .agg(F.count(F.lit(1)).alias("_dn"), F.sum(flag).alias("_dd")))
-    wd = Window.partitionBy(supplier_col).orderBy(date_col).rowsBetween(Window.unboundedPreceding, -1)
-    prior = daily.select(
-        supplier_col, date_col,
-        F.coalesce(F.sum("_dn").over(wd), F.lit(0)).alias("_pn"),
-        F.coalesce(F.sum("_dd").over(wd), F.lit(0)).alias("_pd"))
-    j = df.join(prior, [supplier_col, date_col], "left")
-    wi = Window.partitionBy(supplier_col, date_col).orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
+    x = slice_offsets(cut(df, [supplier_col], [date_col, id_col], slices),
+                      {"_pn": F.lit(1), "_pd": flag}, [flag_col])
+    wi = (Window.partitionBy(SLICE, supplier_col).orderBy(date_col, id_col)
+          .rowsBetween(Window.unboundedPreceding, -1))
     n = F.col("_pn") + F.coalesce(F.count(F.lit(1)).over(wi), F.lit(0))
     d = F.col("_pd") + F.coalesce(F.sum(flag).over(wi), F.lit(0))
-    return (j.withColumn(out, rnd(F.when(n > 0, d / n).otherwise(F.lit(0.0)), 4))
-            .drop("_pn", "_pd"))
+    return x.select(*df.columns, rnd(F.when(n > 0, d / n).otherwise(F.lit(0.0)), 4).alias(out))
 
 
 def service_risk_tier(df: DataFrame, p: FeatureParams = DEFAULT_FEAT, out: str = "service_risk_tier") -> DataFrame:

@@ -157,10 +157,14 @@ def iqr_outliers(df: DataFrame, cols=IQR_COLUMNS, multiplier: float = 1.5) -> Da
     b = b.select("column_name", "q1", "q3",
                  (F.col("q1") - (F.col("q3") - F.col("q1")) * multiplier).alias("lower"),
                  (F.col("q3") + (F.col("q3") - F.col("q1")) * multiplier).alias("upper"))
-    lv = long_values(df, list(cols))
-    counts = (lv.join(F.broadcast(b), "column_name")
-              .groupBy("column_name")
-              .agg(F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).alias("n_outliers")))
+    # one row of bounds beside every row: all columns are counted in one aggregate
+    fences = b.groupBy().agg(*[F.max(F.when(F.col("column_name") == c, F.col(w))).alias(f"_{w}{j}")
+                               for j, c in enumerate(cols) for w in ("lower", "upper")])
+    wide = df.select(*cols).crossJoin(F.broadcast(fences)).agg(*[
+        F.count_if((F.col(c) < F.col(f"_lower{j}")) | (F.col(c) > F.col(f"_upper{j}"))).alias(f"_n{j}")
+        for j, c in enumerate(cols)])
+    counts = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_n{j}").alias("n_outliers"))
+                                             for j, c in enumerate(cols)])).alias("r")).select("r.*")
     return b.join(counts, "column_name", "left").select(
         "column_name", rnd_signed("q1", 8).alias("q1"), rnd_signed("q3", 8).alias("q3"),
         rnd_signed("lower", 8).alias("lower"), rnd_signed("upper", 8).alias("upper"),

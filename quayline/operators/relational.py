@@ -23,19 +23,17 @@ def asof_last(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     """As-of join: for each left row, ``value`` of the newest right row of the same key
     dated on or before the left row (same date: lowest ``right_id``).
 
-    Both sides are unioned and scanned in (key, date, side, id desc) order with a
+    Both sides are unioned and scanned in (key, date, side) order with a
     carry-forward of the last snapshot value (``scan.grouped_last``); no left x right
     pairs are formed, so a key with many snapshots costs a sort, not a product.
     """
     le = left.select(F.col(left_id).alias("_lid"), F.col(left_key).alias("_key"), F.col(left_date).alias("_d"),
-                     F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_rid"),
-                     F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    ri = right.select(F.lit(None).cast(left.schema[left_id].dataType).alias("_lid"), F.col(right_key).alias("_key"),
-                      F.col(right_date).alias("_d"), F.lit(0).alias("_side"), F.col(right_id).cast("string").alias("_rid"),
-                      F.col(value).alias("_v"))
-    # carry-forward per key on a range-partitioned scan, so a key holding a large share of the
-    # events or snapshots is split across tasks
-    u = grouped_last(le.unionByName(ri), ["_key"], [F.col("_d"), F.col("_side"), F.col("_rid").desc()], "_v", "_last")
+                     F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    # one snapshot per key and date: the lowest id that has a value
+    ri = (right.where(F.col(value).isNotNull()).groupBy(F.col(right_key).alias("_key"), F.col(right_date).alias("_d"))
+          .agg(F.min_by(value, right_id).alias("_v"))
+          .select(F.lit(None).cast(left.schema[left_id].dataType).alias("_lid"), "_key", "_d", F.lit(0).alias("_side"), "_v"))
+    u = grouped_last(le.unionByName(ri), ["_key"], ["_d", "_side"], "_v", "_last")
     return u.filter(F.col("_side") == 1).select(F.col("_lid").alias(left_id), F.col("_last").alias(out))
 
 
