@@ -1,14 +1,16 @@
 """Recovery allocation (O1-O14) as an exact, row-local column plan.
 
-With the three strategy switches (air, secondary, postpone) fixed, the
-reference's integer program has linear unit costs, box capacities and two
-nested covering constraints: supply including unmet demand >= N = max(0, D-I),
-supply without unmet >= M = max(0, floor(D*sla) - I); postponement covers both.
-The optimum for a fixed switch setting is therefore a greedy fill: M from the
-cheapest real sources, then N-M from the cheapest of what is left or unmet.
-We evaluate all eight switch settings with ``transform`` over a literal array
-and take ``array_min`` of (objective, quantity, switches, order) structs, so the
-whole solve is a projection: no shuffle, no per-event loop, no solver process.
+With the three strategy switches (air, secondary, postpone) fixed, the integer program has linear unit
+costs, box capacities and two nested covering constraints: supply including unmet demand >= N = max(0, D-I),
+supply without unmet >= M = max(0, floor(D*sla) - I); postponement covers both.  The optimum for a fixed
+switch setting is therefore a greedy fill in order of unit cost: M from the cheapest real sources, then N-M
+from the cheapest of what is left or unmet.
+
+Two facts prune the eight settings.  Switch costs are never negative and a postponed launch needs no
+supply, so of the four postponed settings the one with both other switches off dominates.  And one order of the
+four unit costs serves every setting, as an open or closed switch only changes a capacity: the order is
+six comparisons a row, and a source's fill is what the capacities before it leave over.  No sort, no shuffle,
+no per-event loop, no solver process.
 """
 
 from __future__ import annotations
@@ -47,12 +49,13 @@ def top2_capacity(suppliers: DataFrame) -> DataFrame:
 
 def assemble_inputs(ev: DataFrame, snapshots: DataFrame, suppliers: DataFrame, p: AllocationParams = DEFAULT_ALLOC,
                     air_base_override: float | None = None, premium_override: float | None = None,
-                    multipliers: DataFrame | None = None) -> DataFrame:
+                    multipliers: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One allocation input row per event.
 
     ``ev`` carries the event columns plus ``predicted_delay_days`` and
     ``composite_risk_score``; ``snapshots`` is (event_id, latest_available_units)
-    from the as-of stock join; ``multipliers`` is (strategy_type, multiplier_applied).
+    from the as-of stock join; ``multipliers`` is (strategy_type, multiplier_applied); ``keep`` names event
+    columns that travel along.
     """
     top = F.broadcast(top2_capacity(suppliers))
     x = ev.join(snapshots, "event_id", "left").crossJoin(top)
@@ -77,6 +80,7 @@ def assemble_inputs(ev: DataFrame, snapshots: DataFrame, suppliers: DataFrame, p
         F.col("predicted_delay_days").cast("double").alias("predicted_delay_days"),
         F.col("composite_risk_score").alias("composite_risk"),
         rnd(F.col("demand_units") * F.col("unit_cost_usd") + F.col("transport_cost_usd"), 2).alias("baseline_cost"),
+        *keep,
     )
     if multipliers is not None:
         m = multipliers.groupBy().agg(
@@ -91,6 +95,18 @@ def assemble_inputs(ev: DataFrame, snapshots: DataFrame, suppliers: DataFrame, p
 
 
 # ---- O1 ---------------------------------------------------------------------
+def _feasible(p: AllocationParams) -> Column:
+    """No violation: the flag alone, without the texts of ``violations``."""
+    D = F.col("demand_units")
+    parts = [D, *[F.col(c) for c in ("available_inventory", "primary_capacity", "secondary_capacity", "air_capacity")]]
+    bad = F.lit(False)
+    for v in parts:
+        bad = bad | F.coalesce(v < 0, F.lit(False))
+    if not (p.allow_unmet_demand or p.allow_launch_delay):
+        bad = bad | F.coalesce(parts[1] + parts[2] + parts[3] + parts[4] < F.floor(D * _d(p.service_level_target)), F.lit(False))
+    return ~bad
+
+
 def feasibility(inp: DataFrame, p: AllocationParams = DEFAULT_ALLOC) -> DataFrame:
     """O1: violations (make the event infeasible), warnings, net demand, max service level."""
     D, I = F.col("demand_units"), F.col("available_inventory")
@@ -113,7 +129,7 @@ def feasibility(inp: DataFrame, p: AllocationParams = DEFAULT_ALLOC) -> DataFram
         F.when(I >= D, F.lit("stock already covers demand")))))
     return inp.select(
         "*",
-        (F.size(violations) == 0).alias("is_feasible"),
+        _feasible(p).alias("is_feasible"),
         violations.alias("violations"),
         warnings.alias("warnings"),
         F.when(F.size(basic) > 0, F.greatest(F.lit(0), D - F.greatest(F.lit(0), I)))
@@ -176,82 +192,77 @@ def _stage(df: DataFrame, cols: dict) -> DataFrame:
 def solve(inp: DataFrame, objective: str = "MIN_COST", p: AllocationParams = DEFAULT_ALLOC) -> DataFrame:
     """Optimal allocation per event under ``objective``.
 
-    All switch settings are evaluated side by side in staged projections and the
-    best (objective, total quantity, switch count, order) struct is taken with
-    ``least`` over structs - a pure per-row projection.
+    The undominated settings are filled side by side in staged projections and the best (objective,
+    total quantity, switch count, order) struct is taken with ``least`` over structs.
     """
-    x = feasibility(inp, p)
-    co = _coefficients(objective, p)
-    x = _stage(x, {f"_{k}": v for k, v in co.items()})
-    D = F.col("demand_units")
-    I = F.col("available_inventory")
+    names = inp.columns
+    x = _stage(inp, {"is_feasible": _feasible(p)})
+    x = _stage(x, {f"_{k}": v for k, v in _coefficients(objective, p).items()})
+    D, I = F.col("demand_units"), F.col("available_inventory")
     zero = F.lit(0).cast("long")
+    cost = {n: F.col(f"_a_{n}") for n in "psau"}
+    # _b_xy: 1 where source x is used up before y (equal costs: primary, secondary, air, unmet)
+    order = "psau"
+    before = {f"_b_{m}{n}": (cost[m] <= cost[n]) if order.index(m) < order.index(n) else (cost[m] < cost[n])
+              for m in order for n in order if m != n}
     x = _stage(x, {
         "_N": F.greatest(zero, D - I),
         "_M": F.when(D > 0, F.greatest(zero, F.floor(D * _d(p.service_level_target)).cast("long") - I)).otherwise(zero),
-        "_U": (F.greatest(D, F.lit(100000).cast("long")) if p.allow_unmet_demand else zero),
-    })
-    combos = [c for c in _COMBOS if p.allow_launch_delay or c[2] == 0]
-
-    def st(a, i, cap):
-        return F.struct(a.alias("c"), F.lit(i).alias("i") if isinstance(i, int) else i.alias("i"), cap.alias("cap"))
-
-    # stage 1: sorted real sources per switch setting
-    x = _stage(x, {f"_src{k}": F.sort_array(F.array(
-        st(F.col("_a_p"), 0, F.col("primary_capacity")),
-        st(F.col("_a_s"), 1, F.col("secondary_capacity") * ys),
-        st(F.col("_a_a"), 2, F.col("air_capacity") * ya))) for k, (ya, ys, yd) in enumerate(combos)})
-    x = _stage(x, {**{f"_mreq{k}": (zero if yd else F.col("_M")) for k, (_, _, yd) in enumerate(combos)},
-                   **{f"_nreq{k}": (zero if yd else F.col("_N")) for k, (_, _, yd) in enumerate(combos)}})
-    # stage 2: fill the service-level requirement M from the cheapest real sources
-    for j in range(3):
-        x = _stage(x, {f"_m{k}_{j}": F.greatest(zero, F.least(
-            F.col(f"_src{k}")[j]["cap"],
-            F.col(f"_mreq{k}") - sum((F.col(f"_m{k}_{t}") for t in range(j)), zero))) for k in range(len(combos))})
-    # stage 3: fill the rest of N from what is left, or leave it unmet
-    x = _stage(x, {f"_rst{k}": F.sort_array(F.array(
-        *[st(F.col(f"_src{k}")[j]["c"], F.col(f"_src{k}")[j]["i"], F.col(f"_src{k}")[j]["cap"] - F.col(f"_m{k}_{j}"))
-          for j in range(3)],
-        st(F.col("_a_u"), 3, F.col("_U")))) for k in range(len(combos))})
-    x = _stage(x, {f"_rreq{k}": F.col(f"_nreq{k}") - (F.col(f"_m{k}_0") + F.col(f"_m{k}_1") + F.col(f"_m{k}_2"))
-                   for k in range(len(combos))})
-    for j in range(4):
-        x = _stage(x, {f"_r{k}_{j}": F.greatest(zero, F.least(
-            F.col(f"_rst{k}")[j]["cap"],
-            F.col(f"_rreq{k}") - sum((F.col(f"_r{k}_{t}") for t in range(j)), zero))) for k in range(len(combos))})
-
-    def qty(k, i):
-        q = zero
-        for j in range(3):
-            q = q + F.when(F.col(f"_src{k}")[j]["i"] == i, F.col(f"_m{k}_{j}")).otherwise(zero)
-        for j in range(4):
-            q = q + F.when(F.col(f"_rst{k}")[j]["i"] == i, F.col(f"_r{k}_{j}")).otherwise(zero)
-        return q
-
-    x = _stage(x, {f"_q{k}_{n}": qty(k, i) for k in range(len(combos)) for i, n in enumerate("psau")})
+        **before})
+    capacity = {"p": F.col("primary_capacity"), "s": F.col("secondary_capacity"), "a": F.col("air_capacity")}
+
+    def left_of(n, used, need, amount):
+        """``need`` less what the sources used before ``n`` give."""
+        for m in used:
+            if m != n:
+                need = need - F.when(F.col(f"_b_{m}{n}"), amount(m)).otherwise(zero)
+        return need
+
+    def fill(need, cap):
+        return F.greatest(zero, F.least(cap, need))
+
+    settings = [(ya, ys) for ys in (0, 1) for ya in (0, 1)]
+    real = {k: "p" + "s" * ys + "a" * ya for k, (ya, ys) in enumerate(settings)}
+    unmet = "u" if p.allow_unmet_demand else ""
+    # the service-level part M, from real sources only
+    x = _stage(x, {f"_m{k}{n}": fill(left_of(n, on, F.col("_M"), capacity.get), capacity[n])
+                   for k, on in real.items() for n in on})
+    x = _stage(x, {f"_got{k}": sum((F.col(f"_m{k}{n}") for n in on), zero) for k, on in real.items()})
+
+    def rest(k):
+        # unmet demand never exceeds the whole need
+        return lambda m: F.col("_N") if m == "u" else capacity[m] - F.col(f"_m{k}{m}")
+
+    x = _stage(x, {f"_r{k}{n}": fill(left_of(n, on + unmet, F.col("_N") - F.col(f"_got{k}"), rest(k)), rest(k)(n))
+                   for k, on in real.items() for n in on + unmet})
     structs = []
-    for k, (ya, ys, yd) in enumerate(combos):
-        qp, qs, qa, qu = (F.col(f"_q{k}_{n}") for n in "psau")
-        objv = (F.col("_a_p") * qp + F.col("_a_s") * qs + F.col("_a_a") * qa + F.col("_a_u") * qu
-                + F.col("_f_a") * ya + F.col("_f_s") * ys + F.col("_f_d") * yd)
-        got_m = F.col(f"_m{k}_0") + F.col(f"_m{k}_1") + F.col(f"_m{k}_2")
-        got = got_m + F.col(f"_r{k}_0") + F.col(f"_r{k}_1") + F.col(f"_r{k}_2") + F.col(f"_r{k}_3")
-        ok = (got_m >= F.col(f"_mreq{k}")) & (got >= F.col(f"_nreq{k}"))
-        nb, order = _combo_order(ya, ys, yd)
-        structs.append(F.struct(
-            F.when(ok, F.lit(0)).otherwise(F.lit(1)).alias("infeasible"), objv.alias("objective"),
-            (qp + qs + qa + qu).alias("total_qty"), F.lit(nb).alias("nb"), F.lit(order).alias("ord"),
-            qp.alias("qp"), qs.alias("qs"), qa.alias("qa"), qu.alias("qu"),
-            F.lit(ya).alias("ya"), F.lit(ys).alias("ys"), F.lit(yd).alias("yd")))
-    x = x.withColumn("_best", F.least(*structs) if len(structs) > 1 else structs[0])
-    keep = [c for c in x.columns if not (c.startswith(("_src", "_rst", "_m", "_r", "_q", "_nreq", "_a_", "_f_"))
-                                         or c in ("_N", "_M", "_U", "_best"))]
+    for k, (ya, ys) in enumerate(settings):
+        on = real[k]
+        q = {n: F.col(f"_m{k}{n}") + F.col(f"_r{k}{n}") if n in on else F.col(f"_r{k}u") if n == "u" and unmet else zero
+             for n in order}
+        ok = (F.col(f"_got{k}") >= F.col("_M")) & (q["p"] + q["s"] + q["a"] + q["u"] >= F.col("_N"))
+        structs.append(_option(ok, q, ya, ys, 0))
+    if p.allow_launch_delay:
+        structs.append(_option(F.lit(True), {n: zero for n in order}, 0, 0, 1))
+    x = _stage(x, {"_best": F.least(*structs)})
     # Optimizer barrier: a one-element explode (Generate) keeps filters on solver outputs above
-    # this point, so Catalyst never inlines the staged greedy fill into a predicate.
-    x = x.select(*keep, F.explode(F.array(F.col("_best"))).alias("_best"))
+    # this point, so Catalyst never inlines the staged fill into a predicate.
+    x = x.select(*names, "is_feasible", F.explode(F.array(F.col("_best"))).alias("_best"))
     return _finish(x, p, optimal=F.col("is_feasible") & (F.col("_best.infeasible") == 0))
 
 
+def _option(ok: Column, q: dict, ya: int, ys: int, yd: int) -> Column:
+    """One switch setting as a struct whose order is the choice between settings."""
+    value = (F.col("_a_p") * q["p"] + F.col("_a_s") * q["s"] + F.col("_a_a") * q["a"] + F.col("_a_u") * q["u"]
+             + F.col("_f_a") * ya + F.col("_f_s") * ys + F.col("_f_d") * yd)
+    switches, order = _combo_order(ya, ys, yd)
+    return F.struct(
+        F.when(ok, F.lit(0)).otherwise(F.lit(1)).alias("infeasible"), value.alias("objective"),
+        (q["p"] + q["s"] + q["a"] + q["u"]).alias("total_qty"), F.lit(switches).alias("nb"), F.lit(order).alias("ord"),
+        q["p"].alias("qp"), q["s"].alias("qs"), q["a"].alias("qa"), q["u"].alias("qu"),
+        F.lit(ya).alias("ya"), F.lit(ys).alias("ys"), F.lit(yd).alias("yd"))
+
+
 def _finish(x: DataFrame, p: AllocationParams, optimal: Column) -> DataFrame:
     """Solution shape shared by the free solve and the forced strategies (O10-O14), staged."""
     base_cols = [c for c in x.columns if c != "_best"]
@@ -350,6 +361,41 @@ def solve_forced(inp: DataFrame, strategy, p: AllocationParams = DEFAULT_ALLOC)
     return out.withColumn("recommendation_code", code)
 
 
+#: Fields of a candidate, in the order of ``candidate_array``'s structs.
+CANDIDATE = ("candidate_ordinal", "strategy_type", "recommendation_code", "estimated_total_cost",
+             "estimated_delivery_days", "estimated_risk", "service_level_achieved")
+
+
+def candidate_array(p: AllocationParams = DEFAULT_ALLOC) -> Column:
+    """X1 beside its event: the feasible forced candidates as one array of ``CANDIDATE`` structs.
+
+    The closed forms of ``solve_forced``, one per strategy, so an event's candidates never leave its row."""
+    D, I, unit = F.col("demand_units"), F.col("available_inventory"), F.col("unit_cost")
+    ma, ms, pdd, base = (F.col(c) for c in ("air_multiplier", "secondary_multiplier", "predicted_delay_days", "air_base_cost"))
+    zero = F.lit(0).cast("long")
+    need = F.greatest(zero, D - I)
+    some = need > 0
+    air = F.when(base > 0, F.when(some, base).otherwise(_d(0)) * ma).otherwise(
+        (F.when(some, _d(p.air_fixed_cost)).otherwise(_d(0)) + need * _d(p.air_unit_cost)) * ma)
+    forms = {
+        "AIR_FREIGHT": (need <= F.col("air_capacity"), air, need, _d(p.air_days), _d(p.air_risk)),
+        "SECONDARY_SUPPLIER": (need <= F.col("secondary_capacity"), need * unit + need * unit * F.col("premium_rate") * ms,
+                               need, _d(p.secondary_days), _d(p.secondary_risk)),
+        "DELAY_LAUNCH": (F.lit(True), _d(p.delay_fixed_cost) + _d(p.delay_daily_cost) * pdd, zero, pdd, _d(p.delay_risk)),
+        "PRIMARY_SUPPLIER": (need <= F.col("primary_capacity"),
+                             need * unit + F.when(some, F.col("base_transport_cost")).otherwise(_d(0)), need, pdd,
+                             F.col("composite_risk")),
+    }
+    feasible = _feasible(p)
+    out = []
+    for k, name in enumerate(STRATEGIES):
+        ok, cost, supply, days, risk = forms[name]
+        service = F.when(D == 0, _d(1)).otherwise(F.least(_d(1), (I + supply) / D))
+        values = (F.lit(k), F.lit(name), F.lit(CODES[name]), cost, days, risk, service)
+        out.append(F.when(feasible & ok, F.struct(*[v.alias(n) for n, v in zip(CANDIDATE, values)])))
+    return F.array_compact(F.array(*out))
+
+
 def alternatives(inp: DataFrame, p: AllocationParams = DEFAULT_ALLOC) -> DataFrame:
     """The four forced candidates per event (one scan, ``explode`` x4), feasible ones only."""
     cands = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(STRATEGIES)]))

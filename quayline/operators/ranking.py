@@ -1,12 +1,16 @@
-"""Recommendation ranking (X2-X8): windows over the candidates of each run."""
+"""Recommendation ranking.
+
+Candidates that come from the solver are ranked beside their event, before they become rows (``rank_candidates``);
+a stored table of candidates is ranked by windows over each run (``rank``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rnd, rnd_signed
-from ..params import DEFAULT_RANK, RankingParams
+from ..functions.numeric import rnd
+from ..params import DEFAULT_ALLOC, DEFAULT_RANK, AllocationParams, RankingParams
+from .allocation import CANDIDATE, candidate_array
 
 MODES = ("MIN_COST", "MIN_RISK", "MIN_DELAY", "BALANCED")
 
@@ -44,6 +48,45 @@ def rank(cands: DataFrame, mode: str, run_keys=("event_id",), rp: RankingParams
         F.lit(mode.upper() if mode.upper() in MODES else "MIN_COST").alias("ranking_mode"))
 
 
+def ordered_candidates(mode: str, rp: RankingParams = DEFAULT_RANK, p: AllocationParams = DEFAULT_ALLOC) -> Column:
+    """The feasible candidates of the row's event, best first: structs of the sort keys and ``c``, the candidate."""
+    cands, m = candidate_array(p), mode.upper()
+
+    def keys(c):
+        cost, risk, days = c["estimated_total_cost"], c["estimated_risk"], c["estimated_delivery_days"]
+        return {"MIN_RISK": (risk, cost, days), "MIN_DELAY": (days, cost, risk)}.get(m, (cost, days, risk))
+
+    if m != "BALANCED":
+        return F.sort_array(F.transform(cands, lambda c: F.struct(
+            *[k.alias(f"k{i}") for i, k in enumerate(keys(c))], c["candidate_ordinal"].alias("o"), c.alias("c"))))
+    tops = F.transform(F.array(cands), lambda a: F.struct(a.alias("a"), *[
+        F.greatest(F.array_max(F.transform(a, lambda c: c[n])), F.lit(low)).alias(w)
+        for n, low, w in (("estimated_total_cost", rp.cost_floor, "mc"), ("estimated_risk", rp.risk_floor, "mr"),
+                          ("estimated_delivery_days", rp.delay_floor, "md"))]))
+    return F.element_at(F.transform(tops, lambda t: F.sort_array(F.transform(t["a"], lambda c: F.struct(
+        (c["estimated_total_cost"] / t["mc"] * rp.cost_weight + c["estimated_risk"] / t["mr"] * rp.risk_weight
+         + c["estimated_delivery_days"] / t["md"] * rp.time_weight).alias("k0"),
+        c["estimated_total_cost"].alias("k1"), c["candidate_ordinal"].alias("o"), c.alias("c"))))), 1)
+
+
+def rank_candidates(inp: DataFrame, mode: str, keep=("event_id",), rp: RankingParams = DEFAULT_RANK,
+                    p: AllocationParams = DEFAULT_ALLOC) -> DataFrame:
+    """X1-X4 without a shuffle: allocation inputs -> ranked candidates with the ``keep`` columns of their event."""
+    x = inp.select(*keep, ordered_candidates(mode, rp, p).alias("_s"))
+    x = x.select(*keep, F.get("_s", 0)["c"].alias("_top"), F.posexplode("_s").alias("_at", "_o"))
+    c = F.col("_o.c")
+    return x.select(
+        *keep, *[c[f].alias(f) for f in CANDIDATE], (F.col("_at") + 1).alias("rank"), (F.col("_at") == 0).alias("is_recommended"),
+        (c["estimated_total_cost"] - F.col("_top.estimated_total_cost")).alias("cost_difference"),
+        (c["estimated_risk"] - F.col("_top.estimated_risk")).alias("risk_difference"),
+        F.lit(mode.upper() if mode.upper() in MODES else "MIN_COST").alias("ranking_mode"))
+
+
+def recommended_code(mode: str = "MIN_COST") -> Column:
+    """X8 beside the event: the best candidate's code, ``ALT_A`` when none is feasible."""
+    return F.coalesce(F.get(ordered_candidates(mode), 0)["c"]["recommendation_code"], F.lit("ALT_A"))
+
+
 def best_code(ranked: DataFrame, runs: DataFrame, run_keys=("event_id",)) -> DataFrame:
     """Recommended code per run; ``ALT_A`` when a run has no feasible option."""
     best = ranked.groupBy(*run_keys).agg(F.min_by("recommendation_code", "rank").alias("_code"))
@@ -98,10 +141,3 @@ def explanations(ranked: DataFrame) -> DataFrame:
     return ranked.select("event_id", "recommendation_code", "strategy_type", desc.alias("description"),
                          F.split(pros, r"\|").alias("advantages"), F.split(cons, r"\|").alias("disadvantages"),
                          rat.alias("rationale"))
-
-
-def round_outputs(df: DataFrame) -> DataFrame:
-    """Stable output rounding for ranked tables."""
-    return df.select(*[c for c in df.columns if c not in ("cost_difference", "risk_difference")],
-                     rnd_signed("cost_difference", 2).alias("cost_difference"),
-                     rnd_signed("risk_difference", 4).alias("risk_difference"))

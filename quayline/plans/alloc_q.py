@@ -17,10 +17,10 @@ from .risk_q import asof_inventory
 R, RS = S.R, S.RS
 
 
-def alloc_inputs(spark, sf_dir):
+def alloc_inputs(spark, sf_dir, keep=()):
     a = assessed(spark, sf_dir)
     snap = asof_inventory(fixtures.supply_events(spark, sf_dir), fixtures.inventory(spark, sf_dir))
-    return allocation.assemble_inputs(a, snap, fixtures.suppliers(spark, sf_dir))
+    return allocation.assemble_inputs(a, snap, fixtures.suppliers(spark, sf_dir), keep=keep)
 
 
 # ---------------------------------------------------------------- oracle SQL
@@ -358,7 +358,7 @@ SELECT event_id, recommendation_code, strategy_type, CAST(rank AS INTEGER) AS ra
 FROM rk2
 """)
     def q(spark, sf_dir):
-        r = ranking.rank(_alts(spark, sf_dir), mode)
+        r = ranking.rank_candidates(alloc_inputs(spark, sf_dir), mode)
         return r.select("event_id", "recommendation_code", "strategy_type", "rank", "is_recommended",
                         rnd_signed("cost_difference", 2).alias("cost_difference"),
                         rnd_signed("risk_difference", 4).alias("risk_difference"))
@@ -380,9 +380,7 @@ FROM forced GROUP BY event_id
 """)
 def rec_best_code(spark, sf_dir):
     """Recommended code per run (``ALT_A`` when no option is feasible)."""
-    inp = alloc_inputs(spark, sf_dir)
-    r = ranking.rank(allocation.alternatives(inp), "MIN_COST")
-    return ranking.best_code(r, inp)
+    return alloc_inputs(spark, sf_dir).select("event_id", ranking.recommended_code("MIN_COST").alias("recommended_code"))
 
 
 @register("rec_comparison", _FORCED_SQL + _rank_sql("MIN_COST") + f"""
@@ -396,13 +394,13 @@ FROM rk2
 """)
 def rec_comparison(spark, sf_dir):
     """Formatted comparison table."""
-    return ranking.comparison(ranking.rank(_alts(spark, sf_dir), "MIN_COST"))
+    return ranking.comparison(ranking.rank_candidates(alloc_inputs(spark, sf_dir), "MIN_COST"))
 
 
 @register("rec_explanations")
 def rec_explanations(spark, sf_dir):
     """Strategy explanations with the option's figures (wording is ours; rows-only check)."""
-    e = ranking.explanations(ranking.rank(_alts(spark, sf_dir), "MIN_COST"))
+    e = ranking.explanations(ranking.rank_candidates(alloc_inputs(spark, sf_dir), "MIN_COST"))
     return e.select("event_id", "recommendation_code", "strategy_type", "description",
                     F.array_join("advantages", "; ").alias("advantages"),
                     F.array_join("disadvantages", "; ").alias("disadvantages"), "rationale")

@@ -92,9 +92,9 @@ _REQ_SQL = """
 
 
 def _validated(spark, sf_dir):
-    from .alloc_q import _alts
+    from .alloc_q import alloc_inputs
     from ..operators import ranking
-    recs = ranking.rank(_alts(spark, sf_dir), "MIN_COST").select(
+    recs = ranking.rank_candidates(alloc_inputs(spark, sf_dir), "MIN_COST").select(
         "event_id", "recommendation_code", "is_recommended", "strategy_type")
     return lifecycle.validate_decisions(_requests(spark, sf_dir), recs), recs
 

@@ -61,20 +61,21 @@ def loop_batch(spark, sf_dir):
     """The closed loop as one lazy plan: score -> allocate alternatives -> rank -> decide
     -> measure -> learn, chained by keys (events without a step get nulls, not a failure)."""
     from .alloc_q import alloc_inputs
-    inp = alloc_inputs(spark, sf_dir)
-    ranked = ranking.rank(allocation.alternatives(inp), "MIN_COST")
-    best = ranking.best_code(ranked, inp)
-    # decisions are validated against this same ranking (the alternatives are solved once)
-    recs = ranked.select("event_id", "recommendation_code", "is_recommended", "strategy_type")
-    v = lifecycle.validate_decisions(_requests(spark, sf_dir), recs)
+    inp = alloc_inputs(spark, sf_dir, keep=("risk_level",))
+    # the candidates of an event stay in its row: the best one is the recommendation, and the request
+    # is checked against the whole list
+    ev = inp.select("event_id", "risk_level", F.transform(
+        ranking.ordered_candidates("MIN_COST"), lambda o, i: F.struct(
+            o["c"]["recommendation_code"].alias("code"), (i == 0).alias("top"))).alias("_opts"))
+    failures, status = lifecycle.decision_checks(F.col("_opts"))
+    asked = F.col("decision_id").isNotNull()
+    x = ev.join(_requests(spark, sf_dir), "event_id", "left").select(
+        "event_id", "risk_level", F.get("_opts", 0)["code"].alias("recommended_code"),
+        F.when(asked, F.size(failures) == 0).alias("decision_accepted"), F.when(asked, status).alias("effective_status"))
     c = _checked(spark, sf_dir)
     m = learning.ewma_by_strategy(c)
-    a = assessed(spark, sf_dir).select("event_id", "risk_level")
-    out = (a.join(best, "event_id", "left")
-           .join(v.select("event_id", (F.size("failures") == 0).alias("decision_accepted"), "effective_status"),
-                 "event_id", "left")
-           .join(c.select(F.col("outcome_id").alias("event_id"), "outcome_status", "strategy_type"), "event_id", "left")
-           .join(F.broadcast(m.select("strategy_type", "multiplier")), "strategy_type", "left"))
+    out = (x.join(c.select(F.col("outcome_id").alias("event_id"), "outcome_status", "strategy_type"), "event_id", "left")
+           .join(m.select("strategy_type", "multiplier"), "strategy_type", "left"))
     return out.select("event_id", "risk_level", F.coalesce("recommended_code", F.lit("ALT_A")).alias("recommended_code"),
                       "decision_accepted", "effective_status", "outcome_status",
                       F.when(F.col("outcome_status").isNotNull(), F.coalesce("multiplier", F.lit(1.0)))

@@ -98,3 +98,38 @@ def test_ranking_modes(spark):
         r = ranking.rank(c, mode).orderBy("rank").collect()
         assert "".join(x["recommendation_code"][-1] for x in r) == order
         assert r[0]["is_recommended"] and r[0]["cost_difference"] == 0.0
+
+
+def test_candidates_in_the_row_equal_the_ranked_table(spark):
+    rnd = random.Random(4)
+    rows = [(f"e{i}", rnd.randint(0, 60), rnd.randint(-1, 40), float(rnd.randint(1, 9)), float(rnd.randint(0, 50)), rnd.randint(0, 40),
+             rnd.randint(0, 40), rnd.randint(0, 40), 0.1, rnd.choice([None, 30.0, 0.0]), float(rnd.randint(0, 9)), 0.3, 1.1, 0.9)
+            for i in range(60)]
+    df = spark.createDataFrame(rows, COLS)
+    fields = ("event_id", "recommendation_code", "strategy_type", "estimated_total_cost", "estimated_delivery_days", "estimated_risk",
+              "service_level_achieved", "rank", "is_recommended", "cost_difference", "risk_difference", "ranking_mode")
+    for mode in (*ranking.MODES, "other"):
+        want = {tuple(r) for r in ranking.rank(allocation.alternatives(df), mode).select(*fields).collect()}
+        got = {tuple(r) for r in ranking.rank_candidates(df, mode).select(*fields).collect()}
+        assert got == want, mode
+
+
+def test_free_optimum_is_never_worse_than_a_forced_strategy(spark):
+    rnd = random.Random(8)
+    rows = [(f"e{i}", rnd.randint(0, 900), rnd.randint(0, 400), float(rnd.randint(1, 90)), float(rnd.randint(0, 5000)), rnd.randint(0, 900),
+             rnd.randint(0, 900), rnd.randint(0, 2000), 0.1, rnd.choice([None, 3000.0]), float(rnd.randint(0, 20)), 0.3, 1.0, 1.0)
+            for i in range(80)]
+    df = spark.createDataFrame(rows, COLS)
+    for obj in allocation.OBJECTIVES:
+        free = {r.event_id: r for r in allocation.solve(df, obj).collect()}
+        co = allocation._coefficients(obj, AllocationParams())
+        x = df.select("event_id", "demand_units", "available_inventory", "primary_capacity", "secondary_capacity", "air_capacity",
+                      *[v.alias(k) for k, v in co.items()]).collect()
+        for r in x:
+            need = max(0, r.demand_units - r.available_inventory)
+            forced = [r.f_d]
+            forced += [r.a_p * need] if need <= r.primary_capacity else []
+            forced += [r.a_s * need + r.f_s] if need <= r.secondary_capacity else []
+            forced += [r.a_a * need + r.f_a] if need <= r.air_capacity else []
+            assert free[r.event_id].solver_status == "OPTIMAL"
+            assert free[r.event_id].objective_value <= min(forced) + 1e-9, (obj, r)
