@@ -6,7 +6,7 @@ over that aggregate, never a window over row-level data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip01, rnd
@@ -110,6 +110,30 @@ def calibration(ev: DataFrame, n_bins: int = 5) -> DataFrame:
                                           F.count(F.lit(1)).alias("n"))
 
 
+def quantile_calibration(ev: DataFrame, n_bins: int = 5) -> DataFrame:
+    """E8 on equal-frequency bins: right-closed edges at the exact quantiles of the scores, so equal scores share a
+    bin and heavy ties leave bins empty (only non-empty ones are returned).
+
+    Scores are first reduced to (score, rows, positives); the bins are sums over that curve."""
+    curve = ev.groupBy("p").agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_y"))
+    inner = [i / n_bins for i in range(1, n_bins)]
+    edges = exact_quantiles(ev, ["p"], inner).agg(F.array_sort(F.collect_list("quantile")).alias("_e"))  # n_bins - 1 numbers
+    bin_ = F.size(F.filter("_e", lambda e: e < F.col("p"))).cast("int")
+    x = curve.crossJoin(F.broadcast(edges)).groupBy(bin_.alias("bin")).agg(
+        F.sum("_n").alias("n"), F.sum("_y").alias("_pos"), F.sum(F.col("p") * F.col("_n")).alias("_sum"))
+    return x.select("bin", rnd(F.col("_sum") / F.col("n"), 6).alias("mean_predicted"),
+                    rnd(F.col("_pos") / F.col("n"), 6).alias("fraction_positive"), "n")
+
+
+def calibration_status(ev: DataFrame) -> DataFrame:
+    """(is_calibrated, brier, note): a curve needs both classes."""
+    x = ev.agg(F.count_if(F.col("y") == 1).alias("_p"), F.count_if(F.col("y") != 1).alias("_q"),
+               F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("_b"))
+    both = (F.col("_p") > 0) & (F.col("_q") > 0)
+    return x.select(both.alias("is_calibrated"), rnd("_b", 6).alias("brier"),
+                    F.when(~both, F.lit("one class only: no curve")).alias("note"))
+
+
 def bin_counts(ev: DataFrame, n_bins: int = 5) -> DataFrame:
     """Counts per left-closed bin, empty bins filled with 0 (join to a fixed bin list)."""
     spark = ev.sparkSession
@@ -201,13 +225,29 @@ def chronological_split(df: DataFrame, date_col: str = "date", id_col: str = "ev
                         test_share: float = 0.2, val_share: float = 0.2) -> DataFrame:
     """M1: last int(.2 n) rows by (date, id) are test, the int(.2 (n - test)) before them validation.
 
-    The global (date, id) rank is a range-partitioned prefix count, so a date holding a
-    large share of the rows is split across tasks like any other range."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    x = grouped_cumsum(df.withColumn("_g", F.lit(0)).withColumn("_one", F.lit(1)), ["_g"], [date_col, id_col], ["_one"])
-    x = x.withColumnRenamed("cum__one", "_rank").drop("_g", "_one").crossJoin(F.broadcast(n))
+    Counts per date find the two dates in which the parts change; only the ids of these dates are ranked,
+    by a sliced prefix count, which gives two cut keys.  Every other row is compared with the cuts where it is."""
+    days = df.groupBy(F.col(date_col).alias("_d")).agg(F.count(F.lit(1)).alias("_k"))
+    total = days.agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("_n"))
     n_test = F.greatest(F.lit(1), F.floor(F.col("_n") * test_share))
     n_val = F.greatest(F.lit(1), F.floor((F.col("_n") - n_test) * val_share))
-    split = (F.when(F.col("_rank") > F.col("_n") - n_test, "test")
-             .when(F.col("_rank") > F.col("_n") - n_test - n_val, "validation").otherwise("train"))
-    return x.withColumn("split", split).drop("_n")
+    upto = Window.orderBy(F.asc_nulls_first("_d")).rowsBetween(Window.unboundedPreceding, 0)
+    # the calendar bounds this table; its window is one small task
+    places = days.withColumn("_cum", F.sum("_k").over(upto)).crossJoin(F.broadcast(total)).select(
+        "_d", F.explode(F.array(*[F.struct(F.lit(part).alias("part"), (at - (F.col("_cum") - F.col("_k"))).alias("nth"))
+                                  for part, at in (("a", F.col("_n") - n_test - n_val), ("b", F.col("_n") - n_test))])).alias("_p"),
+        "_k").select("_d", "_p.part", "_p.nth", "_k").where((F.col("nth") >= 1) & (F.col("nth") <= F.col("_k")))
+    places = F.broadcast(places)  # two rows
+    inside = df.select(F.col(date_col).alias("_g"), F.col(id_col).alias("_i"))
+    inside = inside.join(places.select("_d").distinct(), F.col("_g").eqNullSafe(F.col("_d")), "left_semi")
+    ranked = grouped_cumsum(inside.withColumn("_one", F.lit(1)), ["_g"], ["_i"], ["_one"])
+    cuts = ranked.join(places, F.col("_g").eqNullSafe(F.col("_d")) & (F.col("cum__one") == F.col("nth"))).agg(*[
+        F.max(F.when(F.col("part") == part, F.struct(F.col("_g").alias("d"), F.col("_i").alias("i")))).alias(f"_cut_{part}")
+        for part in "ab"])
+    key = F.struct(F.col(date_col).alias("d"), F.col(id_col).alias("i"))
+
+    def after(cut):  # no cut: the part before it is empty
+        return F.col(cut).isNull() | (key > F.col(cut))
+
+    split = F.when(after("_cut_b"), "test").when(after("_cut_a"), "validation").otherwise("train")
+    return df.crossJoin(F.broadcast(cuts)).withColumn("split", split).drop("_cut_a", "_cut_b")

@@ -57,11 +57,24 @@ def impute(df: DataFrame, numeric_cols: list[str], categorical_cols: list[str])
     return out.select(*sel)
 
 
+def _repeats(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with a 128-bit fingerprint ``_h1``, ``_h2`` of ``keys``, the fingerprints that several rows have)."""
+    hashed = df.withColumn("_h1", F.xxhash64(*keys)).withColumn("_h2", F.xxhash64(F.lit("second"), *keys))
+    return hashed, hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1").drop("_copies")
+
+
 def drop_exact_duplicates(df: DataFrame, ignore: list[str], order: list[Column]) -> DataFrame:
-    """C4: keep the first copy of rows equal on all columns except ``ignore``."""
+    """C4: keep the first copy of rows equal on all columns except ``ignore``.
+
+    Fingerprints are counted first; whole rows meet and are compared only where fingerprints do, the
+    others pass without a shuffle of their columns."""
     keys = [c for c in df.columns if c not in ignore]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    hashed, shared = _repeats(df, keys)
+    single = hashed.join(shared, ["_h1", "_h2"], "left_anti").select(*df.columns)
+    w = Window.partitionBy("_h1", "_h2", *keys).orderBy(*order)
+    first = (hashed.join(shared, ["_h1", "_h2"], "left_semi").withColumn("_rn", F.row_number().over(w))
+             .where("_rn = 1").select(*df.columns))
+    return single.unionByName(first)
 
 
 def dedup_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -116,27 +129,26 @@ GATE_TIERS = ("Low", "Medium", "High")
 def dataset_gate(df: DataFrame, min_rows: int = 500, tiers=GATE_TIERS, categories=GATE_CATEGORIES) -> DataFrame:
     """The whole gate in one row: rows, nulls in required columns, repeated rows, seven rule counts, ``passed``.
 
-    Rows are first reduced to (distinct row, copies), so repeats and rules come from one shuffle; a null
-    breaks no range rule (it is counted as a null), but is neither a category nor a tier."""
+    The rules are one aggregate over the rows; repeats are counted by fingerprint, and whole rows are
+    grouped only where fingerprints meet.  A null breaks no range rule (it is counted as a null), but is neither a
+    category nor a tier."""
     missing = [x for x in GATE_COLUMNS if x not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    c, n = F.col, F.col("_n")
+    c = F.col
 
     def broken(rule):
-        return F.coalesce(F.sum(F.when(rule, n)), F.lit(0))
+        return F.count_if(rule)
 
-    nulls = sum((c(x).isNull().cast("int") for x in GATE_COLUMNS), F.lit(0))
+    nulls = sum((c(x).isNull().cast("long") for x in GATE_COLUMNS), F.lit(0))
     costs = [c(x) <= 0 for x in ("unit_cost_usd", "transport_cost_usd", "air_freight_cost_usd", "estimated_primary_cost_usd",
                                  "estimated_secondary_cost_usd")]
     any_cost = costs[0]
     for x in costs[1:]:
         any_cost = any_cost | x
     premium, late, days = c("secondary_supplier_premium_pct"), c("delay_occurred"), c("delay_days")
-    agg = rows.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(nulls * n), F.lit(0)).alias("n_nulls"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).alias("n_repeated_rows"),
+    rules = df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(nulls), F.lit(0)).alias("n_nulls"),
         broken((c("supplier_reliability") < 0) | (c("supplier_reliability") > 1)).alias("bad_reliability"),
         broken(any_cost | (premium < 0) | (premium > 1)).alias("bad_costs"),
         broken((c("planned_lead_time_days") <= 0) | (c("actual_lead_time_days") < c("planned_lead_time_days"))
@@ -145,6 +157,10 @@ def dataset_gate(df: DataFrame, min_rows: int = 500, tiers=GATE_TIERS, categorie
         broken((c("demand_units") <= 0) | (c("inventory_units") < 0) | (c("supplier_capacity_units") <= 0)).alias("bad_units"),
         broken(F.coalesce(~c("category").isin(*categories), F.lit(True))).alias("bad_category"),
         broken(F.coalesce(~c("service_risk").isin(*tiers), F.lit(True))).alias("bad_tier"))
+    hashed, shared = _repeats(df, df.columns)
+    same = hashed.join(shared, ["_h1", "_h2"], "left_semi").groupBy("_h1", "_h2", *df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    repeats = same.agg(F.coalesce(F.sum(c("_n") - 1), F.lit(0)).alias("n_repeated_rows"))
+    agg = rules.crossJoin(repeats).select("n_rows", "n_nulls", "n_repeated_rows", *rules.columns[2:])  # one row each
     faults = sum((c(x) for x in agg.columns[1:]), F.lit(0))
     return agg.withColumn("passed", (faults == 0) & (c("n_rows") >= min_rows))
 

@@ -118,6 +118,27 @@ def eval_calibration(spark, sf_dir):
     return EV.calibration(eval_base(spark, sf_dir), 5)
 
 
+@register("eval_calibration_quantile", _BASE + f"""
+, tied AS (SELECT floor(p * 20 + 0.5) / 20 AS p, y FROM ev),
+e AS (SELECT unnest(quantile_cont(p, [0.2, 0.4, 0.6, 0.8])) AS e FROM tied),
+b AS (SELECT p, y, (SELECT count(*) FROM e WHERE e.e < tied.p) AS bin FROM tied)
+SELECT CAST(bin AS INTEGER) AS bin, {R('sum(p) / count(*)', 6)} AS mean_predicted, {R('avg(y)', 6)} AS fraction_positive,
+       count(*) AS n FROM b GROUP BY bin
+""")
+def eval_calibration_quantile(spark, sf_dir):
+    """Reliability curve on five equal-frequency bins of scores with heavy ties (steps of 0.05)."""
+    tied = eval_base(spark, sf_dir).withColumn("p", F.floor(F.col("p") * 20 + 0.5) / 20)
+    return EV.quantile_calibration(tied, 5)
+
+
+@register("eval_calibration_status", _BASE + f"""
+SELECT count(DISTINCT y) = 2 AS is_calibrated, {R('avg((p - y) * (p - y))', 6)} AS brier, CAST(NULL AS VARCHAR) AS note FROM ev
+""")
+def eval_calibration_status(spark, sf_dir):
+    """Whether a calibration curve exists, the Brier score and the one-class note."""
+    return EV.calibration_status(eval_base(spark, sf_dir))
+
+
 @register("eval_bin_counts", _BASE + """
 , b AS (SELECT CAST(range AS INTEGER) AS bin FROM range(5)),
 c AS (SELECT CAST(least(floor(p * 5), 4) AS INTEGER) AS bin, count(*) AS n FROM ev GROUP BY 1)

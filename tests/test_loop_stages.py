@@ -112,3 +112,64 @@ def test_lifecycle_fold_equals_sequential(spark):
            for r in lifecycle.fold_lifecycle(df).collect()}
     for dec, evs in logs.items():
         assert got[dec] == _sequential(evs)
+
+
+def test_hot_decision_is_folded_in_slices_and_keeps_its_reason(spark):
+    import datetime as dt
+    rnd = random.Random(6)
+    kinds = [("decision", s) for s in lifecycle.DECISION_STATUSES] + [("execution", s) for s in lifecycle.EXECUTION_STATUSES] + [("x", "y")]
+    rows, start = [], dt.datetime(2024, 1, 1)
+    for j in range(3000):  # decision 0 has two thirds of the rows, all in one day
+        k, t = rnd.choice(kinds)
+        rows.append((0 if j % 3 else 1 + j % 11, start + dt.timedelta(seconds=rnd.randint(0, 9000)), j, k, t,
+                     f"r{j}" if rnd.random() < 0.4 else None))
+    df = spark.createDataFrame(rows, "decision_id long, ts timestamp, request_id long, kind string, target_status string, decision_reason string")
+    want = {}
+    for d, ts, j, k, t, why in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        dec, exe, rejected, reason, n = want.get(d, ("PENDING", "NOT_STARTED", 0, None, 0))
+        ok = False
+        if k != "x":
+            dec, exe, ok = lifecycle.apply_request(dec, exe, k, t)
+        want[d] = (dec, exe, rejected + (not ok), why if ok and why is not None else reason, n + 1)
+    for fan in (4, 256):
+        got = {r.decision_id: (r.decision_status, r.execution_status, r.n_rejected, r.decision_reason, r.n_requests)
+               for r in lifecycle.fold_lifecycle(df.repartition(5), slices=8, fan=fan).collect()}
+        assert got == want
+
+
+def test_chronological_cuts_equal_a_global_rank(spark):
+    import datetime as dt
+
+    from quayline.operators import evaluation
+    rnd = random.Random(3)
+    for n, days in ((0, 1), (2, 1), (500, 4)):
+        rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randrange(days)) if i % 50 else None, f"e{i:04d}") for i in range(n)]
+        df = spark.createDataFrame(rows, "date date, event_id string")
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or dt.date.min, r[1]))
+        n_test = max(1, int(n * .2))
+        n_val = max(1, int((n - n_test) * .2))
+        want = {r[1]: "test" if i >= n - n_test else "validation" if i >= n - n_test - n_val else "train" for i, r in enumerate(order)}
+        got = {r.event_id: r.split for r in evaluation.chronological_split(df).collect()}
+        assert got == want, (n, days)
+
+
+def test_one_class_has_no_curve(spark):
+    from quayline.operators import evaluation
+    one = spark.createDataFrame([(.2, 1), (.4, 1)], "p double, y int")
+    row = evaluation.calibration_status(one).first()
+    assert (row.is_calibrated, row.note) == (False, "one class only: no curve") and row.brier == .5
+    ties = spark.createDataFrame([(.1, 0)] * 90 + [(.5, 1)] * 10, "p double, y int")
+    assert {(r.bin, r.n) for r in evaluation.quantile_calibration(ties).collect()} == {(0, 90), (4, 10)}
+
+
+def test_exact_duplicates_by_fingerprint(spark):
+    from pyspark.sql import functions as F
+
+    from quayline.operators import quality
+    rows = [(i % 40, None if i % 7 == 0 else f"t{i % 40}", i) for i in range(200)] + [(99, "only", 1)]
+    df = spark.createDataFrame(rows, "a int, b string, copy int").repartition(4)
+    got = sorted((r.a, r.b or "", r.copy) for r in quality.drop_exact_duplicates(df, ["copy"], [F.col("copy")]).collect())
+    first = {}
+    for a, b, c in sorted(rows, key=lambda r: r[2]):
+        first.setdefault((a, b), c)
+    assert got == sorted((a, b or "", c) for (a, b), c in first.items())
