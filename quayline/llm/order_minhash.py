@@ -8,9 +8,9 @@ many k-mers take different ones and are independent; a text of few k-mers has eq
 texts agree in a value when they select the same two k-mers in the same order, so the share of equal
 values falls with the edit distance, also where only the order differs.
 
-Hash and place travel in one long, so sorting is a primitive sort and no step needs a shuffle.  The
-successor of a document in the id order comes from a range-partitioned scan of the ids; the texts
-are shuffled for their prefixes, never sorted as a whole.
+Hash and place travel in one long, so sorting is a primitive sort and no step needs a shuffle.  The texts are
+shuffled once, into ranges of ids, where the next document is the neighbouring row; only the last row of
+each range is copied to the one beside it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayline.operators.slices import HALO, SLICE, cut, with_halo
+
 from .common import materialize
 
 PLACE = (1 << 24) - 1
@@ -120,6 +122,32 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return inside.where("next is not null").select("id", "next").unionByName(first)
 
 
+def _beside_next(known: DataFrame, options: dict) -> DataFrame:
+    """(doc_id, text, f, prefix, g): every document beside the text and the fingerprint of its next one; ids are distinct.
+
+    The texts move once, into ranges of ids cut at sampled bounds.  Within a range the next document is the
+    row before; the last row of each range is copied into the one above it, and the largest into the lowest."""
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(known.withColumn("_all", F.lit(0)), ["_all"], ["doc_id"], slices=4 * parts)
+    top = known.orderBy(F.desc("doc_id")).limit(1).select(
+        F.lit(0).alias("_all"), F.lit(0).alias(SLICE), F.lit(-(1 << 63)).cast("long").alias("doc_id"), "text", F.lit(True).alias(HALO))
+    x = with_halo(ranged, 1, ["text"]).unionByName(top).repartition(SLICE)
+    x = with_fingerprint(x, "text", "f", **options)
+    w = Window.partitionBy(SLICE).orderBy("doc_id", F.desc(HALO))
+    return x.select("doc_id", "text", "f", HALO, F.lag("text").over(w).alias("prefix"), F.lag("f").over(w).alias("g")).where(
+        ~F.col(HALO)).drop(HALO)
+
+
+def _beside_repeated(known: DataFrame, options: dict) -> DataFrame:
+    """As ``_beside_next`` where ids repeat: joined by id, the smallest text of an id stands for it."""
+    order = materialize(next_ids(known.select(F.col("doc_id").alias("id")).distinct()))
+    back = order.select(F.col("next").alias("doc_id"), F.col("id").alias("user"))
+    given = known.join(back.hint("shuffle_hash"), "doc_id").groupBy("user").agg(F.min("text").alias("prefix"))
+    given = with_fingerprint(given, "prefix", "g", **options).withColumnRenamed("user", "doc_id")
+    return with_fingerprint(known.join(given.hint("shuffle_hash"), "doc_id"), "text", "f", **options).select(
+        "doc_id", "text", "f", "prefix", "g")
+
+
 def fingerprints_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness.
 
@@ -130,24 +158,20 @@ def fingerprints_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: st
     are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    half = F.floor(F.char_length("text") / 2).cast("int")
     known = rows.where("doc_id is not null")
-    order = materialize(next_ids(known.select(F.col("doc_id").alias("id")).distinct()))
-    # a document's prefix and fingerprint go to the document whose next it is
-    back = order.select(F.col("next").alias("doc_id"), F.col("id").alias("user"))
-    size = materialize(known.groupBy("doc_id").agg(F.max(half).alias("half"), F.count("*").alias("rows")))
-    back = back.join(size.select(F.col("doc_id").alias("user"), "half"), "user")
-    given = with_fingerprint(known.join(back.hint("shuffle_hash"), "doc_id"), "text", "g", **options)
-    given = given.select(F.col("user").alias("doc_id"), F.expr("substring(text, 1, half)").alias("prefix"), "g")
-    if size.where("rows > 1").limit(1).count():
-        given = given.groupBy("doc_id").agg(F.min(F.struct("prefix", "g")).alias("x")).select("doc_id", "x.*")
-    joined = rows.join(given.hint("shuffle_hash"), "doc_id", "left")
+    if known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        joined = _beside_repeated(known, options)
+    else:
+        joined = _beside_next(known, options)
+    alone = with_fingerprint(rows.where("doc_id is null"), "text", "f", **options)
+    joined = joined.unionByName(alone.select("doc_id", "text", "f", F.col("text").alias("prefix"), F.col("f").alias("g")))
+    half = F.floor(F.char_length("text") / 2).cast("int")
     n = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")),
-                      F.substring(F.coalesce(F.col("prefix"), F.col("text")), F.lit(1), half))
-    own = joined.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "g")
-    compared = with_fingerprint(with_fingerprint(own, "text", "f", **options), "edited", "e", **options)
+                      F.substring(F.col("prefix"), F.lit(1), half))
+    own = joined.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"), "f", "g")
+    compared = with_fingerprint(own, "edited", "e", **options)
     compared = compared.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
     return compared.select(
         "doc_id", "n_chars", "edited_sha256", _text_of("f").alias("fingerprint"), _text_of("e").alias("edited_fingerprint"),
-        likeness("f", "e").alias("near_edited"), F.coalesce(likeness("f", "g"), F.lit(1.0)).alias("near_next"))
+        likeness("f", "e").alias("near_edited"), likeness("f", "g").alias("near_next"))

@@ -240,3 +240,30 @@ def test_phrases_equal_brute_force_also_when_fingerprints_collide(spark, mask):
 
 def test_phrases_of_nothing(spark):
     assert collocations(spark.createDataFrame([], "doc_id long, lang string, text string")).count() == 0
+
+
+# ---- neighbours of the order MinHash -------------------------------------------
+
+
+def test_next_documents_of_distinct_ids_across_slices(spark):
+    import math
+
+    from quayline.llm.order_minhash import fingerprints_with_edit
+    rng = random.Random(21)
+    texts = {rng.randrange(-10**12, 10**12): " ".join(rng.choice("ab cd éf gh ij kl 日本".split()) for _ in range(rng.randrange(40)))
+             for _ in range(700)}
+    rows = [*texts.items(), (None, "no id here"), (5 * 10**12, None)]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, _slice int, user string").repartition(7)
+    got = {r.doc_id: r for r in fingerprints_with_edit(df).collect()}
+    assert len(got) == len(rows)
+    ids = sorted((d for d, _ in rows if d is not None), reverse=True)
+    text = {d: t or "" for d, t in rows}
+    for i, d in enumerate(ids):
+        nxt = ids[(i + 1) % len(ids)]
+        half = len(text[d]) // 2
+        edited = text[d][:len(text[d]) - half] + text[nxt][:half]
+        assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest(), d
+        a, b = ([f[j:j + 8] for j in range(0, len(f), 8)] for f in (got[d].fingerprint, got[nxt].fingerprint))
+        same = sum(x == y for x, y in zip(a, b))
+        assert abs(got[d].near_next - math.sqrt(same / max(len(a), len(b)))) < 1e-12
+    assert got[None].near_next == 1.0
