@@ -83,4 +83,4 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         *[F.when(F.col(name).isNull(), text).otherwise(rebuilt).alias(c) if c == text_col else F.col(f"`{c}`")
           for c in docs.columns],
         F.size(lines).cast("long").alias(lines_col),
-        F.coalesce(F.size(name), F.lit(0)).cast("long").alias(dropped_col))
+        F.when(F.col(name).isNull(), F.lit(0)).otherwise(F.size(name)).cast("long").alias(dropped_col))

@@ -267,3 +267,17 @@ def test_next_documents_of_distinct_ids_across_slices(spark):
         same = sum(x == y for x, y in zip(a, b))
         assert abs(got[d].near_next - math.sqrt(same / max(len(a), len(b)))) < 1e-12
     assert got[None].near_next == 1.0
+
+
+def test_line_counts_do_not_depend_on_ansi_mode(spark):
+    from quayline.llm.line_dedup import drop_shared_lines
+    line = "one line of more than twenty characters"
+    df = spark.createDataFrame([(i, line if i < 3 else f"own {i}") for i in range(5)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for mode in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            got = {r.doc_id: r.n_dropped for r in drop_shared_lines(df, min_chars=20, min_docs=3).collect()}
+            assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0}, mode
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
