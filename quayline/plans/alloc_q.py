@@ -305,10 +305,6 @@ alts AS (SELECT * FROM forced WHERE solver_status = 'OPTIMAL')
 """
 
 
-def _alts(spark, sf_dir):
-    return allocation.alternatives(alloc_inputs(spark, sf_dir))
-
-
 @register("opt_forced", _FORCED_SQL + f"""
 SELECT event_id, strategy_type, solver_status, primary_quantity, secondary_quantity, air_quantity,
        {R('estimated_total_cost', 2)} AS estimated_total_cost, estimated_delivery_days, estimated_risk,
