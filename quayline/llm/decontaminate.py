@@ -9,8 +9,10 @@ the passage's last word as forwards from its first, so edits close together at e
 walks alone.
 
 Every word position of every whole text starts a window.  Before the walks, a window is left out
-if it cannot be within ``e`` edits of any item of ``n`` words: of its first ``n - e`` words at most
-``e`` can be words that occur in no item (a running count over all words; nothing is lost by it).
+if it cannot be within ``e`` edits of any item of ``n`` words: an edit changes at most ``q`` of the item's
+runs of ``q`` words, so ``n - q + 1 - q * e`` of them, for each q of ``RUNS``, must lie in the ``n + e`` words
+from the window's start.  Running counts over all words say how many runs of some item lie there;
+the counts are never too low, so nothing is lost by it.
 
 The items are a parameter table: their words go to the tasks in blocks of at most ``block_words``
 words (8 MB), one pass over the texts per block, so any number of items is worked through.
@@ -31,6 +33,7 @@ from .common import arrow_map, mix, single, slices, utf8, words_of
 
 _SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _PAD = np.uint64(1)
+RUNS = (1, 2, 3)  # lengths of the word runs that are counted before the walks
 
 
 def item_words(text: str | None) -> np.ndarray:
@@ -82,24 +85,38 @@ def _embed(words: np.ndarray, start: np.ndarray, end: np.ndarray, rep: int, samp
     return start, seen
 
 
-def best_window(item: list, text: list, most: int) -> tuple[int, int, int]:
+def best_window(item, text, most: int) -> tuple[int, int, int]:
     """(distance, start, end) of the substring of ``text`` nearest to ``item`` (distance over ``most``: most + 1).
 
-    Semi-global edit distance with the start carried along; of equal distances the first end, then the latest start.
+    Semi-global edit distance with the start carried along; of equal distances the first end, then the latest
+    start.  One row of the table per word of the item, each as whole-array steps: a cell is
+    ``distance * unit - start``, so the least cell is the least distance with the latest start, and the step along
+    the row is a running minimum.
     """
-    cost, frm = [0] * (len(text) + 1), list(range(len(text) + 1))
+    item, text = np.asarray(item, dtype=np.uint64), np.asarray(text, dtype=np.uint64)
+    place = np.arange(len(text) + 1, dtype=np.int64)
+    unit = len(text) + 1
+    cell = -place
     for i, word in enumerate(item, 1):
-        new, origin = [i], [0]
-        for j, other in enumerate(text, 1):
-            options = ((cost[j - 1] + (word != other), frm[j - 1]), (cost[j] + 1, frm[j]), (new[-1] + 1, origin[-1]))
-            value, at = min(options, key=lambda x: (x[0], -x[1]))
-            new.append(value)
-            origin.append(at)
-        cost, frm = new, origin
-    end = min(range(len(cost)), key=lambda j: (cost[j], j))
+        new = cell + unit
+        np.minimum(new[1:], cell[:-1] + np.where(text != word, unit, 0), out=new[1:])
+        new[0] = i * unit
+        new -= place * unit
+        np.minimum.accumulate(new, out=new)
+        cell = new + place * unit
+    cost = -(-cell // unit)
+    end = int(cost.argmin())
     if cost[end] > most:
         return most + 1, 0, 0
-    return cost[end], frm[end], end
+    return int(cost[end]), int(cost[end] * unit - cell[end]), end
+
+
+def _runs(words: np.ndarray, q: int) -> np.ndarray:
+    """Hash of the ``q`` words from each position on that has as many."""
+    code = words[:max(len(words) - q + 1, 0)]
+    for i in range(1, q):
+        code = mix(code * np.uint64(0xD6E8FEB86659FD93) + words[i:i + len(code)])
+    return code
 
 
 def _class(n: int) -> int:
@@ -125,7 +142,14 @@ class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]], ratio: float, reps: int, samples: int):
         self.items, self.ratio, self.reps, self.samples = items, ratio, reps, samples
         self.counts = [Counter(w.tolist()) for _, w in items]
-        self.vocabulary = np.unique(np.concatenate([w for _, w in items]))
+        # per q, which slots of a table the items' runs of q words fall into: at most 1 in 16 is taken
+        self.known: dict[int, tuple[np.uint64, np.ndarray]] = {}
+        for q in RUNS:
+            runs = np.unique(np.concatenate([_runs(w, q) for _, w in items]))
+            bits = max(16, len(runs).bit_length() + 4)
+            table = np.zeros(1 << bits, dtype=bool)
+            table[runs >> np.uint64(64 - bits)] = True
+            self.known[q] = np.uint64(64 - bits), table
         self.sizes: dict[int, list[int]] = {}
         for i, (_, w) in enumerate(items):
             self.sizes.setdefault(len(w), []).append(i)
@@ -133,10 +157,12 @@ class Index:
         self.tables: dict[int, list[tuple]] = {}
         for c in sorted({_class(n) for n in self.sizes}):
             own = np.array([i for n, of in self.sizes.items() if _class(n) == c for i in of])
+            end = np.cumsum([len(items[i][1]) for i in own])
+            start = np.concatenate([[0], end[:-1]])
+            ways = [np.concatenate([items[i][1][::way] for i in own]) for way in (1, -1)]
             for rep in range(2 * reps):
                 chosen = _sampled(rep, samples, _steps(c))
-                sigs = np.array([[x[0] for x in _embed(w, np.zeros(1, np.int64), np.full(1, len(w)), rep, chosen)[1]]
-                                 for w in (items[i][1][::1 if rep < reps else -1] for i in own)], dtype=np.uint64)
+                sigs = np.stack(_embed(ways[rep >= reps], start, end, rep, chosen)[1], axis=1)
                 order = np.argsort(sigs[:, -1], kind="stable")
                 self.tables.setdefault(c, []).append(
                     (chosen, [np.unique(sigs[:, j]) for j in range(sigs.shape[1])], sigs[order, -1], own[order]))
@@ -147,31 +173,37 @@ class Index:
         Backwards, walks start at a passage's last word, so edits at its beginning come last.
         """
         count = len(words)
-        found = set(self._walked(words, ends, slice(0, self.reps)))
-        for at, i in self._walked(words[::-1], count - begins[::-1], slice(self.reps, None)):
+        counts = {q: np.concatenate([[0], np.cumsum(table[_runs(words, q) >> shift], dtype=np.int32)])
+                  for q, (shift, table) in self.known.items()}
+        found = set(self._walked(words, ends, counts, slice(0, self.reps)))
+        counts = {q: of[-1] - of[::-1] for q, of in counts.items()}
+        for at, i in self._walked(words[::-1], count - begins[::-1], counts, slice(self.reps, None)):
             found.add((max(int(begins[count - 1 - at]), count - at - len(self.items[i][1])), i))
         return found
 
-    def _walked(self, words: np.ndarray, ends: np.ndarray, reps: slice) -> set[tuple[int, int]]:
-        """(first word, item) pairs that some of the repetitions find."""
-        count = len(words)
-        if not count:
+    def _likely(self, sizes: list[int], ends: np.ndarray, counts: dict[int, np.ndarray]) -> np.ndarray:
+        """Starts of windows that enough runs of the items lie in to be within the limit of one of ``sizes`` words."""
+        def enough(first: np.ndarray, some: list[int]) -> np.ndarray:
+            """Of ``first``, those that pass what all of ``some`` ask at least."""
+            most = max(n + allowed(n, self.ratio) for n in some)
+            for q, before in counts.items():
+                need = min(n - q + 1 - q * allowed(n, self.ratio) for n in some)
+                if need > 0:
+                    first = first[before[np.minimum(first + most, ends[first]) - q + 1] - before[first] >= need]
+            return first
+
+        least = min(n - allowed(n, self.ratio) for n in sizes)
+        first = enough(np.flatnonzero(ends - np.arange(len(ends)) >= least), sizes)
+        own = [first[ends[first] - first >= n - allowed(n, self.ratio)] for n in sizes]
+        return np.unique(np.concatenate([enough(x, [n]) for n, x in zip(sizes, own)]))
+
+    def _walked(self, words: np.ndarray, ends: np.ndarray, counts: dict[int, np.ndarray], reps: slice) -> set[tuple[int, int]]:
+        """(first word, item) pairs that some of the repetitions find; ``counts``: per q, known runs before each place."""
+        if not len(words):
             return set()
-        slot = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        known = np.zeros(count + 1, dtype=np.int32)
-        np.cumsum(self.vocabulary[slot] == words, out=known[1:])
         found: set[tuple[int, int]] = set()
         for c, by_rep in self.tables.items():
-            likely = np.zeros(count, dtype=bool)
-            for n in self.sizes:
-                if _class(n) == c:
-                    edits = allowed(n, self.ratio)
-                    part = n - edits
-                    if part <= count:
-                        likely[:count - part + 1] |= known[part:] - known[:count - part + 1] >= part - edits
-            least = min(n - allowed(n, self.ratio) for n in self.sizes if _class(n) == c)
-            first = np.flatnonzero(likely)
-            first = first[ends[first] - first >= least]
+            first = self._likely([n for n in self.sizes if _class(n) == c], ends, counts)
             limit = ends[first]
             for rep, (chosen, wanted, table, own) in enumerate(by_rep[reps], reps.start):
                 start, seen = _embed(words, first, limit, rep, chosen, wanted)
@@ -199,13 +231,13 @@ class Index:
             else:
                 own.append([lo, hi])
         for key, own in places.items():
-            item = self.items[key[1]][1].tolist()
+            item = self.items[key[1]][1]
             most = allowed(len(item), self.ratio)
             for lo, hi in own:
                 if key in best and best[key][0] == 0:
                     break
-                part = words[lo:hi].tolist()
-                if (self.counts[key[1]] & Counter(part)).total() < len(item) - most:
+                part = words[lo:hi]
+                if (self.counts[key[1]] & Counter(part.tolist())).total() < len(item) - most:
                     continue
                 edits, a, b = best_window(item, part, most)
                 if edits <= most and (key not in best or (edits, lo + a) < best[key][:2]):
@@ -251,7 +283,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     the lower-cased text (end exclusive).  Words are lower-cased runs of letters and digits.  Null or
     empty texts hold nothing; null, empty or word-free items are found nowhere.  Items of equal text are
     each found; repeated rows give repeated results; a null id is returned as null.  Other columns are not
-    read.  The number of repetitions follows from ``target``, the recall wanted of passages with as many
+    read.  Empty tables on either side give an empty result.  A very long text is one unit of work: time grows with
+    its words (times the item's words where candidates lie side by side), memory with its words.  The number of repetitions follows from ``target``, the recall wanted of passages with as many
     edits as allowed; exact copies agree with their item in every repetition.
     """
     reps = repetitions(ratio, samples, target)

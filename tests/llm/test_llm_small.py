@@ -360,6 +360,58 @@ def test_decontamination_recall_and_distance():
     assert best_window([1, 2, 3], [7, 8], 1)[0] == 2
 
 
+def plain_best_window(item, text, most):
+    cells = [(0, -j) for j in range(len(text) + 1)]
+    for i, word in enumerate(item, 1):
+        new = [(i, 0)]
+        for j, other in enumerate(text, 1):
+            (a, x), (b, y), (c, z) = cells[j - 1], cells[j], new[-1]
+            new.append(min((a + (word != other), x), (b + 1, y), (c + 1, z)))
+        cells = new
+    end = min(range(len(cells)), key=lambda j: (cells[j][0], j))
+    return (cells[end][0], -cells[end][1], end) if cells[end][0] <= most else (most + 1, 0, 0)
+
+
+def test_decontamination_against_every_place_of_every_text():
+    """Few words, so most windows share runs with most items: every item in every text, by the whole table."""
+    rng = random.Random(21)
+    for _ in range(300):
+        item, text = ([rng.randrange(4) for _ in range(rng.randrange(lo, 14))] for lo in (1, 0))
+        assert best_window(item, text, 4) == plain_best_window(item, text, 4)
+    letters = "abcdefghijkl"
+    items = [(i, item_words(" ".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))))) for i in range(40)]
+    texts = []
+    for i in range(80):
+        w = [letters[rng.randrange(12)] for _ in range(rng.randrange(0, 60))]
+        if i % 2:
+            at, own = rng.randrange(len(w) + 1), items[i % 40][1].tolist()
+            for _ in range(rng.randrange(int(0.2 * len(own)) + 1)):
+                j = rng.randrange(len(own))
+                own[j:j + 1] = rng.choice([[], [1], [own[j], 2]])
+            w[at:at] = own
+        texts.append(w)
+    named = {int(item_words(x)[0]): x for x in letters} | {1: "other", 2: "more"}
+    texts = [" ".join(named.get(x, x) if isinstance(x, int) else x for x in w) for w in texts]
+    index = Index(items, 0.2, repetitions(0.2, 3, 0.99), 3)
+    got = {(m[0], m[1]): m[2] for m in index.matches(pa.array([*texts, None, ""]))}
+    want = {}
+    for row, text in enumerate(texts):
+        for i, w in items:
+            edits = plain_best_window(w.tolist(), item_words(text).tolist(), int(0.2 * len(w)))[0]
+            if edits <= int(0.2 * len(w)):
+                want[row, i] = edits
+    assert set(got) <= set(want) and all(edits >= want[key] for key, edits in got.items())
+    assert {key for key, edits in want.items() if edits == 0} <= set(got)
+    assert len(got) >= 0.97 * len(want)
+
+
+def test_decontamination_of_very_long_texts():
+    item = " ".join(f"w{i % 7}" for i in range(60))
+    index = Index([(0, item_words(item))], 0.2, 4, 3)
+    found = index.matches(pa.array([" ".join([item] * 3000), "x " * 300_000 + item + " y" * 300_000]))
+    assert {(m[0], m[1], m[2]) for m in found} == {(0, 0, 0), (1, 0, 0)}
+
+
 def test_pages(spark):
     page = ("<html><head><title>T</title><style>p{}</style></head><body><nav><a href='/a'>A</a></nav><div class=\"cookie-notice\">We use cookies</div>"
             "<article class='has-sidebar'><header><h1>Title &amp; more</h1></header><p>One<br>two &lt;b&gt; <b>three<p>Four\n five&nbsp;six"
