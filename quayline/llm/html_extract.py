@@ -5,7 +5,8 @@ common path, their text lines (blocks) are aligned by longest common subsequence
 are deleted: they belong to the template.  Markup settles the rest: what lies in navigation, headers,
 footers, sidebars, forms, scripts, styles, notices, adverts and comments is never main text, and
 where a page marks its article (``article`` or ``main``), the main text lies there, and a line inside
-goes only if two different neighbours share it, since pages quote each other.  A neighbour with the
+goes only if all different neighbours in reach share it, two at least, and only such lines part it from the
+article's beginning or end, since pages quote each other.  A neighbour with the
 same lines (a copy), with all lines of the page, or with most of its marked article proves no template,
 and the next different page of the host is compared instead.
 
@@ -18,7 +19,8 @@ to it too, over any number of ranges full of copies.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from itertools import zip_longest
@@ -35,20 +37,25 @@ from .common import arrow_map, materialize, single
 
 LOOK = 4  # different pages on each side that a page may be compared with
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^>]*>", re.S | re.I)
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)|[!?/])")
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_QUOTES = re.compile(r"""[>"']""")
+_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style noscript template textarea title svg iframe object select".split()}
 _SPACE = re.compile(r"\s+")
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden\b|aria-hidden\s*=\s*["']?true)""", re.I)
-_BOILERPLATE_WORD = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|banner|footer|sidebar|aside|related|recommended|"
-    r"ads?|advert|advertisement|advertising|promo|sponsor(?:ed)?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|share|sharing|social|comments?|replies|disqus|respond|login|search|contentinfo|complementary|"
-    r"pagination|pager|skip|toolbar|widget)(?:$|[\s_-])", re.I)
-_HEADER_WORD = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)  # outside an article
-_ARTICLE_WORD = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|ads?|advert|promo|sponsored|related)(?:$|[\s_-])", re.I)
-_STATE = re.compile(r"\b(?:has|no|with|without|is|page|single)-[\w-]+", re.I)  # says what a page has, not what an element is
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?+|"[^"]*+"?|'[^']*+'?""")
+# names of elements that hold no main text; a name of several parts counts if all its parts are here or in _PLACES
+_BOILERPLATE = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs banner footer sidebar aside related recommended ad ads advert advertisement "
+    "advertising promo sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup share "
+    "sharing social comment comments reply replies disqus respond login search contentinfo complementary pagination pager skip toolbar "
+    "widget".split())
+_HEADER = frozenset(["header", "masthead"])  # outside an article
+# of an article itself, and of what cannot hold a whole part of a page (_SMALL) inside one
+_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement advertising promo sponsored related".split())
+_SMALL = frozenset("p span a b i em strong small h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption cite q".split())
+_PLACES = frozenset(
+    "site page main global top bottom left right inner outer primary secondary box bar list item items block wrapper wrap container section "
+    "area slot unit panel link links form button buttons post posts article articles story content rail col column row group body".split())
 _OUT = frozenset("nav header footer aside form button menu dialog noscript input label fieldset".split())
 _MAIN = frozenset(["article", "main"])
 _BLOCK = frozenset(
@@ -62,11 +69,83 @@ _SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 
 
 def _boilerplate(tag: str, names: str, in_article: bool) -> bool:
+    """Whether one of the class names, ids or roles says that the element holds no main text."""
     if tag in ("html", "body", "main"):
         return False
-    if tag == "article":
-        return bool(_ARTICLE_WORD.search(names))
-    return bool(_BOILERPLATE_WORD.search(names) or not in_article and _HEADER_WORD.search(names))
+    if tag == "article" or in_article and tag in _SMALL:
+        words = _ARTICLE
+    else:
+        words = _BOILERPLATE if in_article else _BOILERPLATE | _HEADER
+    for name in names.lower().split():
+        parts = set(name.replace("_", "-").split("-")) - {""}
+        if parts & words and parts <= words | _PLACES:
+            return True
+    return False
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        if m[1]:
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _closes(html: str) -> tuple[list[int], list[int]]:
+    """Places of all quotes and ``>``; per place, where a tag ends that is open and outside quotes before it (-1: nowhere)."""
+    places = [m.start() for m in _QUOTES.finditer(html)]
+    close, following = [-1] * (len(places) + 1), {}
+    for k in range(len(places) - 1, -1, -1):
+        mark = html[places[k]]
+        if mark == ">":
+            close[k] = places[k]
+        else:
+            close[k] = close[following[mark] + 1] if mark in following else -1
+            following[mark] = k
+    return places, close
+
+
+def tags(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Markup in page order: start, end, tag (None: a comment, a declaration or an element whose text is no text
+    of the page), whether it is an end tag, and its attributes.
+
+    A tag ends at the first ``>`` outside quotes, without one at the first ``>``, and is text where none follows.
+    What a comment or a raw element opens and nothing closes lasts to the end.  One scan forwards, however
+    broken the markup.
+    """
+    at, table = 0, None
+    last = html.rfind(">")
+    while m := _OPEN.search(html, at):
+        start, at = m.start(), m.end()
+        if m[1]:
+            end = html.find("-->", at)
+            at = len(html) if end < 0 else end + 3
+            yield start, at, None, False, ""
+        elif at > last:
+            at = html.find("<!--", at)
+            if at < 0:
+                return
+        elif m[3] is None:
+            at = html.index(">", at) + 1
+            yield start, at, None, False, ""
+        else:
+            if table is None:
+                rest = _REST.match(html, at)
+                if rest:
+                    end, own = rest.end() - 1, rest[1]
+                else:
+                    table = _closes(html)
+            if table is not None:
+                end = table[1][bisect_left(table[0], at)]
+                if end < 0:
+                    end = html.index(">", at)
+                own = html[at:end]
+            at, tag = end + 1, m[3].lower()
+            if tag in _RAW and not m[2]:
+                raw = _RAW[tag].search(html, at)
+                at, tag = raw.end() if raw else len(html), None
+            yield start, at, tag, bool(m[2]), own
 
 
 def blocks(html: str) -> tuple[list[tuple[str, bool]], bool]:
@@ -74,6 +153,7 @@ def blocks(html: str) -> tuple[list[tuple[str, bool]], bool]:
     whether the page marks an article at all."""
     out: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, inside boilerplate, inside article
+    depth: Counter = Counter()  # open elements by tag
     text: list[str] = []
     marked = False
 
@@ -84,54 +164,54 @@ def blocks(html: str) -> tuple[list[tuple[str, bool]], bool]:
             if line and not (stack and stack[-1][1]):
                 out.append((line, bool(stack and stack[-1][2])))
 
+    def close(tag: str):
+        while True:
+            last = stack.pop()[0]
+            depth[last] -= 1
+            if last == tag:
+                return
+
     at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            text.append(html[at:m.start()])
-        at = m.end()
-        tag = m[3]
+    for start, end, tag, ends, own in tags(html):
+        if start > at:
+            text.append(html[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in _VOID:
-            if tag == "br" or tag == "wbr":
-                text.append(" " if tag == "br" else "")
+            if tag == "br":
+                text.append(" ")
             elif tag == "hr":
                 flush()
             continue
         is_block = tag in _BLOCK
-        if m[2]:  # end tag
-            if any(x[0] == tag for x in stack):
-                if is_block:
-                    flush()
-                while stack.pop()[0] != tag:
-                    pass
-            elif is_block:
+        if ends:
+            if is_block:
                 flush()
+            if depth[tag]:
+                close(tag)
             continue
-        attributes = m[4]
-        out_here, main_here = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if is_block or tag in _OUT:
             flush()
-            if tag in _ENDS_P and any(x[0] == "p" for x in stack):
-                while stack.pop()[0] != "p":
-                    pass
-                out_here, main_here = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            ends = _SAME_ENDS.get(tag)
-            if ends and stack and stack[-1][0] in ends:
-                stack.pop()
-                out_here, main_here = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        names = " ".join(filter(None, (g for a in _ATTRIBUTE.finditer(attributes) for g in a.groups()))) if attributes else ""
-        bad = (tag in _OUT and not (tag == "header" and main_here)) or bool(attributes and _HIDDEN.search(attributes))
-        bad = bad or tag == "head" or bool(names) and _boilerplate(tag, _STATE.sub(" ", names), main_here)
+            if tag in _ENDS_P and depth["p"]:
+                close("p")
+            if stack and stack[-1][0] in _SAME_ENDS.get(tag, ()):
+                close(stack[-1][0])
+        out_here, main_here = stack[-1][1:] if stack else (False, False)
+        has = attributes(own) if own else {}
+        bad = (tag in _OUT and not (tag == "header" and main_here)) or tag == "head"
+        if has:
+            bad = bad or "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true"
+            bad = bad or _boilerplate(tag, " ".join(has.get(x, "") for x in ("class", "id", "role")), main_here)
         good = tag in _MAIN and not out_here and not bad
         marked = marked or good
-        if attributes.rstrip().endswith("/") and not is_block:
+        if own.rstrip().endswith("/") and not is_block:
             continue
         inside = (out_here or bad, main_here or good)
         if inside != (out_here, main_here):
             flush()
         stack.append((tag, *inside))
+        depth[tag] += 1
     text.append(html[at:])
     flush()
     return out, marked
@@ -181,21 +261,28 @@ def main_lines(lines: list[tuple[str, bool]], marked: bool, others: Iterator[np.
 
     ``others``: the line hashes of the different pages near by, nearest first.  Without a marked article,
     one of them decides: its shared lines go.  One that holds every line of the page may quote it whole: it
-    proves no template, and the next one is compared.  In a marked article, a line goes only if two
-    different pages share it; one that shares half of the article's characters or more is a version of the
-    article, and the next one is compared.
+    proves no template, and the next one is compared.  In a marked article, a line goes only if
+    every one of them shares it, two at least, and it stands at the article's beginning or end, where templates put
+    theirs, with nothing but such lines between: pages quote each other.  A page that shares half of the article's
+    characters or more is a version of the article and has no say.
     """
     own = line_hashes([x for x, _ in lines])
     if marked:
-        size = np.array([len(x) if inside else 0 for x, inside in lines])
-        found: list[np.ndarray] = []
+        size = np.array([len(x) if inside else 0 for x, inside in lines], dtype=np.int64)
+        kept = [x for x, inside in lines if inside]
+        common, pages = size > 0, 0
         for other in others:
             shared = shared_lines(own, other)
             if 2 * size[shared].sum() < size.sum():
-                found.append(shared)
-            if len(found) == 2:
-                return [x for (x, inside), a, b in zip(lines, *found) if inside and not (a and b)]
-        return [x for x, inside in lines if inside]
+                common, pages = common & shared, pages + 1
+                if not common.any():
+                    return kept
+        if pages < 2:
+            return kept
+        common = common[size > 0].tolist()
+        head = common.index(False)  # a page that shares them all is a version
+        tail = common[::-1].index(False)
+        return kept[head:len(kept) - tail]
     for other in others:
         shared = shared_lines(own, other)
         if not shared.all():
@@ -407,7 +494,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Character references are decoded, white space inside a block becomes one space.  A null or empty
     html has the empty text.  A null or odd URL belongs to a host by the empty name and is sorted among
     its pages; equal URLs are ordered by page id, then content.  Repeated rows are each returned (a copy
-    is no evidence of a template, nor is a page that holds all lines of another).  A null id is returned as null.  Other columns are not read.
+    is no evidence of a template, nor is a page that holds all lines of another).  A null id is returned as null.
+    Other columns are not read.  An empty table gives an empty result.  A very long page is one unit of work, in time
+    and memory proportional to it, however broken its markup.  NUL characters in a text become blanks.  A page is
+    compared with at most ``LOOK`` different pages on each side: a template that lies beyond that many versions of a
+    page stays.
     """
     host, path = _host_path(F.col(url_col))
     rows = pages.select(host.alias("host"), path.alias("path"), F.col(id_col).cast("long").alias("page"),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -439,6 +440,51 @@ def test_pages(spark):
     assert html_extract.extract_main_text(df.where("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("attribute", ['title="a hidden gem"', 'class="col hidden-xs"', 'data-id="share"', 'data-role="menu"',
+                                       'id="notice-of-meeting"', 'class="search"', 'class="has-sidebar"', "alt='class=\"ad\"'"])
+def test_attributes_that_hide_nothing(attribute):
+    assert html_extract.blocks(f"<article><p>One</p><p {attribute}>Two</p></article>")[0] == [("One", True), ("Two", True)]
+    assert html_extract.blocks("<article><p>Let <math><mi>x</mi></math> be</p></article>")[0] == [("Let x be", True)]
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "aria-hidden = 'true'", 'class="site-footer x"', "id=cookie_notice", 'role="navigation"',
+                                       'class="comment-list"', 'title="a > b" class="ad-slot"'])
+def test_attributes_that_hide(attribute):
+    assert html_extract.blocks(f"<main><p>One</p><div {attribute}><p>Two</p></div><p>Three</p></main>")[0] == [("One", True), ("Three", True)]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', '<a ">"', '<a x="', "<a '><b \"", "<", "<!", "<!--", "</", "<script>", "<p>", "</b><span>", "<p x "])
+def test_broken_markup_takes_time_in_proportion(part):
+    def seconds(size):
+        html = part * (size // len(part))
+        start = time.process_time()
+        html_extract.blocks(html)
+        return time.process_time() - start
+    assert seconds(1 << 20) < 16 * seconds(1 << 17) + 0.5
+
+
+def test_tags_end_at_the_first_mark_outside_quotes():
+    """Against a plain scan of every tag by itself."""
+    rng = random.Random(31)
+    for _ in range(3000):
+        html = "".join(rng.choice(["<a", "</b", ">", '"', "'", " x=", "t", "<", " "]) for _ in range(rng.randrange(14)))
+        want, at = [], 0
+        while m := re.compile("<(/?)([a-z]+)|</").search(html, at):
+            quote, end = "", None
+            for i in range(m.end(), len(html)):
+                if not quote and html[i] == ">":
+                    end = i
+                    break
+                quote = "" if html[i] == quote else quote or (html[i] if html[i] in "\"'" else "")
+            if m[2] is None or end is None:
+                end = html.find(">", m.end())
+            if end < 0:
+                break
+            want.append((m.start(), end + 1, m[2]))
+            at = end + 1
+        assert [x[:3] for x in html_extract.tags(html)] == want, html
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(10)
     for _ in range(200):
