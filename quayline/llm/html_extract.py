@@ -510,5 +510,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     ends = arrow_map(parsed.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order), _edges(),
                      "host string, path string, page long, digest long, end int").collect()
     moved = (arrow_map(parsed, _ranged(*ranges(ends)), _PAGE_SCHEMA + ", part int, own boolean")
-             .repartition(parts, "part").sortWithinPartitions("part", *order))
+             .repartitionById(parts, F.col("part")).sortWithinPartitions("part", *order))
     return arrow_map(moved, _difference(), "page_id long, url string, text string, n_chars long")
