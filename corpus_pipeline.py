@@ -4,7 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that ``run``
 shared checkpoint folder and reads again as the next stage's ``docs``; a lost executor costs at most
 the running stage.  All but the last return the columns of ``documents``.
 
-1. ``language_id``: documents in which no language can be recognised (``und``) go.
+1. ``language_id``: documents without a letter (``und``) go, and those whose text is like none of the learned
+   languages (out-of-place distance over three quarters of the greatest possible).
 2. ``line_dedup``: lines that at least 3 documents share go, but for the largest id; documents that are
    left without any text go.
 3. ``minhash_near_dedup``: of each group of near duplicates (5-word shingles, similarity 0.8) the
@@ -31,7 +32,7 @@ from quayline.llm.packing import pack_sequences
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return recognised(docs)
+    return recognised(docs, least=0.25)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from quayline.llm import html_extract, secret_scan
 from quayline.llm.components import connected_components
 from quayline.llm.decontaminate import Index, best_window, contaminated, item_words, repetitions
-from quayline.llm.language_id import identify_languages, recognised
+from quayline.llm.language_id import Profiles, _codes, identify_languages, ranked, recognised
 from quayline.llm.line_dedup import drop_shared_lines
 from quayline.llm.minhash_forest import _neighbours, near_duplicates
 from quayline.llm.order_minhash import VALUES, fingerprints_with_edit, likeness, next_ids, with_fingerprint
@@ -283,6 +283,48 @@ def test_token_counts(spark):
         assert counter.viterbi(word) == len(tiny.encode(word).ids), word
 
 
+def test_language_distances_of_all_ngrams():
+    """Counts, places and out-of-place distances against plain dictionaries, with letters of many scripts."""
+    rng = random.Random(12)
+    texts = ["", "12 3", "a", "Straße ΑΒΓ", *("".join(rng.choice("abcd é日𐐀 .1") for _ in range(rng.randrange(1, 300))) for _ in range(30)), "ab " * 20000]
+
+    def plain(text, size):
+        padded = [c if c.isalpha() else " " for c in f" {text.lower()} "] if text else []
+        grams = Counter("".join(padded[i:i + n]) for n in (1, 2, 3) for i in range(len(padded) - n + 1)
+                        if "".join(padded[i:i + n]).strip() and (n < 3 or padded[i + 1] != " "))
+        return sorted(grams.items(), key=lambda x: (-x[1], [ord(c) if c != " " else 1 for c in x[0][::-1].rjust(3, chr(0))]))[:size]
+
+    def code(gram):
+        cp, _ = _codes([gram.replace(" ", "1")])
+        return sum(int(c) << 18 * i for i, c in enumerate(cp[1:-1]))
+
+    size = 25
+    lists = [[code(g) for g, _ in plain(t, size)] for t in texts]
+    row, place, got = ranked(*_codes(texts), size)
+    for i, want in enumerate(lists):
+        assert got[row == i].tolist() == want and place[row == i].tolist() == list(range(len(want)))
+    profiles = {name: lists[i] for name, i in (("xx", 7), ("yy", 8), ("zz", 3))}
+    langs, scores, likeness = Profiles(profiles, size).predict(texts)
+    for i, own in enumerate(lists):
+        away = {name: sum(abs(p.index(g) - at) if g in p else size for at, g in enumerate(own)) / (max(len(own), 1) * size)
+                for name, p in profiles.items()}
+        near = sorted(away.values())
+        if own:
+            assert away[langs[i]] == pytest.approx(near[0]) and likeness[i] == pytest.approx(1 - near[0])
+            assert scores[i] == pytest.approx(1 - near[0] / near[1] if near[1] else 0)
+        else:
+            assert (langs[i], scores[i], likeness[i]) == ("und", 0, 0)
+
+
+def test_recognised_rejects_texts_of_no_learned_language(spark):
+    rng = random.Random(13)
+    rows = [(i, words(rng, 60), "aa") for i in range(60)] + [(100, "καλημέρα τι κάνεις σήμερα", None), (101, "", "aa"), (102, words(rng, 8), None)]
+    rows += [(200 + i, "".join(rng.choice("bcfghjkvwxyz ") for _ in range(400)), None) for i in range(5)]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, lang string, score string")
+    kept = recognised(df, least=0.25)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {*range(60), 102}
+
+
 def brute_lines(rows, least=20, most=3):
     def key(line):
         line = line.strip(" \t\n\x0b\x0c\r")
