@@ -318,14 +318,15 @@ def _confirm(percent: int):
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
-    A document's label is the smallest document within two steps of it; documents of one label
-    (in parts of about BLOCK, split by hash) share a block.  A pair is checked in the block of its
+    A document's label is the smallest neighbour of itself or of a smaller neighbour; documents of one
+    label (in parts of about BLOCK, split by hash) share a block.  A pair is checked in the block of its
     ends' blocks, and a set is sent once to each block where it has a pair.
     """
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label"))
-    label = (both.join(near.select(F.col("a").alias("b"), "label"), "b")
-             .groupBy("a").agg(F.min("label").alias("label")))
+    label = (pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+             .join(near.select(F.col("a").alias("b"), "label"), "b").select("a", "label")
+             .unionByName(near).groupBy("a").agg(F.min("label").alias("label")))
     size = label.groupBy("label").agg(F.count("*").alias("size"))
     block = label.join(size, "label").select(
         "a", F.xxhash64("label", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / BLOCK))).alias("block"))
