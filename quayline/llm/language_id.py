@@ -23,6 +23,7 @@ ORDERS = (1, 2, 3)
 _ODD = 0x9E3779B97F4A7C15
 BITS = 18  # of a letter's number; all letters of Unicode take fewer than 2 ** 18
 _BLANK = 1
+PART = 1 << 18  # bytes of text whose n-grams are sorted at a time (or one longer text)
 _LETTER = np.zeros(0x110000, dtype=np.uint64)
 
 
@@ -174,7 +175,7 @@ def _predict(profiles: dict[str, list[int]], size: int):
         model = Profiles(profiles, size) if profiles else None
         for batch in batches:
             texts = single(batch.column("text"))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, PART):
                 part = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
                 for a in range(0, len(part), 512):
                     own = part[a:a + 512]
@@ -211,7 +212,7 @@ def _keep_recognised(profiles: dict[str, list[int]], size: int, text_col: str, l
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
             texts = single(batch.column(text_col))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, PART):
                 part = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
                 for a in range(0, len(part), 512):
                     own = part[a:a + 512]
