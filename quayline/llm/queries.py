@@ -40,7 +40,7 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op2_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(documents(spark, sf_dir))
+    return scan_secrets(documents(spark, sf_dir), assign="match")
 
 
 @register

@@ -49,8 +49,9 @@ def _runs(inside: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     return start[long], end[long]
 
 
-def base_spans(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, str]]:
-    """Byte spans (start, end, kind) of the fixed patterns; for ``assign`` the value, group 2."""
+def base_spans(raw: np.ndarray, offsets: np.ndarray, assign: str = "value") -> list[tuple[int, int, str]]:
+    """Byte spans (start, end, kind) of the fixed patterns; for ``assign`` the value, group 2, or the whole match."""
+    first = 0 if assign == "match" else 2
     found = [(int(a), int(b), "hex") for a, b in zip(*_runs(_HEX[raw], offsets, _LEAST["hex"]))]
     data = raw.tobytes()
     for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -59,7 +60,7 @@ def base_spans(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, str
             found += [(lo + m.start(), lo + m.end(), "access") for m in _ACCESS.finditer(text) if len(m[0]) >= _LEAST["access"]]
         lowered = text.lower()
         if any(h in lowered for h in _HINTS):
-            found += [(lo + m.start(2), lo + m.end(2), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= _LEAST["assign"]]
+            found += [(lo + m.start(first), lo + m.end(2), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= _LEAST["assign"]]
     return found
 
 
@@ -141,13 +142,13 @@ def train_ratio(docs: DataFrame, samples: DataFrame | None = None) -> np.ndarray
     return np.log(prob[1] / prob[0]).ravel()
 
 
-def _scan(ratio: np.ndarray, least: int, threshold: float):
+def _scan(ratio: np.ndarray, least: int, threshold: float, assign: str = "value"):
     def run(batches):
         for batch in batches:
             texts, ids = single(batch.column("text")), single(batch.column("doc_id"))
             for lo, hi in slices(texts):
                 raw, offsets = utf8(texts.slice(lo, hi - lo))
-                spans = base_spans(raw, offsets)
+                spans = base_spans(raw, offsets, assign)
                 if len(raw):
                     index = _INDEX[raw]
                     start, end = _runs(index >= 0, offsets, least)
@@ -180,11 +181,13 @@ def _scan(ratio: np.ndarray, least: int, threshold: float):
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None,
-                 least: int = 20, threshold: float = 0.7) -> DataFrame:
+                 least: int = 20, threshold: float = 0.7, assign: str = "value") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` per row, from the whole text.
 
     Spans are code points, end exclusive, listed by start and kind as ``kind:start:end``.  Base kinds are
-    found per kind, leftmost and non-overlapping; matches that are too short are dropped.  ``markov`` adds
+    found per kind, leftmost and non-overlapping; matches that are too short are dropped.  The span of an
+    ``assign`` secret is its value, or with ``assign="match"`` the whole match from the name on; the models
+    learn from the value either way.  ``markov`` adds
     maximal runs of ``[A-Za-z0-9+/_=-]`` of at least ``least`` characters that no base span overlaps and
     whose mean log-likelihood ratio is at least ``threshold``.  ``samples`` (text, label: 1 random, 0
     ordinary) replaces the default training; an empty sample leaves a flat model.  A null text is empty and
@@ -194,5 +197,5 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ratio = train_ratio(rows.select("text"), samples)
     kind = dict(rows.dtypes)["doc_id"]
-    return arrow_map(rows, _scan(ratio, least, threshold),
+    return arrow_map(rows, _scan(ratio, least, threshold, assign),
                      f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
