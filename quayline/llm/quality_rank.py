@@ -3,7 +3,7 @@
 Labels give preference pairs (a document of label 1 over one of label 0).  The probability that one
 beats the other is the logistic function of the difference of their scores, and a score is linear
 in features of the whole text; so the weights are a logistic regression without intercept on
-feature differences.  The threshold is a quantile of the scores of the labelled sample: the share
+feature differences.  The threshold is a quantile of the scores of all labelled documents: the share
 of label 0 among them lies below it.
 """
 
@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayline.operators.scan import exact_quantiles
+
 from .common import arrow_map, held_out, materialize, single, slices, utf8, words_of
 
 FEATURES = ("log_words", "word_length", "upper_share", "digit_share", "symbol_share", "distinct_share", "top_word_share",
@@ -86,16 +88,22 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _feature_rows():
-    def run(batches):
-        for batch in batches:
-            texts = single(batch.column("text"))
-            for lo, hi in slices(texts):
-                x = features(texts.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays(
-                    [single(batch.column("label")).slice(lo, hi - lo),
-                     pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())], ["label", "x"])
-    return run
+def _feature_rows(batches):
+    """(doc_id, held_out, text) -> (doc_id, held_out, x): the features of every row."""
+    for batch in batches:
+        texts = single(batch.column("text"))
+        for lo, hi in slices(texts):
+            x = features(texts.slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays(
+                [*(single(batch.column(c)).slice(lo, hi - lo) for c in ("doc_id", "held_out")), _lists(x)], ["doc_id", "held_out", "x"])
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return single(batch.column("x")).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
 
 
 class Ranking:
@@ -104,8 +112,11 @@ class Ranking:
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, cut: float, at: float):
         self.mean, self.scale, self.weights, self.cut, self.at = mean, scale, weights, cut, at
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((np.clip((x - self.mean) / self.scale, -8, 8)) * self.weights).sum(axis=1)
+        return (self.standard(x) * self.weights).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; the threshold's quantile is at ``at``."""
@@ -113,86 +124,104 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _diff(mean, scale):
-    """Pairs of feature arrays -> standardised differences, both ways round."""
+def _standardised(ranking: Ranking):
     def run(batches):
         for batch in batches:
-            g, b = (np.array(batch.column(c).to_pylist(), dtype=float).reshape(batch.num_rows, len(FEATURES)) for c in ("good", "bad"))
-            d = np.clip((g - mean) / scale, -8, 8) - np.clip((b - mean) / scale, -8, 8)
-            d = np.concatenate([d, -d])
-            label = np.repeat([1.0, 0.0], batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(label), pa.ListArray.from_arrays(np.arange(0, d.size + 1, d.shape[1], dtype=np.int32), d.ravel())],
-                ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("id"), _lists(ranking.standard(_matrix(batch)))],
+                                             ["label", "id", "x"])
+    return run
+
+
+def _raw_scores(ranking: Ranking):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(ranking.raw(_matrix(batch)))], ["s"])
     return run
 
 
-def fit_ranking(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str,
-                per_class: int = 4000, rivals: int = 8, at: float = 0.3) -> Ranking | None:
-    """Fit on at most ``per_class`` labelled documents of each label (smallest id hash), each document of
-    the rarer label against ``rivals`` of the other; None if a label is missing."""
+def _numbered(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` (label, id, x) with ``i``, 0 to n - 1 within each label in the order of the id's hash.
+
+    Rows are numbered within buckets of hashes of about a thousand rows; the counts of the earlier buckets, one
+    number per label and bucket, are added."""
+    buckets = max(1, total // 1000)
+    h = F.xxhash64("id")
+    x = rows.withColumn("b", F.pmod(h, F.lit(buckets)))
+    before = Window.partitionBy("label").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = x.groupBy("label", "b").agg(F.count(F.lit(1)).alias("n")).select(
+        "label", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
+    inside = Window.partitionBy("label", "b").orderBy(h, "id", "x")
+    x = x.withColumn("r", F.row_number().over(inside) - 1)
+    return x.join(F.broadcast(offsets), ["label", "b"]).select("label", (F.col("o") + F.col("r")).alias("i"), "x")
+
+
+def contests(rows: DataFrame, n_good: int, n_bad: int, rivals: int) -> DataFrame:
+    """Feature differences (label, x): every row of the more frequent label meets ``rivals`` rows of the other in turn,
+    so each row of either is in some contest.  Every second contest is turned round (label 0), which leaves the loss as it is."""
+    rows = _numbered(rows, n_good + n_bad)
+    many, few, n = (1, 0, n_bad) if n_good >= n_bad else (0, 1, n_good)
+    turn = F.col("i") * rivals + F.col("t")
+    left = rows.where(F.col("label") == many).select("i", F.col("x").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(rivals - 1))).alias("t"))
+    left = left.select("a", F.pmod(turn, F.lit(n)).alias("k"), F.pmod(F.col("t"), F.lit(2)).alias("odd"))
+    right = rows.where(F.col("label") == few).select(F.col("i").alias("k"), F.col("x").alias("b"))
+    won = F.col("odd") == (0 if many == 1 else 1)
+    return left.join(right, "k").select(
+        won.cast("double").alias("label"),
+        F.when(F.col("odd") == 0, F.zip_with("a", "b", lambda a, b: a - b)).otherwise(F.zip_with("a", "b", lambda a, b: b - a)).alias("x"))
+
+
+def fit_ranking(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, rivals: int = 8, at: float = 0.3) -> Ranking | None:
+    """Fit on every labelled row of ``rows`` (doc_id, held_out, x) that is not held out; None if a label is missing.
+
+    Means, deviations and the threshold are those of all these rows; each row of the more frequent label
+    meets ``rivals`` rows of the other."""
     labels = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
               .where(F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label")))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    learnable = docs.where(learn).select(F.col(id_col).alias("id"))
-    ranked = labels.join(learnable, "id", "left_semi")
-    share = ranked.agg(F.avg(1 - F.col("label")).alias("bad")).first().bad
-    chosen = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select("id", "label")
-    texts = (docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-             .join(F.broadcast(chosen), "id").select("label", "text"))  # at most 2 * per_class ids
-    rows = materialize(arrow_map(texts, _feature_rows(), "label int, x array<double>"))
-    sample = rows.collect()  # the bounded sample's numbers
-    x, y = np.array([r.x for r in sample]).reshape(len(sample), len(FEATURES)), np.array([r.label for r in sample])
-    if len(set(y.tolist())) < 2:
+    known = materialize(rows.where(~F.col("held_out")).select(F.col("doc_id").alias("id"), "x").join(labels, "id").select("label", "id", "x"))
+    columns = [F.col("x")[j] for j in range(len(FEATURES))]
+    row = known.agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"),
+                    F.array(*[F.avg(c) for c in columns]).alias("mean"), F.array(*[F.stddev_pop(c) for c in columns]).alias("scale")).first()
+    if not row.good or not row.bad:
         return None
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+    mean, scale = np.array(row["mean"]), np.array(row["scale"])
     scale[scale < 1e-9] = 1.0
-    rng = np.random.Generator(np.random.PCG64(5))
-    order = np.lexsort([*x.T])  # whatever order the rows came in
-    x, y = x[order], y[order]
-    good, bad = x[y == 1], x[y == 0]
-    m = max(len(good), len(bad)) * rivals
-    left, right = rng.integers(0, len(good), m), rng.integers(0, len(bad), m)
-    spark = docs.sparkSession
-    pairs = spark.createDataFrame(pa.table({"good": pa.array(list(good[left])), "bad": pa.array(list(bad[right]))}))
-    diffs = arrow_map(pairs, _diff(mean, scale), "label double, x array<double>").select("label", array_to_vector("x").alias("features")).cache()
+    ranking = Ranking(mean, scale, np.zeros(len(FEATURES)), 0.0, at)
+    kind = dict(known.dtypes)["id"]
+    standard = arrow_map(known.select("label", "id", "x"), _standardised(ranking), f"label int, id {kind}, x array<double>")
+    diffs = contests(standard, row.good, row.bad, rivals).select("label", array_to_vector("x").alias("features")).cache()
     model = LogisticRegression(fitIntercept=False, standardization=False, regParam=1e-4, maxIter=60).fit(diffs)
     diffs.unpersist()
-    ranking = Ranking(mean, scale, model.coefficients.toArray(), 0.0, at)
-    s = ranking.raw(x)
-    # the quantile of the whole labelled fold: each class of the sample stands for its share
-    weight = np.where(y == 0, share / max((y == 0).sum(), 1), (1 - share) / max((y == 1).sum(), 1))
-    by = np.argsort(s, kind="stable")
-    k = int(np.searchsorted(np.cumsum(weight[by]), share))
-    ranking.cut = float(s[by[min(k, len(by) - 1)]])
+    ranking.weights = model.coefficients.toArray()
+    # the quantile of the whole labelled fold: as many scores as there are rows of label 0 end at the threshold
+    scores = materialize(arrow_map(known.select("x"), _raw_scores(ranking), "s double"))
+    between = (row.bad - 0.5) / (row.good + row.bad - 1)
+    upper = exact_quantiles(scores, ["s"], [between]).first().quantile
+    ranking.cut = float(scores.where(F.col("s") <= upper).agg(F.max("s").alias("s")).first().s)
     return ranking
 
 
 def _score(ranking: Ranking | None, at: float):
     def run(batches):
         for batch in batches:
-            texts = single(batch.column("text"))
-            for lo, hi in slices(texts):
-                x = features(texts.slice(lo, hi - lo))
-                score = ranking.score(x) if ranking else np.full(len(x), 0.5)
-                yield pa.RecordBatch.from_arrays(
-                    [*(single(batch.column(c)).slice(lo, hi - lo) for c in ("doc_id", "held_out")), pa.array(score),
-                     pa.array((score >= at).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            score = ranking.score(_matrix(batch)) if ranking else np.full(batch.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "held_out")), pa.array(score), pa.array((score >= at).astype(np.int32))],
+                ["doc_id", "held_out", "score", "predicted"])
     return run
 
 
 def rank_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 label_col: str = "quality", at: float = 0.3, per_class: int = 4000) -> DataFrame:
+                 label_col: str = "quality", at: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row; ``predicted`` is 1 where ``score >= at``.
 
-    Learned only from labelled documents whose id's crc32 (as text) modulo 5 is not 0, at most
-    ``per_class`` of each label; without both labels every score is 0.5.  A null or empty text is scored
+    Learned from all labelled documents whose id's crc32 (as text) modulo 5 is not 0; without both labels
+    every score is 0.5.  A null or empty text is scored
     by its (zero) features.  Labels other than 0 and 1 are ignored, of repeated labels the larger counts;
     a row with a null id is scored and never learned from (``held_out`` null).  Equal texts have equal
-    scores.  Other columns are not read.
+    scores.  Other columns are not read.  Features are computed once and kept in the shared checkpoint folder.
     """
-    learn = F.coalesce(~held_out(F.col(id_col)), F.lit(False))
-    ranking = fit_ranking(docs, labels, learn, id_col, text_col, label_col, per_class, at=at)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
+    rows = materialize(arrow_map(rows, _feature_rows, f"doc_id {kind}, held_out boolean, x array<double>"))
+    ranking = fit_ranking(rows, labels, id_col, label_col, at=at)
     return arrow_map(rows, _score(ranking, at), f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from quayline.llm import html_extract, secret_scan
+from quayline.llm import html_extract, quality_rank, secret_scan
 from quayline.llm.components import connected_components
 from quayline.llm.decontaminate import Index, best_window, contaminated, item_words, repetitions
 from quayline.llm.language_id import Profiles, _codes, identify_languages, ranked, recognised
@@ -199,6 +199,21 @@ def test_quality(spark):
     assert [r.score for r in none] == [0.5]
 
 
+def test_quality_learns_from_every_labelled_document(spark):
+    n = len(quality_rank.FEATURES)
+    rows = [(i, i % 5 == 0, [float(i % 7 == 0) * 3 + i / 5000, *[float(i * j % 23) for j in range(1, n)]]) for i in range(9000)]
+    fit = quality_rank.fit_ranking(spark.createDataFrame(rows, "doc_id long, held_out boolean, x array<double>"),
+                                   spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(9000)], "doc_id long, quality int"), "doc_id", "quality")
+    x = np.array([r[2] for r in rows if not r[1]])  # 6172 of label 0: more than the 4000 once learned from
+    bad = sum(r[0] % 7 != 0 for r in rows if not r[1])
+    assert bad > 4000 and np.allclose(fit.mean, x.mean(axis=0)) and np.allclose(fit.scale, x.std(axis=0))
+    assert fit.cut == np.sort(fit.raw(x))[bad - 1]
+    known = spark.createDataFrame([(int(i < 3), i, [float(i)]) for i in range(50)], "label int, id long, x array<double>")
+    met = quality_rank.contests(known, 3, 47, 8).collect()
+    assert len(met) == 47 * 8 and {r.label for r in met} == {0.0, 1.0} and all((r.x[0] < 0) == (r.label == 1.0) for r in met)
+    assert {abs(r.x[0]) for r in met} >= {float(i) for i in range(1, 50)}
+
+
 ODD = ["It's WE'LL  don't x<|endoftext|>y", "ΣΑΣ ΟΔΥΣΣΕΥΣ", "İstanbul été ẞ", "日本語 テキスト", "a\x1cb c", "", "   ", "😀 smile😀", "½ ² ٣",
        "é Å", "x\x00y \x85 z", "ﬀ​q"]
 
