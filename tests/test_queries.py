@@ -60,3 +60,34 @@ def test_streams_resume_from_their_folder(spark, tmp_path):
     again = jobs.lifecycle_stream(spark, log.where(f"unix_timestamp(ts) > {cut}"), root=str(tmp_path / "a"))
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in lifecycle.fold_lifecycle(log).collect()}
     log.unpersist()
+
+
+def test_streams_compute_their_inputs_once(spark, tmp_path):
+    import datetime
+    from pyspark.sql import functions as F
+    from quayline.plans.stream_q import RISK_COLUMNS
+    from quayline.operators import risk
+    from quayline.streaming import jobs
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f"e{i}", i % 100 / 100, 0.5 + i % 50 / 100, i % 90 / 100, i % 30 / 10, i % 40, 10, 50, 0.2, "HIGH", i % 2) for i in range(90)]
+    inputs = spark.createDataFrame(rows, list(RISK_COLUMNS))
+    start = datetime.datetime(1997, 1, 1)
+    arrivals = spark.createDataFrame([(f"e{i}", start + datetime.timedelta(hours=i)) for i in range(90)], "event_id string, arrival_ts timestamp")
+    out = jobs.risk_stream(spark, arrivals, inputs.mapInArrow(counted, inputs.schema), root=str(tmp_path / "r"), chunks=3)
+    got = {tuple(r) for r in out.collect()}
+    assert seen.value == 90  # once, not once per batch
+    batch = risk.assess(inputs.join(arrivals, "event_id")).groupBy(F.date_trunc("day", "arrival_ts").alias("d"), "risk_level").count()
+    assert got == {tuple(r) for r in batch.collect()}
+    assert len(list((tmp_path / "r" / "ck" / "commits").glob("[0-9]*"))) == 3
+    seen.value = 0
+    alerts = arrivals.select("event_id", F.lit("A").alias("alert_type"), F.lit("HIGH").alias("severity"), F.col("arrival_ts").alias("alert_ts"))
+    both = alerts.unionByName(alerts).coalesce(1)
+    assert jobs.dedup_alerts_stream(spark, both.mapInArrow(counted, both.schema)).count() == 90 and seen.value == 180
+    files = jobs.stage_in_time_order(arrivals, str(tmp_path / "s"), ["arrival_ts"], rows_per_chunk=10, chunks=3)
+    assert files == 3 and len(list((tmp_path / "s_staged" / "load=000000").glob("part-*"))) == 9
