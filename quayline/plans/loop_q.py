@@ -64,13 +64,15 @@ def loop_batch(spark, sf_dir):
     inp = alloc_inputs(spark, sf_dir, keep=("risk_level",))
     # the candidates of an event stay in its row: the best one is the recommendation, and the request
     # is checked against the whole list
-    ev = inp.select("event_id", "risk_level", F.transform(
-        ranking.ordered_candidates("MIN_COST"), lambda o, i: F.struct(
-            o["c"]["recommendation_code"].alias("code"), (i == 0).alias("top"))).alias("_opts"))
+    ev = ranking.placed_candidates(inp, "MIN_COST").select(
+        "event_id", "risk_level", ranking.at_place(1, "recommendation_code").alias("recommended_code"),
+        F.array_compact(F.array(*[F.when(F.col(f"_p{i}").isNotNull(), F.struct(
+            F.col(f"_c{i}.recommendation_code").alias("code"), (F.col(f"_p{i}") == 1).alias("top")))
+            for i in range(len(allocation.STRATEGIES))])).alias("_opts"))
     failures, status = lifecycle.decision_checks(F.col("_opts"))
     asked = F.col("decision_id").isNotNull()
     x = ev.join(_requests(spark, sf_dir), "event_id", "left").select(
-        "event_id", "risk_level", F.get("_opts", 0)["code"].alias("recommended_code"),
+        "event_id", "risk_level", "recommended_code",
         F.when(asked, F.size(failures) == 0).alias("decision_accepted"), F.when(asked, status).alias("effective_status"))
     c = _checked(spark, sf_dir)
     m = learning.ewma_by_strategy(c)

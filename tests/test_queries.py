@@ -91,3 +91,19 @@ def test_streams_compute_their_inputs_once(spark, tmp_path):
     assert jobs.dedup_alerts_stream(spark, both.mapInArrow(counted, both.schema)).count() == 90 and seen.value == 180
     files = jobs.stage_in_time_order(arrivals, str(tmp_path / "s"), ["arrival_ts"], rows_per_chunk=10, chunks=3)
     assert files == 3 and len(list((tmp_path / "s_staged" / "load=000000").glob("part-*"))) == 9
+
+
+def test_generated_methods_are_short_enough_for_the_jit(spark):
+    """HotSpot interprets methods above 8,000 bytes, which took most of the time of these queries."""
+    qs = E.queries()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")  # joins as on large tables
+    try:
+        for name in ("opt_allocation_min_delay", "opt_allocation_balanced", "opt_forced", "rec_rank_balanced", "rec_rank_min_risk",
+                     "rec_comparison", "rec_explanations", "trace_decision", "loop_batch", "risk_service_path"):
+            stages = qs[name](spark, SF)._jdf.queryExecution().debug().codegenToSeq()
+            sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+            assert sizes and 0 < min(sizes) and max(sizes) <= 8000, (name, max(sizes))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
