@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle, relational
+from ..session import materialize
 from ..sources import fixtures
 from ..sources.fixtures_sql import with_ctes
 from .registry import register
@@ -91,11 +92,13 @@ _REQ_SQL = """
 """
 
 
-def _validated(spark, sf_dir):
+def _validated(spark, sf_dir, keep=False):
     from .alloc_q import alloc_inputs
     from ..operators import ranking
     recs = ranking.rank_candidates(alloc_inputs(spark, sf_dir), "MIN_COST").select(
         "event_id", "recommendation_code", "is_recommended", "strategy_type")
+    if keep:
+        recs = materialize(recs)
     return lifecycle.validate_decisions(_requests(spark, sf_dir), recs), recs
 
 
@@ -147,7 +150,7 @@ WHERE len(failures) = 0
 """)
 def dec_audit(spark, sf_dir):
     """Accepted decisions per run, oldest first, with their strategy."""
-    v, recs = _validated(spark, sf_dir)
+    v, recs = _validated(spark, sf_dir, keep=True)  # read twice, solved once
     acc = v.filter("accepted").select("decision_id", "event_id", "recommendation_code", "created_on")
     h = lifecycle.audit_history(acc, recs)
     return h.select("decision_id", "strategy", F.col("history_position").cast("long").alias("history_position"))
