@@ -107,3 +107,31 @@ def test_generated_methods_are_short_enough_for_the_jit(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shared_inputs_are_computed_once(spark):
+    from quayline.plans.common import latest_predictions
+    qs = E.queries()
+
+    def relations(df):
+        plan = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum("l_orderkey" in plan.apply(i).output().mkString() for i in range(plan.size()))
+
+    assert relations(latest_predictions(spark, SF)) == 1  # a scan a version before
+    assert relations(qs["dec_audit"](spark, SF)) == 1  # only the requests: the ranked candidates are kept
+
+
+def test_error_type_quantiles_compute_their_rows_once(spark):
+    from pyspark.sql import functions as F
+    from quayline.operators.evaluation import five_number_by_error
+    rows = spark.range(0, 400, 1, 4).select((F.col("id") / 400).alias("p"), (F.col("id") % 2).cast("int").alias("y"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    out = five_number_by_error(rows.mapInArrow(count, "p double, y int")).collect()
+    assert {(r["error_type"], r["prob"]): r["value"] for r in out}[("TP", 1.0)] == 0.9975
+    assert len(out) == 20 and seen.value == 400
