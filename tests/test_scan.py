@@ -109,3 +109,43 @@ def test_hot_pair_history_equals_plain_window(spark):
     ws = Window.partitionBy("supplier_id").orderBy("date", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     for r in df.select("event_id", F.avg("delay_occurred").over(ws).alias("m")).collect():
         assert abs(rate[r.event_id] - (r.m or 0)) <= 0.00005001
+
+
+def test_asof_last_needs_no_grouping_and_one_sample(spark):
+    """The newest snapshot up to a date, of one day the lowest id; a hot key is cut, and its bounds are sampled once."""
+    from quayline.operators import relational
+    rnd = random.Random(11)
+    keys = [None, *("hot" if i % 2 else f"k{i % 7}" for i in range(900))]
+    left = [(f"e{i:04d}", k, rnd.choice([None, *range(60)])) for i, k in enumerate(keys)]
+    right = [(f"s{i:04d}" if i % 31 else None, k, rnd.choice([None, *range(60)]), rnd.choice([None, *range(99)]))
+             for i, k in enumerate(keys + keys)]
+    le = spark.createDataFrame(left, "id string, k string, d int").repartition(5)
+    ri = spark.createDataFrame(right, "sid string, sk string, sd int, v int").repartition(7)
+    out = relational.asof_last(le, ri, "k", "sk", "d", "sd", "sid", "v", "id", "last")
+    day = lambda d: -1 if d is None else d
+    want = {}
+    for i, k, d in left:
+        held = [(-day(sd), sid, v) for sid, sk, sd, v in right
+                if sk == k and sid is not None and v is not None and day(sd) <= day(d)]
+        want[i] = min(held)[2] if held else None
+    assert {r["id"]: r["last"] for r in out.collect()} == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = relational.asof_last(le, ri, "k", "sk", "d", "sd", "sid", "v", "id", "last")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("TakeOrderedAndProject") == 1
+    # snapshots are grouped only where they lie in slices of heavy keys, behind the broadcast bounds
+    assert all("_slice" in line for line in plan.splitlines() if "SortAggregate" in line), plan
+
+
+def test_event_key_sample_takes_keys_before_texts(spark, tmp_path):
+    from quayline.sources import fixtures
+    rows = [(i, i % 9, i % 4, i % 3, float(i % 50), 1.0, 0.0, 0.0, "N", "O", f"1996-01-{i % 28 + 1:02d} 00:00:00") for i in range(300)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice "
+                          "double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string") \
+        .selectExpr("* except (l_shipdate)", "cast(l_shipdate as timestamp) as l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    sample = fixtures.event_key_sample(spark, str(tmp_path), 40)
+    got = {tuple(r) for r in sample.collect()}
+    every = {(f"EVT_{r[0]}_{r[3]}_{r[1]}_{r[2]}_{int(r[4])}", r[10][:10], r[2]) for r in rows}
+    assert len(got) == 40 and {(i, str(d), s) for i, d, s in got} <= every
