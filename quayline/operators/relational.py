@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ def latest_per_key(df: DataFrame, keys, order: list[Column], few: bool = False)
 
 
 def asof_last(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_date: str, right_date: str,
-              right_id: str, value: str, left_id: str, out: str) -> DataFrame:
+              right_id: str, value: str, left_id: str, out: str,
+              like: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """As-of join: for each left row, ``value`` of the newest right row of the same key
     dated on or before the left row (same date: lowest ``right_id``).
 
@@ -31,6 +34,8 @@ def asof_last(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     carry-forward of the last snapshot value (``scan.grouped_last``); no left x right
     pairs are formed, so a key with many snapshots costs a sort, not a product.  Of the snapshots of
     one day the lowest id comes last in that order, so they need no grouping (and no shuffle) of their own.
+    ``like(n)`` gives at most n rows (key, date) of about the same keys as the left, where that costs less than the left itself:
+    the sample that cuts heavy keys is then taken from these and from the right side.
     """
     le = left.select(F.col(left_id).alias("_lid"), F.col(left_key).alias("_key"), F.col(left_date).alias("_d"),
                      F.lit(1).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_rid"),
@@ -38,7 +43,12 @@ def asof_last(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     ri = right.where(F.col(value).isNotNull() & F.col(right_id).isNotNull()).select(
         F.lit(None).cast(left.schema[left_id].dataType).alias("_lid"), F.col(right_key).alias("_key"),
         F.col(right_date).alias("_d"), F.lit(0).alias("_side"), F.col(right_id).alias("_rid"), F.col(value).alias("_v"))
-    u = grouped_last(le.unionByName(ri), ["_key"], ["_d", "_side"], "_v", "_last", lowest="_rid")
+    seen = None
+    if like is not None:
+        def seen(n):
+            marks = like(n).select(F.col(left_key).alias("_key"), F.col(left_date).alias("_d"))
+            return marks.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_side"))
+    u = grouped_last(le.unionByName(ri), ["_key"], ["_d", "_side"], "_v", "_last", lowest="_rid", like=seen)
     return u.filter(F.col("_side") == 1).select(F.col("_lid").alias(left_id), F.col("_last").alias(out))
 
 

@@ -19,7 +19,7 @@ R, RS = S.R, S.RS
 
 def alloc_inputs(spark, sf_dir, keep=()):
     a = assessed(spark, sf_dir)
-    snap = asof_inventory(fixtures.supply_events(spark, sf_dir), fixtures.inventory(spark, sf_dir))
+    snap = asof_inventory(spark, sf_dir, fixtures.supply_events(spark, sf_dir))
     return allocation.assemble_inputs(a, snap, fixtures.suppliers(spark, sf_dir), keep=keep)
 
 

@@ -96,7 +96,7 @@ _LEARNED_INPUTS = _INPUTS_SQL.replace(
 def opt_allocation_learned(spark, sf_dir):
     """MIN_COST allocation with the learned multipliers (2 dp, as applied) of air and secondary."""
     a = assessed(spark, sf_dir)
-    snap = asof_inventory(fixtures.supply_events(spark, sf_dir), fixtures.inventory(spark, sf_dir))
+    snap = asof_inventory(spark, sf_dir, fixtures.supply_events(spark, sf_dir))
     m = learning.ewma_by_strategy(_checked(spark, sf_dir)).select("strategy_type", "multiplier_applied")
     inp = allocation.assemble_inputs(a, snap, fixtures.suppliers(spark, sf_dir), multipliers=m)
     return _sol_cols(allocation.solve(inp, "MIN_COST"))

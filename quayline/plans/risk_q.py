@@ -257,10 +257,11 @@ def risk_optimizer_contract(spark, sf_dir):
                     F.array_join("risk_reasons", ",").alias("reason_codes"))
 
 
-def asof_inventory(ev, inv):
+def asof_inventory(spark, sf_dir, ev):
     """Newest stock snapshot of the event's part dated on or before the event."""
-    return relational.asof_last(ev, inv, "part_key", "product_id", "date", "inventory_date", "inventory_id",
-                                "available_units", "event_id", "latest_available_units")
+    return relational.asof_last(ev, fixtures.inventory(spark, sf_dir), "part_key", "product_id", "date", "inventory_date",
+                                "inventory_id", "available_units", "event_id", "latest_available_units",
+                                like=lambda n: fixtures.event_key_sample(spark, sf_dir, n))
 
 
 @register("risk_service_path", S.risk_with() + f"""
@@ -293,6 +294,6 @@ def risk_service_path(spark, sf_dir):
     """Service-path assessment using the as-of latest stock snapshot of the part
     instead of the event's own inventory figure."""
     x = risk_inputs(spark, sf_dir)
-    snap = asof_inventory(x, fixtures.inventory(spark, sf_dir))
+    snap = asof_inventory(spark, sf_dir, x)
     return risk.service_path(x, snap).select("event_id", "inventory_risk_score", "service_risk_score",
                                              "composite_risk_score")

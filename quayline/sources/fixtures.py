@@ -92,7 +92,7 @@ def supply_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_key_sample(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """Supplier, date and id of ``n`` line items, chosen by a hash of their keys before any text is built.  The joins of
+    """Supplier, part, date and id of ``n`` line items, chosen by a hash of their keys before any text is built.  The joins of
     ``supply_events`` are left out, so lines of unknown parts stay in: it only shows where the rows lie."""
     raw = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
     li = _base_lines(spark, sf_dir).select(*raw).orderBy(F.xxhash64(*raw), *raw).limit(n)
@@ -101,7 +101,8 @@ def event_key_sample(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
                     F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
                     F.col("l_quantity").cast("long").cast("string")).alias("event_id"),
         F.to_date("l_shipdate").alias("date"),
-        F.col("l_suppkey").alias("supplier_id"))
+        F.col("l_suppkey").alias("supplier_id"),
+        F.col("l_partkey").alias("part_key"))
 
 
 def delay_probability_expr() -> F.Column:
