@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd, rnd_signed
 from ..params import DEFAULT_OUTCOME, OutcomeParams
+from .relational import ID_HASH, latest_per_key, with_id_hash
 
 
 def variances(df: DataFrame) -> DataFrame:
@@ -38,12 +39,11 @@ def classify(df: DataFrame, p: OutcomeParams = DEFAULT_OUTCOME, cancelled: Colum
 def gate(candidates: DataFrame, existing: DataFrame | None = None, key: str = "outcome_id",
          order: list | None = None) -> DataFrame:
     """V3: record an outcome only for COMPLETED decisions without an outcome yet; within
-    the batch the first request per decision wins."""
+    the batch the first request per decision wins.  The hash of the key stays, for later joins by it."""
     x = candidates.filter(F.col("execution_status") == "COMPLETED")
     if existing is not None:
         x = x.join(existing.select(key), key, "left_anti")
-    w = Window.partitionBy(key).orderBy(*(order or [F.col("evaluation_date")]))
-    return x.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return latest_per_key(with_id_hash(x, key), [ID_HASH, key], order or [F.col("evaluation_date")], few=True)
 
 
 def kpis(decisions: DataFrame, recorded: DataFrame) -> DataFrame:

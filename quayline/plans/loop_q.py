@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
-from ..operators import allocation, learning, lifecycle, ranking
+from ..operators import allocation, learning, lifecycle, ranking, relational
 from ..sources import fixtures
 from ..sources.fixtures_sql import with_ctes
 from . import sqlbase as S
@@ -61,22 +61,24 @@ def loop_batch(spark, sf_dir):
     """The closed loop as one lazy plan: score -> allocate alternatives -> rank -> decide
     -> measure -> learn, chained by keys (events without a step get nulls, not a failure)."""
     from .alloc_q import alloc_inputs
-    inp = alloc_inputs(spark, sf_dir, keep=("risk_level",))
+    inp = alloc_inputs(spark, sf_dir, keep=(relational.ID_HASH, "risk_level"))
     # the candidates of an event stay in its row: the best one is the recommendation, and the request
     # is checked against the whole list
+    by = [relational.ID_HASH, "event_id"]
     ev = ranking.placed_candidates(inp, "MIN_COST").select(
-        "event_id", "risk_level", ranking.at_place(1, "recommendation_code").alias("recommended_code"),
+        *by, "risk_level", ranking.at_place(1, "recommendation_code").alias("recommended_code"),
         F.array_compact(F.array(*[F.when(F.col(f"_p{i}").isNotNull(), F.struct(
             F.col(f"_c{i}.recommendation_code").alias("code"), (F.col(f"_p{i}") == 1).alias("top")))
             for i in range(len(allocation.STRATEGIES))])).alias("_opts"))
     failures, status = lifecycle.decision_checks(F.col("_opts"))
     asked = F.col("decision_id").isNotNull()
-    x = ev.join(_requests(spark, sf_dir), "event_id", "left").select(
-        "event_id", "risk_level", "recommended_code",
+    x = ev.join(relational.with_id_hash(_requests(spark, sf_dir)), by, "left").select(
+        *by, "risk_level", "recommended_code",
         F.when(asked, F.size(failures) == 0).alias("decision_accepted"), F.when(asked, status).alias("effective_status"))
     c = _checked(spark, sf_dir)
     m = learning.ewma_by_strategy(c)
-    out = (x.join(c.select(F.col("outcome_id").alias("event_id"), "outcome_status", "strategy_type"), "event_id", "left")
+    done = c.select(relational.ID_HASH, F.col("outcome_id").alias("event_id"), "outcome_status", "strategy_type")
+    out = (x.join(done, by, "left")
            .join(m.select("strategy_type", "multiplier"), "strategy_type", "left"))
     return out.select("event_id", "risk_level", F.coalesce("recommended_code", F.lit("ALT_A")).alias("recommended_code"),
                       "decision_accepted", "effective_status", "outcome_status",
