@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import TARGET_MAP
+from .relational import id_keys
 
 
 def with_event_id(df: DataFrame, id_col: str = "event_id") -> DataFrame:
@@ -25,8 +26,10 @@ def known_predictions(predictions: DataFrame, events: DataFrame) -> DataFrame:
 
 def known_assessments(assessed: DataFrame, events: DataFrame, latest: DataFrame) -> DataFrame:
     """Assessments of known events with the id of the event's latest prediction (null if it has none)."""
-    kept = assessed.join(events.select("event_id"), "event_id", "left_semi")
-    return kept.join(latest.select("event_id", "prediction_id"), "event_id", "left")
+    by = id_keys(assessed, events)
+    kept = assessed.join(events.select(*by), by, "left_semi")
+    by = id_keys(kept, latest)
+    return kept.join(latest.select(*by, "prediction_id"), by, "left")
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intake
+from ..operators import intake, relational
 from ..sources import fixtures
 from ..sources.fixtures_sql import with_ctes
 from . import sqlbase as S
@@ -37,7 +37,8 @@ FROM leveled l LEFT JOIN lp USING (event_id) WHERE l.date >= {_KNOWN}
 def src_append_assessments(spark, sf_dir):
     """Assessments of known events with their latest prediction."""
     ev = fixtures.supply_events(spark, sf_dir)
-    rows = intake.known_assessments(assessed(spark, sf_dir).drop("prediction_id"), _known(ev), latest_predictions(spark, sf_dir, ev))
+    rows = intake.known_assessments(assessed(spark, sf_dir).drop("prediction_id"), relational.with_id_hash(_known(ev)),
+                                    latest_predictions(spark, sf_dir, ev, id_hash=True))
     return rows.select("event_id", "composite_risk_score", "risk_level", "prediction_id")
 
 

@@ -95,11 +95,12 @@ _REQ_SQL = """
 def _validated(spark, sf_dir, keep=False):
     from .alloc_q import alloc_inputs
     from ..operators import ranking
-    recs = ranking.rank_candidates(alloc_inputs(spark, sf_dir), "MIN_COST").select(
-        "event_id", "recommendation_code", "is_recommended", "strategy_type")
+    by = (relational.ID_HASH, "event_id")
+    recs = ranking.rank_candidates(alloc_inputs(spark, sf_dir, keep=by[:1]), "MIN_COST", keep=by).select(
+        *by, "recommendation_code", "is_recommended", "strategy_type")
     if keep:
         recs = materialize(recs)
-    return lifecycle.validate_decisions(_requests(spark, sf_dir), recs), recs
+    return lifecycle.validate_decisions(relational.with_id_hash(_requests(spark, sf_dir)), recs), recs
 
 
 def _validate_sql():

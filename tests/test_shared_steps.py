@@ -53,6 +53,15 @@ def test_ids_are_sorted_by_a_hash_and_samples_read_keys(spark, tables, as_on_lar
     assert not any("WindowGroupLimit" in line for line in plan)  # sorts all rows once more, for keys of one row
 
 
+@pytest.mark.parametrize("name", ["dec_validate", "src_append_assessments", "loop_batch", "risk_service_path", "trace_decision"])
+def test_joins_by_event_keep_one_partitioning(spark, tables, as_on_large_tables, name):
+    """What is joined by (hash, id) is not moved again for a join by the id alone."""
+    plan = _plan(spark, E.queries()[name](spark, tables[0]))
+    moved = [line for line in plan if "Exchange hashpartitioning(" in line]
+    assert any("hashpartitioning(_id_hash" in line for line in moved)
+    assert not any("hashpartitioning(event_id" in line or "hashpartitioning(outcome_id" in line for line in moved)
+
+
 def test_stock_and_prediction_of_every_event(spark, tables):
     sf, lines = tables
     known = [x for x in lines if x[1] != 99]
