@@ -42,3 +42,100 @@ def test_alerts_are_filtered_without_repeating_the_scoring(spark, tables):
     old = datetime.date(1998, 1, 1)
     want = {tuple(r) for r in alerts.collect() if dates[r["event_id"]] is None or dates[r["event_id"]] >= old}
     assert want and {tuple(r) for r in again.collect()} == want
+
+
+def _scans_lines(df):
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum("l_orderkey" in leaves.apply(i).output().mkString() for i in range(leaves.size()))
+
+
+def test_candidates_share_one_frame_and_one_preprocessing(spark, tables, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    from quayline.operators import evaluation, model
+    fits, scans = [], []
+    stages, split = model.preprocessing, evaluation.chronological_split
+    monkeypatch.setattr(model, "preprocessing", lambda *a: fits.append(1) or stages(*a))
+    monkeypatch.setattr(evaluation, "chronological_split", lambda df, *a: scans.append(_scans_lines(df)) or split(df, *a))
+    monkeypatch.setattr(model, "candidates", lambda: {n: LogisticRegression(weightCol="weight", maxIter=3) for n in "abc"})
+    rows = E.queries()["model_candidates"](spark, tables).collect()
+    assert sorted(r["model"] for r in rows) == ["a", "b", "c"] and len({r["brier"] for r in rows}) == 1
+    assert len(fits) == 1  # one a candidate before
+    assert scans == [0]  # the split reads its frame three times: it was computed each time before
+
+
+def test_split_vectors_give_the_model_of_the_whole_pipeline(spark):
+    from quayline.operators import model
+    rows = [(float(i % 7), float(i % 5) if i % 6 else None, "abc"[i % 3] if i % 8 else None, i % 2) for i in range(200)]
+    df = model.prepare(spark.createDataFrame(rows, "n double, m double, category string, y int").coalesce(1), "y", ("category",))
+    train = model.class_weights(df)
+    whole = model.fit(train, numeric=("n", "m"), categorical=("category",))
+    pre = model.fit_preprocessing(train, ("n", "m"), ("category",))
+    alone = model.fit_classifier(pre.transform(train).select("label", "weight", "features"))
+    assert list(whole.stages[-1].coefficients) == pytest.approx(list(alone.coefficients), abs=1e-9)
+
+
+@pytest.fixture
+def as_on_large_tables(spark):
+    from quayline.plans.common import STEPS_CONF
+    spark.conf.set(STEPS_CONF, "0")
+    yield
+    spark.conf.unset(STEPS_CONF)
+
+
+@pytest.mark.parametrize("name", ["opt_allocation_learned", "trace_decision", "loop_batch", "risk_service_path", "dec_validate"])
+def test_steps_give_the_rows_of_one_plan(spark, tables, name):
+    from quayline.plans.common import STEPS_CONF
+    one = E.queries()[name](spark, tables)
+    spark.conf.set(STEPS_CONF, "0")
+    try:
+        steps = E.queries()[name](spark, tables)
+    finally:
+        spark.conf.unset(STEPS_CONF)
+    assert _scans_lines(steps) < _scans_lines(one)
+    assert sorted(map(str, steps.collect())) == sorted(map(str, one.collect()))
+
+
+def test_shuffle_files_go_with_their_step(spark, tables, as_on_large_tables):
+    """What a step shuffled is gone when it ends, and so are steps that nothing reads again."""
+    import os
+    from quayline.session import SHUFFLE_CLEANUP, discard, materialize
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.endswith(".data")}
+
+    before = shuffled()
+    kept = materialize(spark.range(5000).repartition(3).groupBy("id").count())
+    assert not shuffled() - before and spark.conf.get(SHUFFLE_CLEANUP) == "false"
+    assert kept.count() == 5000
+    discard(kept)
+    assert not os.path.exists(kept._kept_at)
+    assert _scans_lines(E.queries()["opt_inputs"](spark, tables)) == 0  # the joins and windows of the events are steps
+
+
+def test_audit_reads_strategies_beside_the_checks(spark, tables):
+    """Ranked candidates were moved once more to find a decision's strategy, and the decisions twice."""
+    out = E.queries()["dec_audit"](spark, tables)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(") == 2
+
+
+def test_audit_history_by_join_and_beside_are_the_same(spark):
+    from quayline.operators import lifecycle
+    recs = spark.createDataFrame([("e1", "ALT_A", True, "AIR"), ("e1", "ALT_B", False, "SEC"), ("e2", "ALT_A", True, "AIR"), ("e2", "ALT_A", True, "AIR")],
+                                 "event_id string, recommendation_code string, is_recommended boolean, strategy_type string")
+    asked = [("d1", "e1", "ALT_B"), ("d2", "e1", "ALT_A"), ("d3", "e2", "ALT_A"), ("d4", "e3", "ALT_A"), ("d5", None, None), ("d6", "e1", None)]
+    req = spark.createDataFrame([(*a, "me", "REJECTED", "because of it", f"2024-01-0{9 - i}") for i, a in enumerate(asked)],
+                                "decision_id string, event_id string, recommendation_code string, decision_maker string, decision_status string, "
+                                "decision_reason string, created_on string")
+    keep = ["decision_id", "event_id", "recommendation_code", "created_on"]
+    a = lifecycle.audit_history(lifecycle.validate_decisions(req, recs).select(*keep), recs)
+    b = lifecycle.audit_history(lifecycle.validate_decisions(req, recs, strategies=True).select(*keep, "chosen"), None)
+    assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() == 7
