@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle, relational
-from ..session import materialize
+from ..session import discard, materialize
 from ..sources import fixtures
 from ..sources.fixtures_sql import with_ctes
 from .registry import register
@@ -96,11 +96,13 @@ def _validated(spark, sf_dir, keep=False):
     from .alloc_q import alloc_inputs
     from ..operators import ranking
     by = (relational.ID_HASH, "event_id")
-    recs = ranking.rank_candidates(alloc_inputs(spark, sf_dir, keep=by[:1]), "MIN_COST", keep=by).select(
+    inp = alloc_inputs(spark, sf_dir, keep=by[:1])
+    recs = ranking.rank_candidates(inp, "MIN_COST", keep=by).select(
         *by, "recommendation_code", "is_recommended", "strategy_type")
-    if keep:
+    if keep or inp.steps:
         recs = materialize(recs)
-    return lifecycle.validate_decisions(relational.with_id_hash(_requests(spark, sf_dir)), recs), recs
+        discard(*inp.steps)
+    return lifecycle.validate_decisions(relational.with_id_hash(_requests(spark, sf_dir)), recs, strategies=keep)
 
 
 def _validate_sql():
@@ -138,7 +140,7 @@ FROM vf
 """)
 def dec_validate(spark, sf_dir):
     """Decision requests checked against the ranked recommendations of their run."""
-    v, _ = _validated(spark, sf_dir)
+    v = _validated(spark, sf_dir)
     return v.select("decision_id", "accepted", F.size("failures").alias("n_failures"),
                     F.try_element_at(F.col("failures"), F.lit(1)).alias("first_failure"), "effective_status")
 
@@ -151,9 +153,9 @@ WHERE len(failures) = 0
 """)
 def dec_audit(spark, sf_dir):
     """Accepted decisions per run, oldest first, with their strategy."""
-    v, recs = _validated(spark, sf_dir, keep=True)  # read twice, solved once
-    acc = v.filter("accepted").select("decision_id", "event_id", "recommendation_code", "created_on")
-    h = lifecycle.audit_history(acc, recs)
+    v = _validated(spark, sf_dir, keep=True)  # the strategies travel with the checks, by one shuffle
+    acc = v.filter("accepted").select(relational.ID_HASH, "decision_id", "event_id", "recommendation_code", "created_on", "chosen")
+    h = lifecycle.audit_history(acc, None)
     return h.select("decision_id", "strategy", F.col("history_position").cast("long").alias("history_position"))
 
 

@@ -9,12 +9,12 @@ from ..operators import allocation, learning, lifecycle, ranking, relational
 from ..sources import fixtures
 from ..sources.fixtures_sql import with_ctes
 from . import sqlbase as S
-from .alloc_q import _INPUTS_SQL, _SOL_COLS_SQL, _sol_cols, _solve_sql
-from .common import assessed
+from ..session import discard, materialize
+from .alloc_q import _INPUTS_SQL, _SOL_COLS_SQL, _sol_cols, _solve_sql, alloc_inputs
+from .common import assessed, in_steps
 from .learning_q import _LEARN_SQL, _checked, recorded
 from .lifecycle_q import _requests, _validate_sql
 from .registry import register
-from .risk_q import asof_inventory
 
 R, RS = S.R, S.RS
 _LEARN_TAIL = _LEARN_SQL[len(with_ctes("outcomes")):]
@@ -60,7 +60,6 @@ LEFT JOIN mult m ON m.strategy_type = c.strategy_type
 def loop_batch(spark, sf_dir):
     """The closed loop as one lazy plan: score -> allocate alternatives -> rank -> decide
     -> measure -> learn, chained by keys (events without a step get nulls, not a failure)."""
-    from .alloc_q import alloc_inputs
     inp = alloc_inputs(spark, sf_dir, keep=(relational.ID_HASH, "risk_level"))
     # the candidates of an event stay in its row: the best one is the recommendation, and the request
     # is checked against the whole list
@@ -70,13 +69,16 @@ def loop_batch(spark, sf_dir):
         F.array_compact(F.array(*[F.when(F.col(f"_p{i}").isNotNull(), F.struct(
             F.col(f"_c{i}.recommendation_code").alias("code"), (F.col(f"_p{i}") == 1).alias("top")))
             for i in range(len(allocation.STRATEGIES))])).alias("_opts"))
+    c = _checked(spark, sf_dir)
+    m = learning.ewma_by_strategy(c)
+    if inp.steps:  # large tables: the recommendations and the multipliers are steps too
+        ev, m = materialize(ev), materialize(m)
+        discard(*inp.steps)
     failures, status = lifecycle.decision_checks(F.col("_opts"))
     asked = F.col("decision_id").isNotNull()
     x = ev.join(relational.with_id_hash(_requests(spark, sf_dir)), by, "left").select(
         *by, "risk_level", "recommended_code",
         F.when(asked, F.size(failures) == 0).alias("decision_accepted"), F.when(asked, status).alias("effective_status"))
-    c = _checked(spark, sf_dir)
-    m = learning.ewma_by_strategy(c)
     done = c.select(relational.ID_HASH, F.col("outcome_id").alias("event_id"), "outcome_status", "strategy_type")
     out = (x.join(done, by, "left")
            .join(m.select("strategy_type", "multiplier"), "strategy_type", "left"))
@@ -97,8 +99,6 @@ _LEARNED_INPUTS = _INPUTS_SQL.replace(
           + _LEARN_TAIL + _LEARNED_INPUTS + _solve_sql("MIN_COST") + f"SELECT {_SOL_COLS_SQL} FROM sol")
 def opt_allocation_learned(spark, sf_dir):
     """MIN_COST allocation with the learned multipliers (2 dp, as applied) of air and secondary."""
-    a = assessed(spark, sf_dir)
-    snap = asof_inventory(spark, sf_dir, fixtures.supply_events(spark, sf_dir))
     m = learning.ewma_by_strategy(_checked(spark, sf_dir)).select("strategy_type", "multiplier_applied")
-    inp = allocation.assemble_inputs(a, snap, fixtures.suppliers(spark, sf_dir), multipliers=m)
+    inp = alloc_inputs(spark, sf_dir, multipliers=materialize(m) if in_steps(spark, sf_dir) else m)
     return _sol_cols(allocation.solve(inp, "MIN_COST"))
